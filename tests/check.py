@@ -47,7 +47,7 @@ def main(argv):
 
     sf = argv[0] if argv else "0.01"
     folder = f"/root/testdata/sf{sf}"
-    spark = build_session("check", "local[8]", 8)
+    spark = build_session("check", "local[8]", 8, quiet=True)
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(folder)
     bad = []

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "wattloom", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(app: str = "wattloom", master: str | None = None, shuffle_partitions: int | None = None, quiet: bool = False) -> SparkSession:
     """Session with UTC wall clock, AQE and skew-join splitting switched on."""
     builder = (
         SparkSession.builder.appName(app)
@@ -19,6 +19,8 @@ def build_session(app: str = "wattloom", master: str | None = None, shuffle_part
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    if quiet:
+        builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if master:
         builder = builder.master(master)
     if shuffle_partitions:
