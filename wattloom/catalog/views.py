@@ -10,7 +10,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from wattloom.operators.grids import reindex
+from wattloom.operators.grids import reindex, split_slots
 
 
 def q(x: Column, digits: int) -> Column:
@@ -155,6 +155,10 @@ class Tables:
             .withColumn("q90_kwh", F.col("predicted_kwh") * 1.2)
         )
 
+    @cached_property
+    def fc30(self):
+        return split_slots(self.fc, minutes=30)
+
     @cached_property
     def strategies(self):
         """Three forecasts of one window: one week, one day and two days back."""
@@ -281,6 +285,8 @@ SQL_VIEWS = {
         {_q('2.0 + avg(o_totalprice) / 60000.0', 2)} AS price FROM orders GROUP BY 1""",
     "fc": """SELECT a.meter_id, a.ts, b.demand_kwh AS predicted_kwh, a.demand_kwh AS actual_kwh, b.demand_kwh * 0.8 AS q10_kwh,
         b.demand_kwh * 1.2 AS q90_kwh FROM sites a JOIN sites b ON a.meter_id = b.meter_id AND a.ts = b.ts + INTERVAL 7 DAYS""",
+    "fc30": """SELECT meter_id, ts + to_minutes(30 * p) AS ts, predicted_kwh / 2.0 AS predicted_kwh, actual_kwh / 2.0 AS actual_kwh,
+        q10_kwh / 2.0 AS q10_kwh, q90_kwh / 2.0 AS q90_kwh FROM fc, (VALUES (0), (1)) parts(p)""",
     "strategies": """SELECT * FROM (
         SELECT 'A' AS strategy, meter_id, ts + INTERVAL 168 HOURS AS ts, demand_kwh AS predicted_kwh FROM sites
         UNION ALL SELECT 'B', meter_id, ts + INTERVAL 24 HOURS, demand_kwh FROM sites

@@ -145,7 +145,7 @@ def rest_states(df: DataFrame, keys: list[str], minutes_per_row: float = 15.0, r
     first = F.col("_rest") & ~F.coalesce(F.lag("_rest").over(w), F.lit(False))
     df = df.withColumn("_id", F.sum(first.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     out = df.filter("_rest").groupBy(*keys, "_id").agg(
-        F.min(ts).alias("start"), F.max(ts).alias("end"), (F.count("soc") * minutes_per_row).alias("duration_min"), F.avg("soc").alias("mean_soc")
+        F.min(ts).alias("state_start"), F.max(ts).alias("state_end"), (F.count("soc") * minutes_per_row).alias("duration_min"), F.avg("soc").alias("mean_soc")
     )
     label = F.when(F.col("mean_soc") < 5, "full_discharge").when(F.col("mean_soc") > 98, "full_charge").otherwise("rest")
     return out.filter(F.col("duration_min") >= rest_minutes).withColumn("state_type", label).drop("_id")
