@@ -37,7 +37,7 @@ BLOCK_COLS = "meter_id:s block_id:i block_start_ts:t predicted_kwh:5 actual_kwh:
 
 
 def all_blocks(t):
-    return accuracy.all_cadences(t.fc30, t.fc30)
+    return accuracy.block_accuracy(t.fc30, t.fc30, list(accuracy.BLOCK_ID))
 
 
 @query("agg_block_energy", "meter_id:s block_start_ts:t demand_kwh:4", f"SELECT meter_id, {STARTS['tod_4h']} AS block_start_ts, sum(demand_kwh) AS demand_kwh FROM readings GROUP BY 1, 2")
@@ -68,7 +68,7 @@ def _(t):
 @query("agg_fleet_mape", "mean_mape:3 median_mape:3 p25_mape:3 p75_mape:3 p95_mape:2 max_mape:2 mbe_kwh:4 n_blocks:i n_meters:i", f"""SELECT avg(ape) AS mean_mape, median(ape) AS median_mape, quantile_cont(ape, 0.25) AS p25_mape, quantile_cont(ape, 0.75) AS p75_mape,
     quantile_cont(ape, 0.95) AS p95_mape, max(ape) AS max_mape, avg(mbe_kwh) AS mbe_kwh, count(*) AS n_blocks, count(DISTINCT meter_id) AS n_meters FROM ({blocks_sql('hourly')})""")
 def _(t):
-    return accuracy.fleet_mape(accuracy.block_accuracy(t.fc30, t.fc30, "hourly"))
+    return accuracy.fleet_mape(accuracy.block_accuracy(t.fc30, t.fc30, ["hourly"]))
 
 
 @query("agg_meter_cadence_summary", "meter_id:s cadence:s mean_ape:3 median_ape:3 p95_ape:2 total_predicted:4 total_actual:4 n_blocks:i under_5pct:4", f"""SELECT meter_id, cadence, avg(ape) AS mean_ape, median(ape) AS median_ape, quantile_cont(ape, 0.95) AS p95_ape,
@@ -169,8 +169,9 @@ def _(t):
     median(mape) AS mape_median, quantile_cont(mape, 0.9) AS mape_p90 FROM registry""")
 def _(t):
     m = F.col("mape")
-    s = t.registry.agg(F.count("*").alias("n"), F.avg(m).alias("mape_mean"), F.max(m).alias("mape_max"), F.count_if(m < 4).alias("under_4"), F.count_if(m < 10).alias("under_10"))
-    return attach_quantiles(t.registry, s, [], "mape", {"mape_median": 0.5, "mape_p90": 0.9})
+    stats = lambda d: d.agg(
+        F.count("*").alias("n"), F.avg(m).alias("mape_mean"), F.max(m).alias("mape_max"), F.count_if(m < 4).alias("under_4"), F.count_if(m < 10).alias("under_10"))
+    return attach_quantiles(t.registry.select("mape"), stats, [], "mape", {"mape_median": 0.5, "mape_p90": 0.9})
 
 
 @query("agg_cohort_histogram", "tier:s cohort:s n:i delta_mean:4", """SELECT tier, CASE WHEN mape < 5 THEN 'A' WHEN mape < 15 THEN 'B' WHEN mape < 25 THEN 'C' ELSE 'D' END AS cohort, count(*) AS n, avg(peak_mape - mape) AS delta_mean
@@ -207,7 +208,7 @@ def _(t):
     avg(nullif(peak_mape, 0)) AS mean_peak_mape, min(nullif(peak_mape, 0)) AS min_peak_mape, max(nullif(peak_mape, 0)) AS max_peak_mape, count(*) FILTER (mape < 8) AS n_green, count(*) FILTER (mape >= 8 AND mape < 12) AS n_amber, count(*) FILTER (mape >= 12) AS n_red,
     count(*) FILTER (tier LIKE 'HT%') AS n_ht, count(*) FILTER (tier LIKE 'Large%') AS n_large, count(*) FILTER (tier LIKE 'Medium%') AS n_medium, count(*) FILTER (tier LIKE 'Small%') AS n_small FROM registry""")
 def _(t):
-    return attach_quantiles(t.registry, load.registry_summary(t.registry), [], "mape", {"median_mape": 0.5})
+    return attach_quantiles(t.registry, load.registry_summary, [], "mape", {"median_mape": 0.5})
 
 
 @query("agg_actuals_range", "first_ts:t last_ts:t n_meters:i", "SELECT min(ts) AS first_ts, max(ts) AS last_ts, count(DISTINCT meter_id) AS n_meters FROM readings")

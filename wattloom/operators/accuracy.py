@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wattloom import constants as K
 from wattloom.functions.calendar import block_start, day_block, slot_ids
-from wattloom.operators.grids import split_slots
 from wattloom.operators.quantiles import attach_quantiles
+from wattloom.session import cut_lineage
 
 BLOCK_ID = {"dam_15min": "block_id_15min", "native_30min": "block_id_30min", "hourly": "block_id_hour", "tod_4h": "block_id_tod"}
 
@@ -54,28 +54,32 @@ def day_block_metrics(df: DataFrame, keys: list[str], y: str, p: str, min_n: int
     )
 
 
-def block_accuracy(forecast: DataFrame, actual: DataFrame, cadence: str, native_minutes: int = 30, key: str = "meter_id", ts: str = "ts") -> DataFrame:
-    """Energy per meter and block with its errors; near-zero blocks are dropped after aggregation."""
-    if cadence == "dam_15min" and native_minutes == 30:
-        forecast, actual = split_slots(forecast, ts), split_slots(actual, ts)
+def block_accuracy(forecast: DataFrame, actual: DataFrame, cadences: list[str], native_minutes: int = 30, key: str = "meter_id", ts: str = "ts") -> DataFrame:
+    """Energy per meter and block with its errors; near-zero blocks are dropped after aggregation.
+
+    One join and one aggregate serve all cadences: a joined row is repeated per cadence (twice, halved, where a block is
+    half a slot) and combined on the map side.
+    """
     both = forecast.select(key, ts, "predicted_kwh").join(actual.select(key, ts, "actual_kwh"), [key, ts])
-    blocks = both.groupBy(key, block_start(ts, cadence).alias("block_start_ts")).agg(F.sum("predicted_kwh").alias("predicted_kwh"), F.sum("actual_kwh").alias("actual_kwh"))
+    parts = []
+    for c in cadences:
+        offsets = (0, 15) if c == "dam_15min" and native_minutes == 30 else (0,)
+        parts += [F.struct(F.lit(c).alias("cadence"), F.lit(m * 60_000_000).cast("bigint").alias("shift"), F.lit(1.0 / len(offsets)).alias("share")) for m in offsets]
+    rows = both.withColumn("_p", F.explode(F.array(*parts))).withColumn("_ts", F.timestamp_micros(F.unix_micros(ts) + F.col("_p.shift")))
+    start, ids = F.lit(None).cast("timestamp"), F.lit(None).cast("int")
+    for c in cadences:
+        start = F.when(F.col("_p.cadence") == c, block_start("_ts", c)).otherwise(start)
+        ids = F.when(F.col("cadence") == c, slot_ids("block_start_ts")[BLOCK_ID[c]]).otherwise(ids)
+    energy = {c: F.sum(F.col(c) * F.col("_p.share")).alias(c) for c in ("predicted_kwh", "actual_kwh")}
+    blocks = rows.groupBy(key, F.col("_p.cadence").alias("cadence"), start.alias("block_start_ts")).agg(*energy.values())
     err = F.col("predicted_kwh") - F.col("actual_kwh")
     base = F.greatest(F.abs("actual_kwh"), F.lit(K.ZERO_LOAD_KWH))
     return blocks.filter(F.col("actual_kwh") >= K.ZERO_LOAD_KWH).select(
-        key, slot_ids("block_start_ts")[BLOCK_ID[cadence]].alias("block_id"), "block_start_ts", "predicted_kwh", "actual_kwh",
-        F.abs(err).alias("abs_error_kwh"), (100.0 * F.abs(err) / base).alias("ape"), err.alias("mbe_kwh"), (100.0 * err / base).alias("signed_pct_error"), F.lit(cadence).alias("cadence"),
+        key, ids.alias("block_id"), "block_start_ts", "predicted_kwh", "actual_kwh", F.abs(err).alias("abs_error_kwh"),
+        (100.0 * F.abs(err) / base).alias("ape"), err.alias("mbe_kwh"), (100.0 * err / base).alias("signed_pct_error"), "cadence",
     )
 
 
-def all_cadences(forecast: DataFrame, actual: DataFrame, native_minutes: int = 30) -> DataFrame:
-    frames = [block_accuracy(forecast, actual, c, native_minutes) for c in BLOCK_ID]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
 def _distinct_meters(df: DataFrame, keys: list[str]) -> DataFrame:
     """Meters and blocks per key by two hash aggregates, without a distinct set per group."""
     per_meter = df.groupBy(*keys, "meter_id").agg(F.count("*").alias("_c"), F.sum("ape").alias("_a"), F.sum("mbe_kwh").alias("_b"), F.max("ape").alias("_m"))
@@ -89,13 +93,13 @@ def cohort_rollup(blocks: DataFrame, cohorts: DataFrame) -> DataFrame:
     """Mean, median and 95th percentile per cohort and cadence; meters without a cohort are dropped."""
     df = blocks.join(cohorts.select("meter_id", "cohort"), "meter_id").select("cohort", "cadence", "meter_id", "ape", "mbe_kwh")
     keys = ["cohort", "cadence"]
-    return attach_quantiles(df, _distinct_meters(df, keys).drop("max_mape"), keys, "ape", {"median_mape": 0.5, "p95_mape": 0.95})
+    return attach_quantiles(df, lambda d: _distinct_meters(d, keys).drop("max_mape"), keys, "ape", {"median_mape": 0.5, "p95_mape": 0.95})
 
 
 def fleet_mape(blocks: DataFrame) -> DataFrame:
     df = blocks.select("meter_id", "ape", "mbe_kwh")
     probs = {"median_mape": 0.5, "p25_mape": 0.25, "p75_mape": 0.75, "p95_mape": 0.95}
-    return attach_quantiles(df, _distinct_meters(df, []), [], "ape", probs)
+    return attach_quantiles(df, lambda d: _distinct_meters(d, []), [], "ape", probs)
 
 
 def meter_cadence_summary(blocks: DataFrame) -> DataFrame:
@@ -142,8 +146,9 @@ def origin_rollups(df: DataFrame) -> DataFrame:
         F.count_if(F.col("mape") < 4).alias("under_4pct"), F.count_if(F.col("mape") < 10).alias("under_10pct"),
     )
     probs = {"mape_median": 0.5, "mape_p90": 0.9}
+    df = cut_lineage(df.select("meter_id", "origin", "mape"), "origins")
     q = df.groupBy("meter_id").agg(F.percentile("mape", F.array(F.lit(0.5), F.lit(0.9))).alias("_q"))
     meter = stats(df.groupBy("meter_id")).join(q, "meter_id").withColumns({"mape_median": F.col("_q")[0], "mape_p90": F.col("_q")[1], "level": F.lit("meter")}).drop("_q").withColumnRenamed("meter_id", "item")
-    origin = attach_quantiles(df, stats(df.groupBy("origin")), ["origin"], "mape", probs).withColumns({"level": F.lit("origin"), "item": F.date_format("origin", "yyyy-MM-dd")}).drop("origin")
-    fleet = attach_quantiles(df, stats(df.groupBy()), [], "mape", probs).withColumns({"level": F.lit("fleet"), "item": F.lit("fleet")})
+    origin = attach_quantiles(df, lambda d: stats(d.groupBy("origin")), ["origin"], "mape", probs, materialised=True).withColumns({"level": F.lit("origin"), "item": F.date_format("origin", "yyyy-MM-dd")}).drop("origin")
+    fleet = attach_quantiles(df, lambda d: stats(d.groupBy()), [], "mape", probs, materialised=True).withColumns({"level": F.lit("fleet"), "item": F.lit("fleet")})
     return meter.unionByName(origin).unionByName(fleet)

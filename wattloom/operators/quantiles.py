@@ -9,23 +9,26 @@ from pyspark.sql import DataFrame, Window, functions as F
 from wattloom.session import cut_lineage
 
 BROADCAST_GROUPS = 10_000
+ONE_TASK_ROWS = 1_000_000
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], bins: int = 1024, rounds: int = 2) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], bins: int = 1024, rounds: int = 2, one_task_rows: int = ONE_TASK_ROWS, materialised: bool = False) -> DataFrame:
     """Linearly interpolated quantiles per key, equal to ``percentile``.
 
     ``percentile`` holds every distinct value of a group in one task.  Here equal-width histograms, combined on the map
     side, narrow the interval of each wanted rank; only values of the final interval are ordered.  The input is
-    materialised once because each round reads it.
+    materialised once because each round reads it.  Where the largest group is measured to be small, ``percentile`` does it.
     """
     names = list(probs)
-    df = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")).withColumn("_k", F.lit(0))
-    base = cut_lineage(df)
+    df = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    base = (df if materialised else cut_lineage(df, "quantile-input")).withColumn("_k", F.lit(0))
     group = [*keys, "_k"]
     stats = base.groupBy(*group).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    stats = cut_lineage(stats)
-    small = stats.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    hint = F.broadcast if small else (lambda d: d)
+    size = stats.agg(F.count("*").alias("groups"), F.max("_n").alias("largest")).first()
+    if (size["largest"] or 0) <= one_task_rows:
+        q = F.percentile("_v", F.array(*[F.lit(p) for p in probs.values()]))
+        return base.groupBy(*group).agg(q.alias("_q")).select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    hint = F.broadcast if size["groups"] <= BROADCAST_GROUPS else (lambda d: d)
 
     wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("p")) for n, p in probs.items()]))
     targets = stats.select("*", wanted.alias("_t")).withColumn("_pos", (F.col("_n") - 1) * F.col("_t.p"))
@@ -64,7 +67,10 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     return point.groupBy(*group).pivot("name", names).agg(F.max("_q")).drop("_k")
 
 
-def attach_quantiles(df: DataFrame, summary: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Summary rows of ``df`` by key with exact quantiles added."""
-    q = exact_quantiles(df, keys, value, probs)
-    return summary.join(q, keys, "left") if keys else summary.withColumn("_k", F.lit(0)).join(q.withColumn("_k", F.lit(0)), "_k", "left").drop("_k")
+def attach_quantiles(df: DataFrame, summarise, keys: list[str], value: str, probs: dict[str, float], materialised: bool = False) -> DataFrame:
+    """``summarise(rows)`` by key with exact quantiles added; both read one materialised input."""
+    rows = df if materialised else cut_lineage(df, "summary-input")
+    q = exact_quantiles(rows, keys, value, probs, materialised=True)
+    if keys:
+        return summarise(rows).join(q, keys, "left")
+    return summarise(rows).withColumn("_k", F.lit(0)).join(q.withColumn("_k", F.lit(0)), "_k", "left").drop("_k")
