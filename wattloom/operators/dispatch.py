@@ -21,11 +21,11 @@ def let(value: Column, use) -> Column:
 
 
 def day_vectors(df: DataFrame, keys: list[str], hour: str, columns: list[str], default: float = 0.0) -> DataFrame:
-    """Twenty-four values per key and column, in hour order; the grouped hours are at most 24."""
-    hourly = df.groupBy(*keys, F.col(hour).alias("_h")).agg(*[F.sum(c).alias(c) for c in columns])
-    packed = hourly.groupBy(*keys).agg(F.collect_list(F.struct("_h", *columns)).alias("_l"))
-    out = {c: F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h, c=c: F.coalesce(F.element_at(F.map_from_entries(F.transform("_l", lambda e: F.struct(e["_h"], e[c]))), h), F.lit(default))) for c in columns}
-    return packed.select(*keys, *[e.alias(c) for c, e in out.items()])
+    """Twenty-four values per key and column, in hour order, from conditional sums combined on the map side."""
+    def vector(c: str) -> Column:
+        return F.array(*[F.coalesce(F.sum(F.when(F.col(hour) == h, F.col(c))), F.lit(default)) for h in range(24)])
+
+    return df.groupBy(*keys).agg(*[vector(c).alias(c) for c in columns])
 
 
 def greedy_day(df: DataFrame, demand: str = "demand", solar: str = "solar", price: str = "price", capacity: str = "capacity_kwh", power: str = "power_kw", strategy: str = "strategy", tariff: float = 6.5) -> DataFrame:
@@ -41,12 +41,15 @@ def greedy_day(df: DataFrame, demand: str = "demand", solar: str = "solar", pric
     df = df.withColumn("_landed", F.transform(price, landed_cost))
     ranked = F.sort_array(F.transform("_landed", lambda x, i: F.struct(x.alias("l"), i.alias("h"))), asc=False)
     n_peak = F.floor(cap / F.greatest(kw, F.lit(1.0))).cast("int")
-    df = df.withColumn("_peak", F.transform(F.slice(ranked, F.lit(1), F.greatest(n_peak, F.lit(0))), lambda s: s["h"]))
-    hours = F.transform(
-        F.sequence(F.lit(0), F.lit(23)),
-        lambda h: F.struct(F.get(demand, h).alias("d"), F.get(solar, h).alias("s"), F.get("_landed", h).alias("l"), F.array_contains("_peak", h).alias("p")),
+    last_peak = F.when(n_peak > 0, F.get(ranked, F.least(n_peak, F.lit(24)) - 1))
+    # Per-day values travel inside the zipped array: a lambda would evaluate them again for every hour.
+    hours = F.arrays_zip(
+        F.col(demand).alias("d"), F.col(solar).alias("s"), F.col("_landed").alias("l"), F.sequence(F.lit(0), F.lit(23)).alias("h"), F.array_repeat(last_peak, 24).alias("last"),
     )
 
+    def is_peak(x: Column) -> Column:
+        return F.coalesce((x["l"] > x["last"]["l"]) | ((x["l"] == x["last"]["l"]) & (x["h"] >= x["last"]["h"])), F.lit(False))
+
     def charge_parts(x: Column, surplus: Column, room: Column) -> Column:
         from_sun = F.when(F.col(strategy) == "full_solar", F.least(x["s"], room)).when(F.col(strategy).isin("solar_surplus", "cheap_grid"), F.least(surplus, room)).otherwise(0.0)
         extra = F.when((F.col(strategy) == "cheap_grid") & (x["l"] < tariff) & (from_sun < room), F.least(room - from_sun, kw - from_sun)).otherwise(0.0)
@@ -60,7 +63,7 @@ def greedy_day(df: DataFrame, demand: str = "demand", solar: str = "solar", pric
         def after_charge(c: Column) -> Column:
             total = c["sun"] + c["grid"]
             level = acc["soc"] + total * root
-            drawn = F.when((rest > 0) & x["p"] & (level > lo), F.least(level - lo, kw, rest)).otherwise(0.0)
+            drawn = F.when((rest > 0) & is_peak(x) & (level > lo), F.least(level - lo, kw, rest)).otherwise(0.0)
 
             def after_discharge(s: Column) -> Column:
                 left = rest - s["drawn"] * root
@@ -77,7 +80,7 @@ def greedy_day(df: DataFrame, demand: str = "demand", solar: str = "solar", pric
 
     row_type = "array<struct<" + ",".join(f"{f}:double" for f in HOUR_FIELDS) + ">>"
     start = F.struct((cap * SOC_START).cast("double").alias("soc"), F.expr(f"cast(array() as {row_type})").alias("rows"))
-    return df.withColumn("schedule", F.aggregate(hours, start, hour, lambda acc: acc["rows"])).drop("_landed", "_peak")
+    return df.withColumn("schedule", F.aggregate(hours, start, hour, lambda acc: acc["rows"])).drop("_landed")
 
 
 def _total(field: str) -> Column:

@@ -189,11 +189,9 @@ def join_filled(df: DataFrame, dim: DataFrame, keys: list[str], columns: list[st
 
 def drop_warmup(df: DataFrame, keys: list[str], rows: int, third: bool = False, ts: str = "ts") -> DataFrame:
     """Drop the first rows of each key; with ``third`` at most a third of them."""
-    df = df.withColumn("_rn", F.row_number().over(ordered(keys, ts)))
-    limit = F.lit(rows)
-    if third:
-        limit = F.least(limit, F.floor(F.count("*").over(Window.partitionBy(*keys)) / F.lit(3)))
-    return df.filter(F.col("_rn") > limit).drop("_rn")
+    df = df.withColumns({"_rn": F.row_number().over(ordered(keys, ts)), "_len": F.count("*").over(Window.partitionBy(*keys))})
+    limit = F.least(F.lit(rows), F.floor(F.col("_len") / F.lit(3))) if third else F.lit(rows)
+    return df.filter(F.col("_rn") > limit).drop("_rn", "_len")
 
 
 WEATHER_COLUMNS = [
