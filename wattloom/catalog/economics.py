@@ -52,7 +52,7 @@ def _(t):
 @query("dsp_greedy_week", "site_id:s week:d total_cost_inr:2 solar_savings_inr:2 bess_savings_inr:2 n_days:i reliability:5", f"""SELECT site_id, date_trunc('week', day) AS week, sum(c) AS total_cost_inr, sum(ss) AS solar_savings_inr, sum(base - c - ss) AS bess_savings_inr, count(*) AS n_days, avg(r) AS reliability FROM (
     SELECT site_id, day, sum(grid) * 6.5 + sum(iex * landed) AS c, sum(solar_direct) * 6.5 AS ss, sum(d) * 6.5 AS base, avg(least((solar_direct + discharge + grid + iex) / greatest(d, 0.001), 1.0)) AS r FROM ({greedy_sql('cheap_grid')}) GROUP BY 1, 2) GROUP BY 1, 2""")
 def _(t):
-    d = dispatch.day_costs(dispatch.greedy_day(one_battery(t)))
+    d = dispatch.day_costs(one_battery(t))
     return d.groupBy("site_id", F.date_trunc("week", "day").alias("week")).agg(*[F.sum(c).alias(c) for c in ("total_cost_inr", "solar_savings_inr", "bess_savings_inr")], F.count("*").alias("n_days"), F.avg("reliability").alias("reliability"))
 
 

@@ -50,13 +50,23 @@ def ffill(value: str | Column, keys: list[str], ts: str = "ts") -> Column:
     return F.last(value, ignorenulls=True).over(w)
 
 
+def newest_first(keys: list[str], ts: str = "ts") -> WindowSpec:
+    """From the last row of a key back to the current one.
+
+    Frames that end at the last row of a key are recomputed for every row; the same rows in descending order are a
+    running frame, at the price of one more sort.
+    """
+    return Window.partitionBy(*keys).orderBy(F.desc(ts)).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def bfill(value: str | Column, keys: list[str], ts: str = "ts") -> Column:
-    w = ordered(keys, ts).rowsBetween(0, Window.unboundedFollowing)
-    return F.first(value, ignorenulls=True).over(w)
+    return F.last(value, ignorenulls=True).over(newest_first(keys, ts))
 
 
 def fill_both(value: str | Column, keys: list[str], ts: str = "ts") -> Column:
-    return F.coalesce(ffill(value, keys, ts), bfill(value, keys, ts))
+    """Forward fill, then the first present value of the key for the rows before it."""
+    whole = ordered(keys, ts).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return F.coalesce(ffill(value, keys, ts), F.first(value, ignorenulls=True).over(whole))
 
 
 def with_runs(df: DataFrame, keys: list[str], flag: Column, ts: str = "ts", run: str = "run_id") -> DataFrame:

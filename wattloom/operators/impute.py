@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wattloom.operators.frames import ordered
+from wattloom.operators.frames import newest_first, ordered
 
 
 def _neighbours(df: DataFrame, keys: list[str], value: str, ts: str, tag: str) -> DataFrame:
     """Previous and next present value with their time and row number."""
-    w = ordered(keys, ts)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    back = ordered(keys, ts).rowsBetween(Window.unboundedPreceding, 0)
     here = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.unix_micros(ts).alias("t"), F.col("_rn").alias("r")))
-    return df.withColumns({f"_p{tag}": F.last(here, ignorenulls=True).over(back), f"_n{tag}": F.first(here, ignorenulls=True).over(ahead)})
+    return df.withColumns({f"_p{tag}": F.last(here, ignorenulls=True).over(back), f"_n{tag}": F.last(here, ignorenulls=True).over(newest_first(keys, ts))})
 
 
 def _linear(value: str, ts: str, tag: str) -> Column:

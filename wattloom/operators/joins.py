@@ -34,8 +34,8 @@ def asof_last(grid: DataFrame, series: DataFrame, ts: str, value: str, keys: lis
     both = grid.select(*keys, ts).withColumn("_g", F.lit(1)).unionByName(series.select(*keys, ts, value).withColumn("_g", F.lit(0)), allowMissingColumns=True)
     w = Window.partitionBy(*part).orderBy(ts, "_g")
     back = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return both.withColumn(value, F.coalesce(back, ahead) if head else back).filter("_g = 1").drop("_g")
+    first = F.first(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return both.withColumn(value, F.coalesce(back, first) if head else back).filter("_g = 1").drop("_g")
 
 
 def at_offset(value: str | Column, keys: list[str], offset_us: int, ts: str = "ts") -> Column:

@@ -52,7 +52,9 @@ def add_robust_history(df: DataFrame, keys: list[str], value: str, medians: list
             pdf[f"ema_{s}"] = past.ewm(span=s, adjust=False, min_periods=1).mean()
         return pdf
 
-    return df.groupBy(*keys).applyInPandas(per_key, schema)
+    # An explicit partition count keeps adaptive coalescing from putting this CPU-bound step into few tasks.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *keys).groupBy(*keys).applyInPandas(per_key, schema)
 
 
 def add_persistence(df: DataFrame, keys: list[str], value: str, day: int, week: int, ts: str = "ts") -> DataFrame:
@@ -238,8 +240,8 @@ def slot_features(df: DataFrame, weather: DataFrame, fleet: DataFrame, keys: lis
 
 def extended_features(df: DataFrame, weather: DataFrame, fleet: DataFrame, keys: list[str], value: str = "demand_kwh", warmup: int = 672, min_hourly: int = 48, ts: str = "ts") -> DataFrame:
     """Slot features plus robust history, persistence, longer similar-day windows, weather lags and variability."""
+    df = add_robust_history(df, keys, value, [6, 12, 48, 336], [6, 24, 48], ts)  # first, while rows are narrow
     df = slot_features(df, weather, fleet, keys, value, warmup=0, min_hourly=min_hourly, ts=ts)
-    df = add_robust_history(df, keys, value, [6, 12, 48, 336], [6, 24, 48], ts)
     df = add_persistence(df, keys, value, 48, 336, ts)
     df = add_similar_day(df.drop("similar_day_k5"), keys, value, extended=True, ts=ts)
     w = ordered(keys, ts)
