@@ -1,14 +1,6 @@
 """All registered queries with their checks."""
 
-from importlib import import_module
-
+from wattloom.catalog import aggregates, economics, grids, joins, models, planning, rows, scalars, sources, streams, windows  # noqa: F401
 from wattloom.catalog.registry import ORACLES, QUERIES
 
-for _part in ("sources", "rows", "joins", "aggregates", "windows", "grids", "scalars", "planning", "economics", "models", "streams"):
-    try:
-        import_module(f"wattloom.catalog.{_part}")
-    except ModuleNotFoundError as missing:
-        if missing.name != f"wattloom.catalog.{_part}":
-            raise
-
 __all__ = ["ORACLES", "QUERIES"]

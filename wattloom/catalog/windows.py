@@ -6,6 +6,7 @@ from wattloom.catalog.registry import query
 from wattloom.operators import detectors, events, frames, impute
 from wattloom.operators.frames import MICROS, at_least, median, ordered, previous_rows, last_rows
 from wattloom.plans import features
+from wattloom.plans.forecasts import price_percentile
 
 KEY = ["meter_id"]
 W = "OVER (PARTITION BY meter_id ORDER BY ts)"
@@ -186,7 +187,7 @@ def _(t):
 
 @query("win_price_percentile", "month:i hour:i price:2 price_percentile:6", "SELECT *, (rank() OVER (PARTITION BY month ORDER BY price) - 1) / count(*) OVER (PARTITION BY month) AS price_percentile FROM prices")
 def _(t):
-    return t.prices.withColumn("price_percentile", features.share_cheaper("month", "price"))
+    return price_percentile(t.prices)
 
 
 @query("win_frozen", "meter_id:s ts:t level:2 is_frozen:b", f"""WITH b AS (SELECT meter_id, ts, floor(demand_kwh / 60) AS level FROM readings),

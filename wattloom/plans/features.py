@@ -161,11 +161,6 @@ def add_consumption_shape(df: DataFrame, keys: list[str], value: str, ts: str =
     })
 
 
-def share_cheaper(month: str, price: str) -> Column:
-    """Share of the rows of a month with a strictly lower price."""
-    return (F.rank().over(Window.partitionBy(month).orderBy(price)) - 1) / F.count("*").over(Window.partitionBy(month))
-
-
 def detect_cadence(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     step = (F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(ordered(keys, ts)))) / 60_000_000.0
     out = df.select(*keys, step.alias("_d")).filter("_d is not null").groupBy(*keys).agg(F.percentile("_d", F.lit(0.5)).alias("median_min"))

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from wattloom.functions import money
 from wattloom.functions.labels import clean_forecast
 from wattloom.operators import grids, joins, load
-from wattloom.plans.features import share_cheaper
 
 BANDS = {"mean_kwh": 1.0, "q10_kwh": 0.7, "q90_kwh": 1.3}
 SLOT = ["dow", "hour", "minute"]
@@ -113,7 +112,20 @@ def price_forecast(df: DataFrame, matrix: DataFrame, ts: str = "ts", temperature
     out = df.withColumns({"month": F.month(ts), "hour": F.hour(ts)}).join(F.broadcast(matrix), ["month", "hour"], "left")
     if temperature:
         out = out.withColumn("price", money.hot_premium(F.col("price"), F.col(temperature)))
-    return out.withColumns({"landed_cost": money.landed_cost(F.col("price")), "price_percentile": share_cheaper("month", "price")})
+    return price_percentile(out.withColumn("landed_cost", money.landed_cost(F.col("price"))))
+
+
+def price_percentile(df: DataFrame, month: str = "month", price: str = "price") -> DataFrame:
+    """Share of the rows of a month with a strictly lower price.
+
+    Rows are counted per distinct price on the map side first; prices depend on the time only, so the ordered window
+    holds at most one row per slot of the month, whatever the number of meters.
+    """
+    counts = df.groupBy(month, price).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(month)
+    below = F.coalesce(F.sum("_c").over(w.orderBy(price).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("price_percentile", below / F.sum("_c").over(w)).drop("_c")
+    return df.join(counts, [month, price])
 
 
 def naive_week(df: DataFrame, keys: list[str], value: str, rows: int = 168, ts: str = "ts") -> DataFrame:
