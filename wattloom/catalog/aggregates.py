@@ -323,7 +323,15 @@ def _(t):
     return load.calibrate(soc_rows(t), "site_id", "voltage", "soc_error", degree=1)
 
 
-@query("agg_poly_calibration_deg2", "site_id:i n_points:i degree:i mean_error_before:4 mean_residual_after:4 r_squared:4")
+QUAD_SQL = f"""WITH r AS (SELECT *, voltage - 415.0 AS x FROM ({SOC_SQL})), s AS (SELECT site_id, CAST(count(*) AS DOUBLE) AS n, sum(x) AS s1, sum(x * x) AS s2, sum(x * x * x) AS s3, sum(x * x * x * x) AS s4, sum(soc_error) AS t0, sum(soc_error * x) AS t1, sum(soc_error * x * x) AS t2,
+        avg(abs(soc_error)) AS mean_error_before, var_pop(soc_error) AS ve FROM r GROUP BY 1), d AS (SELECT *, n * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) AS det FROM s),
+    c AS (SELECT *, (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / det AS c0, (n * (t1 * s4 - s3 * t2) - t0 * (s1 * s4 - s2 * s3) + s2 * (s1 * t2 - s2 * t1)) / det AS c1,
+        (n * (s2 * t2 - s3 * t1) - s1 * (s1 * t2 - s2 * t1) + t0 * (s1 * s3 - s2 * s2)) / det AS c2 FROM d)
+    SELECT c.site_id, any_value(n) AS n_points, 2 AS degree, any_value(mean_error_before) AS mean_error_before, avg(abs(soc_error - c0 - c1 * x - c2 * x * x)) AS mean_residual_after, 1 - avg(pow(soc_error - c0 - c1 * x - c2 * x * x, 2)) / any_value(ve) AS r_squared
+    FROM r JOIN c ON c.site_id = r.site_id GROUP BY 1"""
+
+
+@query("agg_poly_calibration_deg2", "site_id:i n_points:i degree:i mean_error_before:4 mean_residual_after:4 r_squared:4", QUAD_SQL)
 def _(t):
     return load.calibrate(soc_rows(t), "site_id", "voltage", "soc_error", degree=2)
 

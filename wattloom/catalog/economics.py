@@ -19,23 +19,31 @@ def one_battery(t, strategy="cheap_grid"):
     return site_days(t).withColumns({"capacity_kwh": F.lit(200.0), "power_kw": F.lit(50.0), "strategy": F.lit(strategy)})
 
 
-def greedy_sql(strategy, cap="200.0", kw="50.0"):
-    sun = "least(s, room)" if strategy == "full_solar" else "least(greatest(s - direct, 0.0), room)"
-    grid = "CASE WHEN l < 6.5 AND sun < room THEN least(room - sun, kw - sun) ELSE 0.0 END" if strategy == "cheap_grid" else "0.0"
-    return f"""WITH RECURSIVE days AS (SELECT DISTINCT site_id, day FROM ({HOURLY})),
-    g AS MATERIALIZED (SELECT x.site_id, x.day, x.h, coalesce(y.d, 0.0) AS d, coalesce(y.s, 0.0) AS s, coalesce(y.p, 0.0) / (0.961 * 0.9725 * 0.9728) + 1.19 AS l, {cap} AS cap, {kw} AS kw,
-        row_number() OVER (PARTITION BY x.site_id, x.day ORDER BY coalesce(y.p, 0.0) DESC, x.h DESC) <= floor({cap} / greatest({kw}, 1.0)) AS pk
-        FROM (SELECT site_id, day, unnest(range(24)) AS h FROM days) x LEFT JOIN ({HOURLY}) y ON y.site_id = x.site_id AND y.day = x.day AND y.h = x.h),
-    f AS (SELECT site_id, day, -1::BIGINT AS h, {cap} * 0.5 AS soc, 0.0 AS solar_direct, 0.0 AS charge, 0.0 AS discharge, 0.0 AS grid, 0.0 AS iex, 0.0 AS landed, 0.0 AS d FROM days UNION ALL
-        SELECT site_id, day, h, level - drawn, direct, sun + gc, drawn * sqrt(0.88), CASE WHEN rest - drawn * sqrt(0.88) > 0 AND l >= 6.5 THEN rest - drawn * sqrt(0.88) ELSE 0.0 END,
-        gc + CASE WHEN rest - drawn * sqrt(0.88) > 0 AND l < 6.5 THEN rest - drawn * sqrt(0.88) ELSE 0.0 END, l, d FROM (
+ONE_BATTERY = "SELECT site_id, 'x' AS battery, 200.0 AS cap, 50.0 AS kw, '{}' AS strategy FROM (SELECT DISTINCT meter_id AS site_id FROM sites)"
+
+
+def greedy_sql(strategy="cheap_grid", batteries=None):
+    """Hour-by-hour recursion over the days of every battery row (site_id, battery, cap, kw, strategy)."""
+    return f"""WITH RECURSIVE hourly AS MATERIALIZED ({HOURLY}), days AS (SELECT d.site_id, d.day, c.* EXCLUDE (site_id) FROM (SELECT DISTINCT site_id, day FROM hourly) d JOIN ({batteries or ONE_BATTERY.format(strategy)}) c ON c.site_id = d.site_id),
+    g AS MATERIALIZED (SELECT x.site_id, x.day, x.battery, x.strategy, x.h, coalesce(y.d, 0.0) AS d, coalesce(y.s, 0.0) AS s, coalesce(y.p, 0.0) / (0.961 * 0.9725 * 0.9728) + 1.19 AS l, cap, kw,
+        row_number() OVER (PARTITION BY x.site_id, x.day, x.battery, x.strategy ORDER BY coalesce(y.p, 0.0) DESC, x.h DESC) <= floor(cap / greatest(kw, 1.0)) AS pk
+        FROM (SELECT *, unnest(range(24)) AS h FROM days) x LEFT JOIN hourly y ON y.site_id = x.site_id AND y.day = x.day AND y.h = x.h),
+    f AS (SELECT site_id, day, battery, strategy, -1::BIGINT AS h, cap * 0.5 AS soc, 0.0 AS solar_direct, 0.0 AS charge, 0.0 AS discharge, 0.0 AS grid, 0.0 AS iex, 0.0 AS landed, 0.0 AS d, cap, kw FROM days UNION ALL
+        SELECT site_id, day, battery, strategy, h, level - drawn, direct, sun + gc, drawn * sqrt(0.88), CASE WHEN rest - drawn * sqrt(0.88) > 0 AND l >= 6.5 THEN rest - drawn * sqrt(0.88) ELSE 0.0 END,
+        gc + CASE WHEN rest - drawn * sqrt(0.88) > 0 AND l < 6.5 THEN rest - drawn * sqrt(0.88) ELSE 0.0 END, l, d, cap, kw FROM (
         SELECT *, CASE WHEN rest > 0 AND pk AND level > cap * 0.1 THEN least(level - cap * 0.1, kw, rest) ELSE 0.0 END AS drawn FROM (
-        SELECT *, soc + (sun + gc) * sqrt(0.88) AS level FROM (SELECT *, {grid} AS gc FROM (SELECT *, {sun} AS sun FROM (
-        SELECT g.*, f.soc, least(g.s, g.d) AS direct, g.d - least(g.s, g.d) AS rest, CASE WHEN f.soc < cap * 0.9 THEN least(cap * 0.9 - f.soc, kw) ELSE 0.0 END AS room
-        FROM f JOIN g ON g.site_id = f.site_id AND g.day = f.day AND g.h = f.h + 1))))))
+        SELECT *, soc + (sun + gc) * sqrt(0.88) AS level FROM (SELECT *, CASE WHEN strategy = 'cheap_grid' AND l < 6.5 AND sun < room THEN least(room - sun, kw - sun) ELSE 0.0 END AS gc FROM (
+        SELECT *, CASE WHEN strategy = 'full_solar' THEN least(s, room) ELSE least(greatest(s - direct, 0.0), room) END AS sun FROM (
+        SELECT g.*, f.soc, least(g.s, g.d) AS direct, g.d - least(g.s, g.d) AS rest, CASE WHEN f.soc < g.cap * 0.9 THEN least(g.cap * 0.9 - f.soc, g.kw) ELSE 0.0 END AS room
+        FROM f JOIN g ON g.site_id = f.site_id AND g.day = f.day AND g.battery = f.battery AND g.strategy = f.strategy AND g.h = f.h + 1))))))
     SELECT *, h AS hour FROM f WHERE h >= 0"""
 
 
+def costs_sql(batteries=None):
+    return f"""SELECT site_id, day, battery, strategy, any_value(cap) AS cap, any_value(kw) AS kw, sum(grid) * 6.5 + sum(iex * landed) AS c, sum(solar_direct) * 6.5 AS ss, sum(d) * 6.5 AS base,
+        avg(least((solar_direct + discharge + grid + iex) / greatest(d, 0.001), 1.0)) AS r FROM ({greedy_sql(batteries=batteries)}) GROUP BY 1, 2, 3, 4"""
+
+
 HOUR_COLS = "site_id:s day:d hour:i solar_direct:4 charge:4 discharge:4 soc:4 grid:4 iex:4 landed:4"
 
 
@@ -49,8 +57,8 @@ def _(t):
     return dispatch.hourly_rows(dispatch.greedy_day(one_battery(t, "full_solar")), ["site_id", "day"])
 
 
-@query("dsp_greedy_week", "site_id:s week:d total_cost_inr:2 solar_savings_inr:2 bess_savings_inr:2 n_days:i reliability:5", f"""SELECT site_id, date_trunc('week', day) AS week, sum(c) AS total_cost_inr, sum(ss) AS solar_savings_inr, sum(base - c - ss) AS bess_savings_inr, count(*) AS n_days, avg(r) AS reliability FROM (
-    SELECT site_id, day, sum(grid) * 6.5 + sum(iex * landed) AS c, sum(solar_direct) * 6.5 AS ss, sum(d) * 6.5 AS base, avg(least((solar_direct + discharge + grid + iex) / greatest(d, 0.001), 1.0)) AS r FROM ({greedy_sql('cheap_grid')}) GROUP BY 1, 2) GROUP BY 1, 2""")
+@query("dsp_greedy_week", "site_id:s week:d total_cost_inr:2 solar_savings_inr:2 bess_savings_inr:2 n_days:i reliability:5", f"""SELECT site_id, date_trunc('week', day) AS week, sum(c) AS total_cost_inr, sum(ss) AS solar_savings_inr, sum(base - c - ss) AS bess_savings_inr, count(*) AS n_days, avg(r) AS reliability
+    FROM ({costs_sql()}) GROUP BY 1, 2""")
 def _(t):
     d = dispatch.day_costs(one_battery(t))
     return d.groupBy("site_id", F.date_trunc("week", "day").alias("week")).agg(*[F.sum(c).alias(c) for c in ("total_cost_inr", "solar_savings_inr", "bess_savings_inr")], F.count("*").alias("n_days"), F.avg("reliability").alias("reliability"))
@@ -62,12 +70,20 @@ def sweep(t):
     return dispatch.size_sweep(site_days(t), grid, "site_id")
 
 
-@query("dsp_size_sweep", "site_id:s capacity_kwh:3 duration_h:i strategy:s power_kw:3 annual_savings_inr:1 capex_inr:1 payback_years:3 irr:4 n_days:i")
+SWEEP_SQL = """SELECT site_id, s || 'x' || d AS battery, m * s AS cap, m * s / d AS kw, g AS strategy FROM (SELECT meter_id AS site_id, avg(demand_kwh) AS m FROM sites GROUP BY 1), (VALUES (1), (2), (4)) a(s), (VALUES (2), (4), (6)) b(d), (VALUES ('cheap_grid'), ('full_solar'), ('solar_surplus')) c(g)"""
+
+
+@query("dsp_size_sweep", "site_id:s capacity_kwh:3 duration_h:i strategy:s power_kw:3 annual_savings_inr:1 capex_inr:1 payback_years:1 irr:4 n_days:i", f"""SELECT *, capex_inr / greatest(annual_savings_inr, 1.0) AS payback_years, CASE WHEN annual_savings_inr > 0 THEN annual_savings_inr / capex_inr ELSE -1.0 END AS irr FROM (
+    SELECT site_id, any_value(cap) AS capacity_kwh, CAST(split_part(battery, 'x', 2) AS INT) AS duration_h, strategy, any_value(kw) AS power_kw, sum(base - c) * 365.0 / count(*) AS annual_savings_inr, any_value(cap) * 15000.0 AS capex_inr, count(*) AS n_days FROM ({costs_sql(SWEEP_SQL)}) GROUP BY site_id, battery, strategy)""")
 def _(t):
     return sweep(t)
 
 
-@query("dsp_compare_scenarios", "site_id:s battery:s annual_savings_inr:1 capex_inr:1 payback_years:3 n_days:i")
+COMPARE_SQL = "SELECT site_id, b AS battery, cap, kw, 'cheap_grid' AS strategy FROM (SELECT DISTINCT meter_id AS site_id FROM sites), (VALUES ('none', 0.0, 0.0), ('small', 200.0, 50.0), ('large', 500.0, 125.0)) v(b, cap, kw)"
+
+
+@query("dsp_compare_scenarios", "site_id:s battery:s annual_savings_inr:1 capex_inr:1 payback_years:2 n_days:i", f"""WITH c AS MATERIALIZED ({costs_sql(COMPARE_SQL)}), s AS (SELECT x.site_id, x.battery, sum(n.c - x.c) * 365.0 / count(*) AS annual_savings_inr, any_value(x.cap) * 15000.0 AS capex_inr, count(*) AS n_days FROM c x JOIN c n ON n.site_id = x.site_id AND n.day = x.day AND n.battery = 'none' WHERE x.battery <> 'none' GROUP BY 1, 2)
+    SELECT *, CASE WHEN annual_savings_inr > 0 THEN capex_inr / annual_savings_inr END AS payback_years FROM s""")
 def _(t):
     return dispatch.compare_batteries(site_days(t), ["site_id", "day"], [("small", 200.0, 50.0), ("large", 500.0, 125.0)], "site_id")
 

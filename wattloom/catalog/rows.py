@@ -11,7 +11,7 @@ from wattloom.operators.grids import one_per_slot
 @query("flt_time_slice", "meter_id:s ts:t demand_kwh:4",
        "SELECT meter_id, ts, demand_kwh FROM readings WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-17 00:00:00'")
 def _(t):
-    return t.readings.filter((F.col("ts") >= F.lit("2024-01-10").cast("timestamp")) & (F.col("ts") < F.lit("2024-01-17").cast("timestamp")))
+    return t.hourly_readings(t.read("events", between=("ts", "2024-01-10 00:00:00", "2024-01-17 00:00:00")))
 
 
 def eligible_meters(df, keys, ts, min_days):

@@ -23,8 +23,13 @@ class Tables:
         self.spark = spark
         self.folder = folder
 
-    def read(self, name: str) -> DataFrame:
+    def read(self, name: str, between: tuple[str, str, str] | None = None) -> DataFrame:
+        """A supplied table with wall-clock times; ``between`` (column, from, before) filters the stored column, so it reaches the scan."""
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if between:
+            c, start, end = between
+            kind = df.schema[c].dataType
+            df = df.filter((F.col(c) >= F.lit(start).cast(kind)) & (F.col(c) < F.lit(end).cast(kind)))
         for field in df.schema.fields:
             if field.dataType.typeName() == "timestamp_ntz":
                 df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
@@ -36,8 +41,12 @@ class Tables:
 
     @cached_property
     def readings(self):
+        return self.hourly_readings(self.events)
+
+    @staticmethod
+    def hourly_readings(events: DataFrame) -> DataFrame:
         return (
-            self.events.groupBy(F.col("user_id").cast("string").alias("meter_id"), F.date_trunc("hour", "ts").alias("ts"))
+            events.groupBy(F.col("user_id").cast("string").alias("meter_id"), F.date_trunc("hour", "ts").alias("ts"))
             .agg(q(F.sum("value"), 4).alias("demand_kwh"), F.count("*").alias("n_events"), F.sum("event_id").alias("tag"))
             .withColumn("voltage", 220.0 + (F.col("tag") % 41) * 0.5)
         )

@@ -1,4 +1,4 @@
-"""Window frames, fills, runs and rolling moments keyed by meter.
+"""Window frames, fills and rolling moments keyed by meter.
 
 Inputs hold one row per key and slot (see ``grids.one_per_slot``), so a window partition is bounded by the number of
 slots on the calendar, whatever the volume of raw packets behind it.
@@ -69,17 +69,6 @@ def fill_both(value: str | Column, keys: list[str], ts: str = "ts") -> Column:
     return F.coalesce(ffill(value, keys, ts), F.first(value, ignorenulls=True).over(whole))
 
 
-def with_runs(df: DataFrame, keys: list[str], flag: Column, ts: str = "ts", run: str = "run_id") -> DataFrame:
-    """Number the maximal runs of equal ``flag`` per key, from 0."""
-    w = ordered(keys, ts)
-    return (
-        df.withColumn("_flag", F.coalesce(flag, F.lit(False)))
-        .withColumn("_start", F.coalesce(F.col("_flag") != F.lag("_flag").over(w), F.lit(False)).cast("int"))
-        .withColumn(run, F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .drop("_start")
-    )
-
-
 def with_rolling_moments(
     df: DataFrame,
     keys: list[str],
