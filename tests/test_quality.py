@@ -161,3 +161,16 @@ def test_centred_frame_is_half_open(spark, series):
     df = series(range(9), step="1 hour")
     got = flags(df.withColumn("n", F.count("v").over(centred_time(KEY, 4 * MICROS["hour"]))), "n")
     assert got == [3, 4, 4, 4, 4, 4, 4, 3, 2]
+
+
+def test_chunks_equal_whole_series(series):
+    from wattloom.operators.frames import in_chunks
+
+    rnd = [((i * 7919) % 101) * 1.0 for i in range(400)]
+    rnd[96] = rnd[191] = rnd[300] = 2000.0
+    df = series(rnd)
+    whole = flags(detectors.rolling(df, KEY, "v", hours=6), "is_rolling_outlier")
+    split = flags(in_chunks(df, KEY, MICROS["day"], 3 * MICROS["hour"], 3 * MICROS["hour"], lambda d, k: detectors.rolling(d, k, "v", hours=6)), "is_rolling_outlier")
+    assert whole == split and whole[96] and whole[191] and whole[300]
+    with pytest.raises(ValueError):
+        in_chunks(df, KEY, MICROS["hour"], MICROS["day"], 0, lambda d, k: d)

@@ -78,7 +78,7 @@ def _(t):
 
 
 METRICS_SQL = """SELECT meter_id, coalesce(avg(e), 0) AS mape, avg(abs(a - p)) AS mae, avg(p - a) AS mbe, sqrt(avg((a - p) * (a - p))) AS rmse,
-    1 - sum((a - p) * (a - p)) / (var_pop(a) * count(*)) AS r2, coalesce(100.0 * count(*) FILTER (e <= 5) / nullif(count(e), 0), 0) AS within5, coalesce(100.0 * count(*) FILTER (e <= 10) / nullif(count(e), 0), 0) AS within10,
+    CASE WHEN var_pop(a) * count(*) > 1e-12 THEN 1 - sum((a - p) * (a - p)) / (var_pop(a) * count(*)) ELSE 0 END AS r2, coalesce(100.0 * count(*) FILTER (e <= 5) / nullif(count(e), 0), 0) AS within5, coalesce(100.0 * count(*) FILTER (e <= 10) / nullif(count(e), 0), 0) AS within10,
     100.0 * avg((a BETWEEN lo AND hi)::INT) AS coverage_80, 100.0 * avg(2 * abs(a - p) / greatest(abs(a) + abs(p), 0.5)) AS smape, 100.0 * sum(abs(a - p)) / sum(abs(a)) AS wape,
     count(*) AS n, count(*) FILTER (a > 0.5) AS n_nonzero, 100.0 * count(*) FILTER (a <= 0.5) / count(*) AS zero_pct FROM (
     SELECT meter_id, actual_kwh AS a, predicted_kwh AS p, q10_kwh AS lo, q90_kwh AS hi, CASE WHEN actual_kwh > 0.5 THEN abs(actual_kwh - predicted_kwh) / actual_kwh * 100 END AS e FROM fc) GROUP BY 1"""

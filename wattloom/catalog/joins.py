@@ -140,9 +140,9 @@ def registries(t):
 def _(t):
     old, new = registries(t)
     c = old.join(new, "msn").withColumn("delta", F.col("mape_new") - F.col("mape_old"))
-    n = c.agg(F.count_if(F.col("delta") < 0).alias("n_improved"), F.count_if(F.col("delta") > 0).alias("n_worsened")).withColumn("_k", F.lit(0))
-    c = c.withColumns({"verdict": F.when(F.col("delta") < 0, "improved").when(F.col("delta") > 0, "worsened").otherwise("equal"), "_k": F.lit(0)})
-    return c.join(F.broadcast(n), "_k")  # one row
+    total = lambda hit: c.agg(F.count_if(hit)).scalar()
+    verdict = F.when(F.col("delta") < 0, "improved").when(F.col("delta") > 0, "worsened").otherwise("equal")
+    return c.select("*", verdict.alias("verdict"), total(F.col("delta") < 0).alias("n_improved"), total(F.col("delta") > 0).alias("n_worsened"))
 
 
 @query("join_semi_isin", ID, "SELECT meter_id, ts, demand_kwh FROM sites WHERE date_trunc('day', ts) IN (SELECT date_trunc('day', ts) FROM price_series WHERE price > 6.2) AND meter_id NOT IN (SELECT meter_id FROM sites WHERE tag % 997 = 0)")

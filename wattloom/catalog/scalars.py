@@ -162,9 +162,9 @@ def _(t):
     SELECT site_id, d / cd * 100 AS demand_share_pct, sol / cs * 100 AS solar_share_pct, sol - d AS net_position_kwh, sol > d AS is_prosumer, 1000.0 * d / cd * CASE WHEN sol > d THEN 1.5 ELSE 1.0 END AS network_value_inr, d / cd * 0.4 + sol / cs * 0.6 AS contribution_score FROM s, c""")
 def _(t):
     boost = F.when(F.col("site_id").like("click%"), 5.0).otherwise(1.0)
-    s = t.schedule.groupBy("site_id").agg(F.sum("demand_kwh").alias("d"), F.sum("solar_kwh").alias("raw")).withColumns({"sol": F.col("raw") * boost, "_k": F.lit(0)})
-    total = s.groupBy("_k").agg(F.sum("d").alias("cd"), F.sum("sol").alias("cs"))  # one row
-    return money.add_network_value(s.join(F.broadcast(total), "_k").withColumn("save", F.lit(1000.0)), "d", "cd", "sol", "cs", "save")
+    s = t.schedule.groupBy("site_id").agg(F.sum("demand_kwh").alias("d"), F.sum("solar_kwh").alias("raw")).withColumns({"sol": F.col("raw") * boost, "save": F.lit(1000.0)})
+    s = s.select("*", s.agg(F.sum("d")).scalar().alias("cd"), s.agg(F.sum("sol")).scalar().alias("cs"))
+    return money.add_network_value(s, "d", "cd", "sol", "cs", "save")
 
 
 @query("fn_log1p", "meter_id:s ts:t use_log:b y:6 back:4", """SELECT meter_id, ts, z > 30 AS use_log, CASE WHEN z > 30 THEN ln(1 + demand_kwh) ELSE demand_kwh END AS y, demand_kwh AS back FROM (SELECT *, 100.0 * count(*) FILTER (demand_kwh < 20) OVER (PARTITION BY meter_id) / count(*) OVER (PARTITION BY meter_id) AS z FROM readings)""")

@@ -21,6 +21,11 @@ def incl(n):
     return f"OVER (PARTITION BY meter_id ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
 
+def by_week(df, apply, before, after):
+    """Bounded frames in weekly chunks, reaching the given hours into the neighbours."""
+    return frames.in_chunks(df, KEY, 7 * MICROS["day"], before * MICROS["hour"], after * MICROS["hour"], apply)
+
+
 HOURS = [1, 2, 3, 6, 12, 24, 48, 168]
 
 
@@ -227,7 +232,7 @@ SHORT = "OVER (PARTITION BY meter_id ORDER BY ts RANGE BETWEEN INTERVAL '149 min
 @query("win_outlier_rolling", ID + " is_rolling_outlier:b", f"""SELECT meter_id, ts, demand_kwh, coalesce(count(demand_kwh) {CENTRED} >= 10 AND
     abs(demand_kwh - median(demand_kwh) {CENTRED}) / nullif(stddev_samp(demand_kwh) {CENTRED}, 0) > 3, false) AS is_rolling_outlier FROM grid""")
 def _(t):
-    return detectors.rolling(t.grid, KEY, "demand_kwh")
+    return by_week(t.grid, lambda d, k: detectors.rolling(d, k, "demand_kwh"), before=24, after=24)
 
 
 BASE_SQL = f"""SELECT *, CASE WHEN count(kva) {TRAIL} >= 10 THEN median(kva) {TRAIL} END AS kva_base, CASE WHEN count(kva) {TRAIL} >= 10 THEN stddev_samp(kva) {TRAIL} END AS kva_sigma,
@@ -240,13 +245,16 @@ ART_SQL = f"""SELECT *, coalesce(abs(kva - kva_base) / nullif(kva_sigma, 0) > 2
 
 @query("win_ct_artefact", "meter_id:s ts:t kva_base:5 kva_sigma:5 is_ct_artefact:b no_freq:b", ART_SQL)
 def _(t):
-    df = events.ct_artefacts(t.channels, KEY, sigma=2.0)
-    return events.ct_artefacts(df.withColumnRenamed("is_ct_artefact", "with_freq"), KEY, sigma=3.0, frequency=None).withColumnsRenamed({"is_ct_artefact": "no_freq", "with_freq": "is_ct_artefact"})
+    def both_rules(d, k):
+        d = events.ct_artefacts(d, k, sigma=2.0).withColumnRenamed("is_ct_artefact", "with_freq")
+        return events.ct_artefacts(d, k, sigma=3.0, frequency=None).withColumnsRenamed({"is_ct_artefact": "no_freq", "with_freq": "is_ct_artefact"})
+
+    return by_week(t.channels, both_rules, before=48, after=0)
 
 
 @query("win_pf_artefact", "meter_id:s ts:t kva_local:5 is_pf_artefact:b", ART_SQL)
 def _(t):
-    return events.pf_artefacts(t.channels, KEY, sigma=1.0, short_us=5 * MICROS["hour"])
+    return by_week(t.channels, lambda d, k: events.pf_artefacts(d, k, sigma=1.0, short_us=5 * MICROS["hour"]), before=48, after=3)
 
 
 @query("win_clean_signal", "meter_id:s ts:t is_artefact:b kva_clean:4", f"""WITH a AS ({ART_SQL.replace('nullif(kva_sigma, 0) > 2', 'nullif(kva_sigma, 0) > 1')}),
@@ -271,7 +279,7 @@ def _(t):
 
 @query("win_dg_voltage", "meter_id:s ts:t is_dg_voltage:b", DG_SQL)
 def _(t):
-    return events.voltage_signature(t.channels, KEY, width_us=5 * MICROS["hour"])
+    return by_week(t.channels, lambda d, k: events.voltage_signature(d, k, width_us=5 * MICROS["hour"]), before=3, after=3)
 
 
 PERIOD_SQL = f"""WITH d AS ({DG_SQL}), w AS (SELECT *, lag(is_dg) {W} AS was FROM d)

@@ -69,6 +69,22 @@ def fill_both(value: str | Column, keys: list[str], ts: str = "ts") -> Column:
     return F.coalesce(ffill(value, keys, ts), F.first(value, ignorenulls=True).over(whole))
 
 
+def in_chunks(df: DataFrame, keys: list[str], chunk_us: int, before_us: int, after_us: int, apply, ts: str = "ts") -> DataFrame:
+    """Run ``apply(df, keys)`` on time chunks of each key with the neighbouring rows its frames reach.
+
+    Exact for frames that reach at most ``before_us`` back and ``after_us`` ahead.  A hot or very long key becomes many
+    tasks; only the rows near chunk borders are repeated.
+    """
+    if max(before_us, after_us) > chunk_us:
+        raise ValueError("frames must not reach beyond the neighbouring chunk")
+    t = F.unix_micros(ts)
+    own = F.floor(t / F.lit(chunk_us))
+    into = t - own * chunk_us
+    homes = F.array(own, F.when(into >= chunk_us - before_us, own + 1), F.when(into < after_us, own - 1))
+    rows = df.withColumn("_chunk", F.explode(F.array_compact(homes)))
+    return apply(rows, [*keys, "_chunk"]).filter(F.col("_chunk") == own).drop("_chunk")
+
+
 def with_rolling_moments(
     df: DataFrame,
     keys: list[str],

@@ -17,18 +17,19 @@ def one_per_slot(df: DataFrame, keys: list[str], prefer: str | None = None, earl
     return df.groupBy(*keys).agg(pick.alias("_row")).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
-def span_grid(df: DataFrame, keys: list[str], ts: str, step: str) -> DataFrame:
-    """Every slot between the first and the last row of each key."""
-    return (
-        df.groupBy(*keys)
-        .agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
-        .select(*keys, F.explode(F.expr(f"sequence(_lo, _hi, interval {step})")).alias(ts))
-    )
-
-
 def reindex(df: DataFrame, keys: list[str], ts: str, step: str, fill: float | None = None) -> DataFrame:
-    """Align rows to the complete grid of their key; absent slots become null or ``fill``."""
-    out = span_grid(df, keys, ts, step).join(df, [*keys, ts], "left")
+    """Every slot between the first and the last row of a key; absent slots become null or ``fill``.
+
+    Rows lie on slots.  Each row emits itself and the absent slots up to the next row, so the rows are shuffled once by
+    key, no grid is joined, and later windows by key reuse the partitioning.
+    """
+    w = Window.partitionBy(*keys).orderBy(ts)
+    values = [c for c in df.columns if c not in (*keys, ts)]
+    df = df.withColumn("_next", F.lead(ts).over(w))
+    slots = F.expr(f"sequence({ts}, greatest({ts}, coalesce(_next - interval {step}, {ts})), interval {step})")
+    out = df.select(*keys, *values, F.posexplode(slots).alias("_pos", ts))
+    kept = {c: F.when(F.col("_pos") == 0, F.col(c)) for c in values}
+    out = out.select(*keys, ts, *[e.alias(c) for c, e in kept.items()])
     return out if fill is None else out.fillna(fill)
 
 

@@ -8,6 +8,7 @@ from wattloom import constants as K
 from wattloom.functions.labels import health
 from wattloom.operators.accuracy import masked_mape
 from wattloom.operators.frames import ordered
+from wattloom.operators.quantiles import merge_single_rows
 
 
 def first_peak(value: Column, ts: str = "ts") -> Column:
@@ -30,10 +31,10 @@ def diversity(df: DataFrame, key: str, wh: str, ts: str = "ts") -> DataFrame:
     kw = F.col(wh) * K.WH_PER_HALF_HOUR_TO_KW
     single = df.groupBy(key).agg(F.max(kw).alias("p")).agg(F.sum(F.greatest("p", F.lit(0.0))).alias("sum_individual_peaks"))
     total = df.groupBy(ts).agg(F.sum(kw).alias("s")).agg(first_peak(F.col("s"), ts).alias("c"))
-    out = single.withColumn("_k", F.lit(0)).join(total.withColumn("_k", F.lit(0)), "_k").drop("_k")
-    top = F.col("c.v")
-    return out.select("sum_individual_peaks", top.alias("coincident_peak_kw"), F.col("c.t").alias("coincident_ts"),
-                      F.when(top > 0, F.col("sum_individual_peaks") / F.nullif(top, F.lit(0.0))).otherwise(0.0).alias("diversity_factor"))
+    total = total.select(F.col("c.v").alias("coincident_peak_kw"), F.col("c.t").alias("coincident_ts"))
+    top = F.col("coincident_peak_kw")
+    ratio = F.when(top > 0, F.col("sum_individual_peaks") / F.nullif(top, F.lit(0.0))).otherwise(0.0)
+    return merge_single_rows(single, total).withColumn("diversity_factor", ratio)
 
 
 def resample_sum(df: DataFrame, keys: list[str], value: str, minutes: int, ts: str = "ts") -> DataFrame:

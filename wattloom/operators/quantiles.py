@@ -73,4 +73,10 @@ def attach_quantiles(df: DataFrame, summarise, keys: list[str], value: str, prob
     q = exact_quantiles(rows, keys, value, probs, materialised=True)
     if keys:
         return summarise(rows).join(q, keys, "left")
-    return summarise(rows).withColumn("_k", F.lit(0)).join(q.withColumn("_k", F.lit(0)), "_k", "left").drop("_k")
+    return merge_single_rows(summarise(rows), q)
+
+
+def merge_single_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two one-row frames side by side."""
+    both = a.unionByName(b, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])

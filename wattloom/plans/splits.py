@@ -20,35 +20,35 @@ def by_rows(df: DataFrame, keys: list[str], share: float = 0.75, ts: str = "ts")
     return df.withColumn("split", F.when(F.row_number().over(ordered(keys, ts)) <= cut, "train").otherwise("test"))
 
 
-def _days(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    return df.groupBy(*keys, F.date_trunc("day", F.col(ts)).alias("_day")).agg(F.count("*").alias("_n"))
+def _day_index(df: DataFrame, keys: list[str], ts: str, min_slots: int = 0) -> DataFrame:
+    """Whether the day of a row is complete, its index among complete days and their number; one shuffle by key."""
+    day = F.date_trunc("day", F.col(ts))
+    in_day, w = Window.partitionBy(*keys, day), Window.partitionBy(*keys)
+    df = df.withColumns({"_full": F.count("*").over(in_day) >= min_slots, "_new": F.row_number().over(in_day.orderBy(ts)) == 1})
+    step = (F.col("_full") & F.col("_new")).cast("int")
+    return df.withColumns({"_i": F.sum(step).over(w.orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)) - 1, "_of": F.sum(step).over(w)})
 
 
 def every_nth_day(df: DataFrame, keys: list[str], every: int = 4, offset: int = 0, min_slots: int = 44, cap_share: float | None = None, keep_incomplete: bool = True, ts: str = "ts") -> DataFrame:
     """Every n-th complete day is held out; incomplete days train or, without ``keep_incomplete``, are dropped."""
-    days = _days(df, keys, ts).withColumn("_full", F.col("_n") >= min_slots)
-    w = Window.partitionBy(*keys, "_full")
-    days = days.withColumns({"_i": F.row_number().over(w.orderBy("_day")) - 1, "_of": F.count("*").over(w)})
-    hold = F.col("_full") & (F.col("_i") >= offset) & ((F.col("_i") - offset) % every == 0)
+    out = _day_index(df, keys, ts, min_slots)
+    place = F.col("_i") - offset
+    hold = F.col("_full") & (place >= 0) & (place % every == 0)
     if cap_share is not None:
-        hold = hold & (F.floor((F.col("_i") - offset) / F.lit(every)) < F.greatest(F.lit(1), F.floor(F.col("_of") * cap_share)))
-    days = days.withColumn("split", F.when(hold, "test").otherwise("train"))
+        hold = hold & (F.floor(place / F.lit(every)) < F.greatest(F.lit(1), F.floor(F.col("_of") * cap_share)))
     if not keep_incomplete:
-        days = days.filter("_full")
-    return df.withColumn("_day", F.date_trunc("day", F.col(ts))).join(days.select(*keys, "_day", "split"), [*keys, "_day"]).drop("_day")
+        out = out.filter("_full")
+    return out.withColumn("split", F.when(hold, "test").otherwise("train")).select(*df.columns, "split")
 
 
 def rolling_origin(df: DataFrame, keys: list[str], initial: int = 90, step: int = 30, horizon: int = 14, ts: str = "ts") -> DataFrame:
     """Expanding train days and the following test days; a row appears once per fold that uses it."""
-    days = _days(df, keys, ts)
-    w = Window.partitionBy(*keys)
-    days = days.withColumns({"_i": F.row_number().over(w.orderBy("_day")) - 1, "_of": F.count("*").over(w)})
+    out = _day_index(df, keys, ts)
     last = F.floor((F.col("_of") - horizon - initial) / F.lit(step))
     first = F.greatest(F.lit(0), F.ceil((F.col("_i") - horizon - initial + 1) / F.lit(step))).cast("int")
-    days = days.filter(last >= 0).withColumns({"_last": last.cast("int"), "_first": first}).filter("_first <= _last")
-    days = days.withColumn("fold", F.explode(F.sequence("_first", "_last")))
-    days = days.withColumn("split", F.when(F.col("_i") < initial + F.col("fold") * step, "train").otherwise("test"))
-    return df.withColumn("_day", F.date_trunc("day", F.col(ts))).join(days.select(*keys, "_day", "fold", "split"), [*keys, "_day"]).drop("_day")
+    out = out.filter(last >= 0).withColumns({"_last": last.cast("int"), "_first": first}).filter("_first <= _last")
+    out = out.withColumn("fold", F.explode(F.sequence("_first", "_last")))
+    return out.withColumn("split", F.when(F.col("_i") < initial + F.col("fold") * step, "train").otherwise("test")).select(*df.columns, "fold", "split")
 
 
 def last_days(df: DataFrame, keys: list[str], days: int, ts: str = "ts") -> DataFrame:
