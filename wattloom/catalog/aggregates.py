@@ -241,10 +241,7 @@ def _(t):
 
 @query("agg_strategy_rollup", "strategy:s total_kwh:2 mean_kwh:4 n_rows:i n_meters:i kwh_per_slot:4", """SELECT strategy, sum(predicted_kwh) AS total_kwh, avg(predicted_kwh) AS mean_kwh, count(*) AS n_rows, count(DISTINCT meter_id) AS n_meters, sum(predicted_kwh) / count(DISTINCT ts) AS kwh_per_slot FROM strategies GROUP BY 1""")
 def _(t):
-    total = t.strategies.groupBy("strategy").agg(F.sum("predicted_kwh").alias("total_kwh"), F.avg("predicted_kwh").alias("mean_kwh"), F.count("*").alias("n_rows"))
-    meters = t.strategies.groupBy("strategy", "meter_id").count().groupBy("strategy").agg(F.count("*").alias("n_meters"))
-    slots = t.strategies.groupBy("strategy", "ts").count().groupBy("strategy").agg(F.count("*").alias("n_slots"))
-    return total.join(meters, "strategy").join(slots, "strategy").withColumn("kwh_per_slot", F.col("total_kwh") / F.col("n_slots"))
+    return load.strategy_rollup(t.strategies)
 
 
 @query("agg_profile_quantiles", "meter_id:s dow:i hour:i minute:i mean_kwh:5 q10_kwh:5 q90_kwh:5", """WITH m AS (SELECT *, max(ts) OVER (PARTITION BY meter_id) AS last FROM readings), r AS (SELECT *, count(*) FILTER (ts >= last - INTERVAL 28 DAYS) OVER (PARTITION BY meter_id) AS nr FROM m)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wattloom import constants as K
 from wattloom.functions.labels import health
-from wattloom.operators.accuracy import masked_mape
+from wattloom.operators.accuracy import ape, masked_mape
 from wattloom.operators.frames import ordered
 from wattloom.operators.quantiles import merge_single_rows
 
@@ -155,23 +155,37 @@ def strategy_totals(df: DataFrame, strategies: list[str]) -> DataFrame:
 
 
 def headline(df: DataFrame) -> DataFrame:
-    """Per strategy: total, peak day and peak hour of day."""
-    day = df.groupBy("strategy", F.date_trunc("day", "ts").alias("day")).agg(F.sum("predicted_kwh").alias("k"))
-    hour = df.groupBy("strategy", F.hour("ts").alias("hod")).agg(F.sum("predicted_kwh").alias("k"))
+    """Per strategy: total, peak day and peak hour of day, from one reduction to (strategy, day, hour)."""
+    base = df.groupBy("strategy", F.date_trunc("day", "ts").alias("day"), F.hour("ts").alias("hod")).agg(F.sum("predicted_kwh").alias("k"))
+    day = base.groupBy("strategy", "day").agg(F.sum("k").alias("k"))
+    hour = base.groupBy("strategy", "hod").agg(F.sum("k").alias("k"))
     best_day = day.groupBy("strategy").agg(F.sum("k").alias("total_kwh"), first_peak(F.col("k"), "day").alias("p"))
     best_hour = hour.groupBy("strategy").agg((-F.max(F.struct("k", (-F.col("hod")).alias("h")))["h"]).alias("peak_hod"))
     return best_day.join(best_hour, "strategy").select("strategy", "total_kwh", F.col("p.t").alias("peak_day"), F.col("p.v").alias("peak_day_kwh"), "peak_hod")
 
 
+def strategy_rollup(df: DataFrame) -> DataFrame:
+    """Totals per strategy with distinct meters and energy per slot, without distinct sets."""
+    meters = df.groupBy("strategy", "meter_id").agg(F.sum("predicted_kwh").alias("k"), F.count("*").alias("c"))
+    total = meters.groupBy("strategy").agg(F.sum("k").alias("total_kwh"), (F.sum("k") / F.sum("c")).alias("mean_kwh"), F.sum("c").alias("n_rows"), F.count("*").alias("n_meters"))
+    slots = df.groupBy("strategy", "ts").agg(F.count("*").alias("c")).groupBy("strategy").agg(F.count("*").alias("n_slots"))
+    return total.join(slots, "strategy").withColumn("kwh_per_slot", F.col("total_kwh") / F.col("n_slots"))
+
+
 def daily_errors(df: DataFrame, y: str, p: str, ts: str = "ts") -> DataFrame:
-    """MAPE of daily totals, of peak and off-peak hours and by hour of day, as one long table."""
-    daily = df.groupBy("meter_id", F.date_trunc("day", F.col(ts)).alias("d")).agg(F.sum(y).alias(y), F.sum(p).alias(p))
-    h = F.hour(ts)
-    group = F.when(h.between(9, 20), "peak").otherwise("off_peak")
+    """MAPE of daily totals, of peak and off-peak hours and by hour of day, as one long table.
+
+    All three read one reduction to (meter, day, hour), whose shuffle Spark reuses.
+    """
+    err = ape(y, p, 0.0)
+    base = df.groupBy("meter_id", F.date_trunc("day", F.col(ts)).alias("d"), F.hour(ts).alias("h")).agg(F.sum(y).alias(y), F.sum(p).alias(p), F.sum(err).alias("e"), F.count(err).alias("n"))
+    daily = base.groupBy("meter_id", "d").agg(F.sum(y).alias(y), F.sum(p).alias(p))
+    mean = (F.sum("e") / F.nullif(F.sum("n"), F.lit(0))).alias("mape")
+    period = F.when(F.col("h").between(9, 20), "peak").otherwise("off_peak")
     parts = [
         daily.groupBy(F.lit("daily_total").alias("kind"), F.lit("all").alias("item")).agg(masked_mape(y, p, 0.0).alias("mape")),
-        df.groupBy(F.lit("period").alias("kind"), group.alias("item")).agg(masked_mape(y, p, 0.0).alias("mape")),
-        df.groupBy(F.lit("hour").alias("kind"), h.cast("string").alias("item")).agg(masked_mape(y, p, 0.0).alias("mape")),
+        base.groupBy(F.lit("period").alias("kind"), period.alias("item")).agg(mean),
+        base.groupBy(F.lit("hour").alias("kind"), F.col("h").cast("string").alias("item")).agg(mean),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

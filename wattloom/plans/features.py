@@ -23,15 +23,26 @@ def add_rolling_inclusive(df: DataFrame, keys: list[str], value: str, windows: l
     return df.withColumns(out)
 
 
-def add_momentum(df: DataFrame, keys: list[str], value: str, leaky: bool = False, diff_names=("demand_diff_1", "demand_diff_4"), ts: str = "ts") -> DataFrame:
-    """Differences of past values (of the current value with ``leaky``), 14 and 30 day means and their ratio."""
+LONG_MEANS = {672: ("rmean_14d", None), 1440: ("rmean_30d", None)}
+LONG_NEED = {672: 48, 1440: 48}
+
+
+def add_differences(df: DataFrame, keys: list[str], value: str, leaky: bool = False, names=("demand_diff_1", "demand_diff_4"), ts: str = "ts") -> DataFrame:
+    """Differences of past values over one and four rows; of the current value with ``leaky``."""
     w = ordered(keys, ts)
-    now = F.col(value) if leaky else F.lag(value, 1).over(w)
-    back = 0 if leaky else 1
-    df = df.withColumns({diff_names[0]: now - F.lag(value, back + 1).over(w), diff_names[1]: now - F.lag(value, back + 4).over(w)})
-    df = with_rolling_moments(df, keys, value, [672, 1440], {672: ("rmean_14d", None), 1440: ("rmean_30d", None)}, min_periods={672: 48, 1440: 48}, ts=ts)
-    ratio = F.when(F.col("rmean_30d").isNotNull(), F.col("rmean_14d") / F.greatest(F.col("rmean_30d"), F.lit(1.0)))
-    return df.withColumn("trend_ratio", ratio)
+    now, back = (F.col(value), 0) if leaky else (F.lag(value, 1).over(w), 1)
+    return df.withColumns({names[0]: now - F.lag(value, back + 1).over(w), names[1]: now - F.lag(value, back + 4).over(w)})
+
+
+def add_trend(df: DataFrame) -> DataFrame:
+    ratio = F.col("rmean_14d") / F.greatest(F.col("rmean_30d"), F.lit(1.0))
+    return df.withColumn("trend_ratio", F.when(F.col("rmean_30d").isNotNull(), ratio))
+
+
+def add_momentum(df: DataFrame, keys: list[str], value: str, leaky: bool = False, diff_names=("demand_diff_1", "demand_diff_4"), ts: str = "ts") -> DataFrame:
+    """Differences, 14 and 30 day means and their ratio."""
+    df = add_differences(df, keys, value, leaky, diff_names, ts)
+    return add_trend(with_rolling_moments(df, keys, value, list(LONG_MEANS), LONG_MEANS, min_periods=LONG_NEED, ts=ts))
 
 
 def add_robust_history(df: DataFrame, keys: list[str], value: str, medians: list[int], spans: list[int], ts: str = "ts") -> DataFrame:
@@ -212,8 +223,9 @@ def slot_features(df: DataFrame, weather: DataFrame, fleet: DataFrame, keys: lis
     near = cal.is_recurring_holiday(F.date_add(ts, 1)) | cal.is_recurring_holiday(F.date_sub(ts, 1)) | (F.col("is_holiday") == 1)
     df = df.withColumn("near_holiday", near.cast("int"))
     df = add_lags(df, keys, value, {n: f"lag_{n}" for n in (1, 2, 4, 6, 12, 24, 48, 96, 336)}, ts)
-    df = with_rolling_moments(df, keys, value, windows, {n: (f"rmean_{n}", f"rstd_{n}") for n in windows}, ts=ts)
-    df = add_momentum(df, keys, value, leaky=leaky, ts=ts)
+    names = {n: (f"rmean_{n}", f"rstd_{n}") for n in windows} | LONG_MEANS
+    df = with_rolling_moments(df, keys, value, list(names), names, min_periods=LONG_NEED, ts=ts)
+    df = add_trend(add_differences(df, keys, value, leaky, ts=ts))
     df = join_filled(df, weather, keys, WEATHER_COLUMNS, ts=ts)
     t = F.col("temperature")
     df = df.withColumns({

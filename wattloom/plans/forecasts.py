@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from wattloom.functions import money
 from wattloom.functions.labels import clean_forecast
 from wattloom.operators import grids, joins, load
+from wattloom.session import cut_lineage
 
 BANDS = {"mean_kwh": 1.0, "q10_kwh": 0.7, "q90_kwh": 1.3}
 SLOT = ["dow", "hour", "minute"]
@@ -119,8 +120,10 @@ def price_percentile(df: DataFrame, month: str = "month", price: str = "price")
     """Share of the rows of a month with a strictly lower price.
 
     Rows are counted per distinct price on the map side first; prices depend on the time only, so the ordered window
-    holds at most one row per slot of the month, whatever the number of meters.
+    holds at most one row per slot of the month, whatever the number of meters.  Rows and counts meet on the exact price,
+    so both read one written table.
     """
+    df = cut_lineage(df, "priced")
     counts = df.groupBy(month, price).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(month)
     below = F.coalesce(F.sum("_c").over(w.orderBy(price).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
