@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wattloom.catalog.views import SQL_VIEWS, Tables
+from wattloom.session import ship_package
 
 # Both engines round down after this shift; it is off one half because means of short decimals often fall on exact halves.
 ROUND_AT = 0.49371
@@ -105,6 +106,7 @@ def query(name: str, cols: str, sql: str | None = None):
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            ship_package(spark)
             return shape(fn(Tables(spark, sf_dir)), cols)
 
         QUERIES[name] = run

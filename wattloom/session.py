@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,18 +31,37 @@ def build_session(app: str = "wattloom", master: str | None = None, shuffle_part
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach; a temporary one only where the session names none."""
+    """The folder all executors can reach; a temporary one only on a local master, where driver and executor share a disk."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark context, so that they import it wherever they start."""
+    context = spark.sparkContext
+    if getattr(context, "_wattloom_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), "wattloom_package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(home):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.join("wattloom", os.path.relpath(path, home)))
+    context.addPyFile(archive)
+    context._wattloom_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
