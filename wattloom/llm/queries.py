@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wattloom.llm import langid, packing, pieces, rans, warc
+from wattloom.llm import langid, minhash, packing, pieces, rans, warc
 from wattloom.llm.support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,9 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN page_id > first_id THEN first_id END AS refers_to
 FROM p LEFT JOIN f USING (payload_digest)
 """
+
+
+@register
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all documents."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
