@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wattloom.llm import langid, minhash, packing, pieces, rans, warc
+from wattloom.llm import capfilter, graph, langid, minhash, packing, pieces, rans, warc
 from wattloom.llm.support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,31 @@ FROM p LEFT JOIN f USING (payload_digest)
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies among all documents."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all vectors at cosine 0.95."""
+    return capfilter.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op2_embedding_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a),
+c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node),
+d AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT c.node AS vec_id, coalesce(d.n, 0) AS n_links, c.component_id, c.node = c.component_id AS kept
+FROM c LEFT JOIN d ON d.a = c.node
+"""
+
+
+@register
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector by inner product."""
+    return graph.nearest(table(spark, sf_dir, "embeddings"), 20, 20)
