@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wattloom.llm import capfilter, graph, langid, minhash, packing, pieces, rans, warc
+from wattloom.llm import capfilter, graph, langid, maxent, minhash, packing, pieces, rans, warc
 from wattloom.llm.support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,11 @@ FROM c LEFT JOIN d ON d.a = c.node
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every twentieth vector by inner product."""
     return graph.nearest(table(spark, sf_dir, "embeddings"), 20, 20)
+
+
+@register
+def op9_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of six sevenths of them."""
+    return maxent.score(table(spark, sf_dir, "documents"))
+
+
