@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 from wattloom.llm.support import cut
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _is_forest(edges: DataFrame) -> bool:
+    """Whether every node points to one root, and no root points anywhere."""
+    twice = edges.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1")
+    return twice.isEmpty() and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -19,8 +21,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     so that Spark can split a node with very many links.  Nodes without links are not listed.
     """
     edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct(), "edges")
-    state = _state(edges)
-    while state[0]:
+    while not _is_forest(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "lowest")
         large = both.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
@@ -28,8 +29,4 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         lowest = cut(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.join(lowest, "u").select("v", "m").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = _state(edges)
-        if now == state:
-            break
-        state = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -1,9 +1,9 @@
 """Near copies by MinHash bands, sequential Bayesian pruning and an exact check on full shingle sets.
 
-Equal sets are one class from the start.  Candidates of a band bucket are first compared with one pivot of the bucket; what
-that links is one component, and later rounds compare only members of different components.  The last round takes every
-pair of a bucket that is still apart, so no link between different sets that share a bucket is lost, while a bucket of near
-copies costs as many comparisons as it has members.
+Equal sets are one class from the start.  The members of a band bucket are first compared with one pivot of the bucket, by
+random choice in each; what that links is one component, and later rounds compare only members of different components.  The
+last round looks at every pair of a bucket that is still apart, in blocks whose pruned pairs never become rows, so no link
+between different sets that share a bucket is lost, while a bucket of near copies makes about as many rows as it has members.
 """
 
 from __future__ import annotations
@@ -26,8 +26,12 @@ ROWS = 8
 #: Hashes compared before the posterior is looked at again.
 BATCH = 20
 #: A candidate is pruned when the probability that it is similar enough is below this.
-MISS = 1e-7
-PIVOT_ROUNDS = 2
+MISS = 1e-5
+PIVOT_ROUNDS = 1
+#: Members of a bucket compared in one task of the last round, and their shingles; a larger bucket is split, and pairs of
+#: blocks are tasks.
+BLOCK = 1000
+BLOCK_SHINGLES = 2_000_000
 #: Words remembered by a worker.
 WORDS_KEPT = 500_000
 
@@ -147,38 +151,73 @@ def least_matches(threshold: float, batch: int, batches: int, miss: float) -> np
     return np.array(out)
 
 
-def _verify(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, count: int, miss: float) -> DataFrame:
+def _likely(left: np.ndarray, right: np.ndarray, x: np.ndarray, y: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Which of the pairs (x, y) of signatures are not pruned; only those left go into the next batch of hashes."""
+    stay, equal = np.arange(len(x)), np.zeros(len(x), np.int64)
+    for k in range(len(need)):
+        at = slice(k * BATCH, (k + 1) * BATCH)
+        equal = equal + (left[x[stay], at] == right[y[stay], at]).sum(1)
+        ok = equal >= need[k]
+        stay, equal = stay[ok], equal[ok]
+    return stay
+
+
+def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets."""
+    if len(p) > len(q):
+        p, q = q, p
+    if 100 * len(p) < percent * len(q):
+        return False
+    both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
+def _block_links(apart: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, need: np.ndarray) -> DataFrame:
+    """(a, b): the links of each bucket between components; ``apart`` is (bucket, node, comp, k).
+
+    A pair is looked at in the first bucket that its nodes share.
+    """
+
+    def compare(rows: pa.Table) -> pa.Table:
+        i, j, bucket = rows["i"][0].as_py(), rows["j"][0].as_py(), rows["bucket"][0].as_py()
+        node, comp, own = (rows[c].to_numpy() for c in ("node", "comp", "own"))
+        sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), "<u2").reshape(len(node), -1)
+        bands = np.array(rows["bands"].to_pylist(), np.int64)
+        hashes = [np.frombuffer(b, np.uint64) for b in rows["hashes"].to_pylist()]
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        out: tuple[list[int], list[int]] = ([], [])
+        for at in range(0, len(left), 128):
+            part = left[at : at + 128]
+            x, y = np.nonzero(comp[part][:, None] < comp[right] if i == j else comp[part][:, None] != comp[right])
+            x, y = part[x], right[y]
+            stay = _likely(sig, sig, x, y, need)
+            x, y = x[stay], y[stay]
+            first = bands[x, (bands[x] == bands[y]).argmax(1)] == bucket
+            for u, v in zip(x[first].tolist(), y[first].tolist(), strict=True):
+                if _similar(hashes[u], hashes[v], percent):
+                    out[0].append(min(node[u], node[v]))
+                    out[1].append(max(node[u], node[v]))
+        return pa.table([pa.array(v, pa.int64()) for v in out], ["a", "b"])
+
+    tiled = apart.join(classes.select("node", "sig", "bands"), "node").join(sets, "node")
+    tiled = tiled.withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    tiled = tiled.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).select("bucket", "i", "j", "own", "node", "comp", "sig", "bands", "hashes")
+    return tiled.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def _pair_links(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, need: np.ndarray) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough; pruned by signature, then compared exactly."""
-    batches = max(1, count // BATCH)
-    need = least_matches(percent / 100, BATCH, batches, miss)
 
     @F.arrow_udf("boolean")
     def may_link(x: pa.Array, y: pa.Array) -> pa.Array:
-        left = np.frombuffer(b"".join(x.to_pylist()), "<u2").reshape(len(x), -1)
-        right = np.frombuffer(b"".join(y.to_pylist()), "<u2").reshape(len(x), -1)
-        stay, equal = np.arange(len(x)), np.zeros(len(x), np.int64)
-        for k in range(batches):  # only pairs not yet pruned go into the next batch
-            at = slice(k * BATCH, (k + 1) * BATCH)
-            equal[stay] += (left[stay, at] == right[stay, at]).sum(1)
-            stay = stay[equal[stay] >= need[k]]
+        left, right = (np.frombuffer(b"".join(v.to_pylist()), "<u2").reshape(len(v), -1) for v in (x, y))
         keep = np.zeros(len(x), bool)
-        keep[stay] = True
+        keep[_likely(left, right, np.arange(len(x)), np.arange(len(x)), need)] = True
         return pa.array(keep)
 
     @F.arrow_udf("boolean")
     def links(x: pa.Array, y: pa.Array) -> pa.Array:
-        out = []
-        for p, q in zip(x, y, strict=True):
-            left, right = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-            if len(left) > len(right):
-                left, right = right, left
-            if 100 * len(left) < percent * len(right):
-                out.append(False)
-                continue
-            at = np.minimum(np.searchsorted(right, left), len(right) - 1)
-            both = int((right[at] == left).sum())
-            out.append(100 * both >= percent * (len(left) + len(right) - both))
-        return pa.array(out, pa.bool_())
+        return pa.array([_similar(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), percent) for p, q in zip(x, y, strict=True)], pa.bool_())
 
     def with_both(df: DataFrame, values: DataFrame, column: str) -> DataFrame:
         for end in ("a", "b"):
@@ -200,42 +239,34 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS, band
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(signatures(docs, words, bands, rows), "minhash-signed")
-    classes = cut(signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "minhash-classes")
+    classes = cut(signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "minhash-classes")
     entries = classes.select("node", F.explode("bands").alias("bucket"))
     shared = cut(entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "minhash-buckets")
     members = cut(entries.join(shared, "bucket"), "minhash-members")
     involved = classes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("doc").alias("doc_id"))
     sets = cut(shingle_sets(docs.join(involved.distinct(), "doc_id", "left_semi"), words).groupBy("node").agg(F.first("hashes").alias("hashes")), "minhash-sets")
     sigs = classes.select("node", "sig")
+    need = least_matches(percent / 100, BATCH, max(1, bands * rows // BATCH), miss)
 
     links: DataFrame | None = None
-    tested: DataFrame | None = None
-    apart = members.withColumn("comp", F.col("node"))
+    placed = members.withColumn("comp", F.col("node"))
     for k in range(PIVOT_ROUNDS + 1):
         if k < PIVOT_ROUNDS:
-            order = F.xxhash64("node", F.lit(k))
-            pivots = apart.groupBy("bucket").agg(F.min_by(F.struct("node", "comp"), order).alias("p"))
+            order = F.xxhash64("node", "bucket", F.lit(k))
+            pivots = placed.groupBy("bucket").agg(F.min_by(F.struct("node", "comp"), order).alias("p"))
             pivots = cut(pivots.select("bucket", F.col("p.node").alias("pivot"), F.col("p.comp").alias("pivot_comp")), "minhash-pivots")
-            pairs = apart.join(pivots, "bucket").filter("comp <> pivot_comp").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        else:
-            other = apart.select("bucket", F.col("node").alias("node2"), F.col("comp").alias("comp2"))
-            pairs = apart.join(other, "bucket").filter("comp < comp2").select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "minhash-pairs")
-        found = cut(_verify(pairs, sigs, sets, percent, bands * rows, miss), "minhash-links")
+            pairs = placed.join(pivots, "bucket").filter("comp <> pivot_comp").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+            found = _pair_links(cut(pairs.distinct(), "minhash-pairs"), sigs, sets, percent, need)
+        else:  # buckets of more than a pivot and one other whose members are still in several components
+            sizes = placed.join(classes.select("node", "n_shingles"), "node").groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+            blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
+            still_open = cut(sizes.filter("lo <> hi and n > 2").select("bucket", blocks.alias("k")), "minhash-open")
+            found = _block_links(placed.join(still_open, "bucket"), classes, sets, percent, need)
+        found = cut(found, "minhash-links")
         links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
         labels = cut(components(links), "minhash-labels")
-        if k == PIVOT_ROUNDS:
-            break
-        # buckets whose members are still in several components, with the pairs compared so far taken out later
-        placed = cut(members.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp")), "minhash-placed")
-        open_buckets = cut(placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi and n > 2").select("bucket"), "minhash-open")
-        apart = cut(placed.join(open_buckets, "bucket"), "minhash-apart")
-        if apart.isEmpty():
-            break
+        if k < PIVOT_ROUNDS:
+            placed = cut(members.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp")), "minhash-placed")
 
     nodes = cut(classes.select("node", "doc").join(labels, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("comp")), "minhash-nodes")
     firsts = cut(nodes.groupBy("comp").agg(F.min("doc").alias("component_id")), "minhash-firsts")
