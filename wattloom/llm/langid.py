@@ -116,6 +116,8 @@ class Model:
 
 
 def _vectors(rows: list[tuple[str, str, int]], langs: list[str], totals: dict[str, int]) -> dict[str, np.ndarray]:
+    if not langs:
+        return {}
     at = {lang: i for i, lang in enumerate(langs)}
     floor = np.array([math.log(0.5 / (totals.get(lang, 0) + 1)) for lang in langs])
     floor[:] = floor.max()  # an entry absent from a language says the same of a large and a small one
@@ -185,10 +187,11 @@ def predictor(spark, model: Model):
 
 
 def identify(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
-    """Add held_out, lang_pred and score to all rows; learns from the rows whose id is not held out.
+    """doc_id, text, lang, held_out, lang_pred and score of all rows; learns from the rows whose id is not held out.
 
-    A row with a null id is neither learned from nor held out.
+    A row with a null id is neither learned from nor held out.  Rows that share an id stay rows of their own.
     """
+    docs = docs.select("doc_id", "text", "lang")
     rest = remainder("doc_id", folds)
     model = train(docs.filter(rest != held))
     found = docs.withColumn("_found", predictor(docs.sparkSession, model)("text"))

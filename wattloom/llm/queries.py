@@ -42,7 +42,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents, learned from three quarters of them."""
-    return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+    return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
 @register
