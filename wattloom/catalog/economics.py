@@ -6,7 +6,7 @@ from wattloom.catalog.registry import query
 from wattloom.functions import calendar as cal, money
 from wattloom.operators import dispatch, economics, network
 
-HOURLY = """SELECT meter_id AS site_id, date_trunc('day', ts) AS day, hour(ts) AS h, sum(demand_kwh) AS d, sum(CASE WHEN hour(ts) BETWEEN 7 AND 17 THEN 40.0 + tag % 50 ELSE 0.0 END) AS s, sum(2.0 + (tag % 70) * 0.1) AS p FROM sites GROUP BY 1, 2, 3"""
+HOURLY = """SELECT meter_id AS site_id, date_trunc('day', ts) AS day, hour(ts) AS h, sum(demand_kwh) AS d, sum(CASE WHEN hour(ts) BETWEEN 7 AND 17 THEN 40.0 + tag % 50 ELSE 0.0 END) AS s, avg(2.0 + (tag % 70) * 0.1) AS p FROM sites GROUP BY 1, 2, 3"""
 
 
 def site_days(t):
@@ -164,7 +164,7 @@ def _(t):
 
 
 @query("eco_brief", "site_id:s saved_today_inr:2 projected_annual_inr:1 peak_block_mape:4 mape_health:s highlights:s", """WITH s AS (SELECT site_id, ts, charge_kwh, discharge_kwh * 10.0 AS discharge_kwh, curtail_kwh, grid_kwh, iex_price, landed_cost, block_mape FROM schedule),
-    n AS (SELECT site_id, greatest(sum(discharge_kwh * iex_price - grid_kwh * landed_cost - charge_kwh * iex_price), 0.0) AS v FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY ts) AS i FROM s) WHERE i <= 96 GROUP BY 1),
+    n AS (SELECT site_id, greatest(sum(discharge_kwh * iex_price - grid_kwh * landed_cost - charge_kwh * iex_price), 0.0) AS v FROM (SELECT *, min(ts) OVER (PARTITION BY site_id) AS t0 FROM s) WHERE ts < t0 + INTERVAL 24 HOUR GROUP BY 1),
     p AS (SELECT site_id, avg(block_mape) AS m FROM s WHERE hour(ts) BETWEEN 18 AND 21 GROUP BY 1),
     r AS (SELECT site_id, ts, row_number() OVER (PARTITION BY site_id ORDER BY greatest(charge_kwh, discharge_kwh, curtail_kwh) DESC, ts) AS rk FROM s WHERE greatest(charge_kwh, discharge_kwh, curtail_kwh) > 0.001),
     h AS (SELECT site_id, string_agg(strftime(ts, '%Y-%m-%d %H:%M'), '; ' ORDER BY rk) AS highlights FROM r WHERE rk <= 3 GROUP BY 1)

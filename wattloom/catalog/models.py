@@ -54,9 +54,8 @@ def _(t):
 
 @query("fit_fleet", "status:s n_meters:i mean_rows:2 mean_mape:2")
 def _(t):
-    """Every other site trains on its first days only and fails; the summary keeps both outcomes."""
-    df = table(t).withColumn("_n", F.row_number().over(Window.partitionBy("meter_id").orderBy("ts"))).filter("meter_id not like '%-3' or _n <= 20").drop("_n")
-    df = cut_lineage(splits.by_rows(df, KEY, 0.85), "fleet-table")
+    """All meters; one with too short a history fails by its own data, and the summary keeps both outcomes."""
+    df = cut_lineage(splits.by_rows(table(t), KEY, 0.85), "fleet-table")
     fit, scored = models.train_and_score(df, KEY, FEATURES, Y)
     m = scored.filter("split = 'test'").groupBy("meter_id").agg(accuracy.masked_mape(Y, "predicted_kwh", 0.5).alias("mape"))
     return fit.join(m, "meter_id", "left").groupBy(F.when(F.col("error").isNull(), "fitted").otherwise("failed").alias("status")).agg(F.count("*").alias("n_meters"), F.avg("n_train").alias("mean_rows"), F.avg("mape").alias("mean_mape"))
@@ -74,11 +73,11 @@ PARAM_SQL = """WITH b AS (SELECT msn, tier, k * 10 AS n_samples, variant, CASE W
     CASE WHEN tier LIKE 'HT%' THEN 0.8 WHEN tier LIKE 'Small%' THEN 0.5 ELSE 0.7 END AS fs, CASE WHEN tier LIKE 'HT%' THEN 0.035 ELSE 0.03 END AS lr, CASE WHEN tier LIKE 'Small%' THEN 6 ELSE 8 END AS md, CASE WHEN tier LIKE 'Small%' THEN 0.5 ELSE 0.1 END AS l1, CASE WHEN tier LIKE 'Small%' THEN 5.0 ELSE 1.0 END AS l2
     FROM registry, (VALUES ('base'), ('conservative'), ('aggressive'), ('deep'), ('wide'), ('regularized')) v(variant)), c AS (SELECT *, CASE WHEN n_samples < 3000 THEN least(lv, 15) ELSE lv END AS cl, CASE WHEN n_samples < 3000 THEN greatest(mr, 100) ELSE mr END AS cm FROM b)
     SELECT msn, variant, CASE variant WHEN 'conservative' THEN greatest(15, cl // 2) WHEN 'aggressive' THEN least(127, cl * 2) WHEN 'deep' THEN least(127, cl + 32) ELSE cl END AS num_leaves, CASE variant WHEN 'conservative' THEN cm * 2 WHEN 'aggressive' THEN greatest(10, cm // 2) WHEN 'deep' THEN greatest(20, cm - 10) ELSE cm END AS min_rows,
-    CASE variant WHEN 'aggressive' THEN least(0.9, fs + 0.1) WHEN 'wide' THEN least(0.95, fs + 0.2) WHEN 'regularized' THEN greatest(0.4, fs - 0.15) ELSE fs END AS feature_share, CASE variant WHEN 'conservative' THEN 0.02 WHEN 'aggressive' THEN 0.05 ELSE lr END AS learning_rate,
+    CASE variant WHEN 'aggressive' THEN least(0.9, fs + 0.1) WHEN 'wide' THEN least(0.95, fs + 0.2) WHEN 'regularized' THEN greatest(0.4, fs - 0.15) ELSE fs END AS feature_share, CASE variant WHEN 'wide' THEN 0.9 ELSE 0.8 END AS row_share, CASE variant WHEN 'conservative' THEN 0.02 WHEN 'aggressive' THEN 0.05 ELSE lr END AS learning_rate,
     CASE variant WHEN 'deep' THEN 12 ELSE md END AS max_depth, CASE variant WHEN 'regularized' THEN l1 * 5 ELSE l1 END AS l1, CASE WHEN variant IN ('conservative', 'regularized') THEN l2 * 3 ELSE l2 END AS l2 FROM c"""
 
 
-@query("fit_tier_params", "msn:s variant:s num_leaves:i min_rows:i feature_share:4 learning_rate:4 max_depth:i l1:3 l2:3", PARAM_SQL)
+@query("fit_tier_params", "msn:s variant:s num_leaves:i min_rows:i feature_share:4 row_share:4 learning_rate:4 max_depth:i l1:3 l2:3", PARAM_SQL)
 def _(t):
     df = t.registry.select("msn", "tier", (F.col("k") * 10).alias("n_samples")).withColumn("variant", F.explode(F.array(*[F.lit(v) for v in models.VARIANTS])))
     return models.tier_params(df)

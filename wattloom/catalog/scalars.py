@@ -145,8 +145,8 @@ def _(t):
     return audited(t).withColumn("is_valid", text.is_audit_sentence(spoiled))
 
 
-@query("fn_firm_quote", "msn:s firmness_pct:4 offered_price:4 rationale:s", """SELECT *, CASE WHEN firmness_pct <= 70 THEN 'Peak-block MAPE ' || printf('%.2f', m) || '% is too high to quote above 70% firmness. Recommend adding additional BESS capacity or lowering contracted kW.'
-    ELSE 'Peak-block MAPE ' || printf('%.2f', m) || '% supports ' || printf('%.0f', firmness_pct) || '%-firm quote. Offered price ₹' || printf('%.2f', offered_price) || '/kWh is ₹' || printf('%.2f', 8.20 - offered_price) || ' below landed cost.' END AS rationale FROM (
+@query("fn_firm_quote", "msn:s firmness_pct:4 offered_price:4 rationale:s", """SELECT *, CASE WHEN firmness_pct <= 70 THEN 'A peak-block error of ' || printf('%.2f', m) || '% is too high for more than the floor of 70% firm energy; add storage or contract less power.'
+    ELSE 'With a peak-block error of ' || printf('%.2f', m) || '% the supply is ' || printf('%.0f', firmness_pct) || '% firm at ₹' || printf('%.2f', offered_price) || ' per kWh, ₹' || printf('%.2f', 8.20 - offered_price) || ' under the landed price.' END AS rationale FROM (
     SELECT *, greatest(8.20 + (-1.30) + (95.0 - firmness_pct) / 5.0 * 0.40, 4.0) AS offered_price FROM (SELECT msn, peak_mape * 2.0 AS m, greatest(least(95.0, 100.0 - peak_mape * 2.0), 70.0) AS firmness_pct FROM registry))""")
 def _(t):
     return money.add_firm_quote(t.registry.withColumn("m", F.col("peak_mape") * 2.0).withColumn("kw", F.lit(100.0)), "m", "kw")

@@ -47,17 +47,17 @@ def _(t):
     return readers.wide_to_long(t.spark.read.csv(path, schema=schema, header=True), TYPES, regions=regions)
 
 
-@query("src_month_block_unpivot", "month:i hour:i consumer_id:s max_demand_vah:2", """WITH h AS (SELECT unnest(range(24)) AS hour), g AS (SELECT month, hour, consumer_id FROM h, range(1, 7) m(month), (VALUES ('F'), ('O'), ('P')) v(consumer_id)),
+@query("src_month_block_unpivot", "month:i hour:i consumer_id:s max_demand_vah:2", """WITH h AS (SELECT unnest(range(24)) AS hour), g AS (SELECT month, hour, consumer_id FROM h, range(1, 13) m(month), (VALUES ('F'), ('O'), ('P')) v(consumer_id)),
     s AS (SELECT month(o_orderdate) AS month, o_orderkey % 24 AS hour, o_orderstatus AS consumer_id, max(o_totalprice) AS v FROM orders GROUP BY 1, 2, 3)
     SELECT g.*, coalesce(CASE WHEN g.hour <> 5 THEN v END, 0.0) AS max_demand_vah FROM g LEFT JOIN s ON s.month = g.month AND s.hour = g.hour AND s.consumer_id = g.consumer_id""")
 def _(t):
     o = t.read("orders").withColumns({"hour": (F.col("o_orderkey") % 24).cast("int"), "cell": F.concat_ws("_", F.month("o_orderdate").cast("string"), "o_orderstatus")})
-    cells = [f"{m}_{c}" for m in range(1, 7) for c in "FOP"]
+    cells = [f"{m}_{c}" for m in range(1, 13) for c in "FOP"]
     wide = o.groupBy("hour").pivot("cell", cells).agg(F.max("o_totalprice"))
     wide = wide.select("hour", *[F.when(F.col("hour") == 5, "bad").otherwise(F.format_number(F.col(f"`{c}`"), 2)).alias(c) for c in cells])
     path = saved(t, wide, "months", "csv", header=True)
     df = t.spark.read.csv(path, schema="hour int, " + ", ".join(f"`{c}` string" for c in cells), header=True)
-    return readers.month_blocks(df, list(range(1, 7)), list("FOP"))
+    return readers.month_blocks(df, list(range(1, 13)), list("FOP"))
 
 
 @query("src_quality_tables", "consumer_id:s gap_start:t gap_end:t gap_hours:2", """SELECT meter_id AS consumer_id, CASE WHEN epoch(ts) % 7 <> 0 THEN ts + INTERVAL 1 HOUR END AS gap_start, nx - INTERVAL 1 HOUR AS gap_end, (epoch(nx) - epoch(ts)) / 3600 - 1 AS gap_hours FROM (

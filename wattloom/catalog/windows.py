@@ -86,10 +86,10 @@ def _(t):
     return features.add_robust_history(t.readings, KEY, "demand_kwh", [], [6, 24, 48])
 
 
-@query("win_persistence", ID + " persistence_24h:4 persistence_168h:4 persist_ratio_24_168:5", f"""SELECT *, persistence_24h / greatest(persistence_168h, 1.0) AS persist_ratio_24_168 FROM (
-    SELECT meter_id, ts, demand_kwh, lag(demand_kwh, 24) {W} AS persistence_24h, lag(demand_kwh, 168) {W} AS persistence_168h FROM grid) WHERE persistence_168h IS NOT NULL""")
+@query("win_persistence", ID + " persistence_24h:4 persistence_168h:4 persist_ratio_24_168:5", f"""SELECT *, CASE WHEN persistence_168h IS NOT NULL THEN persistence_24h / greatest(persistence_168h, 1.0) END AS persist_ratio_24_168 FROM (
+    SELECT meter_id, ts, demand_kwh, lag(demand_kwh, 24) {W} AS persistence_24h, lag(demand_kwh, 168) {W} AS persistence_168h FROM grid)""")
 def _(t):
-    return features.add_persistence(t.grid, KEY, "demand_kwh", 24, 168).filter("persistence_168h is not null")
+    return features.add_persistence(t.grid, KEY, "demand_kwh", 24, 168)
 
 
 SIM = "OVER (PARTITION BY meter_id, hour(ts), isodow(ts) ORDER BY ts ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"

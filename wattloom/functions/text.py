@@ -55,6 +55,7 @@ def audit_sentence(ts: Column, action: Column, kwh: Column, iex: Column, landed:
         .when(action == "peak_shave", say["shave"]).when(action == "curtail_solar", say["curtail"])
         .otherwise(F.when(mape > limit, say["unsure"]).otherwise(say["idle"]))
     )
+    kwh = F.when(kwh.isNull() | (kwh < 0), F.raise_error(F.lit("kWh must be given and not negative")).cast("double")).otherwise(kwh)
     amount = F.when(kwh == F.floor(kwh), F.floor(kwh).cast("string")).otherwise(F.format_string("%.1f", kwh))
     return F.concat(
         F.lit("["), F.date_format(ts, "HH:mm"), F.lit("] "), F.replace(action, F.lit("_"), F.lit(" ")), F.lit(" "), amount,

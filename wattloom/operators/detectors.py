@@ -37,7 +37,8 @@ def global_z(df: DataFrame, keys: list[str], value: str, threshold: float = 3.0,
 
 
 def iqr(df: DataFrame, keys: list[str], value: str, factor: float = 1.5, out: str = "is_iqr_outlier") -> DataFrame:
-    _positive(factor)
+    if factor <= 0:
+        raise ValueError(f"factor must be positive, got {factor}")
     w = Window.partitionBy(*keys)
     df = df.withColumn("_q", F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).over(w))
     q1, q3 = F.col("_q")[0], F.col("_q")[1]
@@ -71,7 +72,7 @@ def joint_distance(df: DataFrame, keys: list[str], a: str, b: str, contamination
     Means and covariances come from one map-side-combined aggregate per key.
     """
     if not 0.0 < contamination < 0.5:
-        raise ValueError(f"contamination must be in (0, 0.5), got {contamination}")
+        raise ValueError(f"the outlier share must lie between 0 and 0.5, not {contamination}")
     both = F.col(a).isNotNull() & F.col(b).isNotNull()
     stats = df.filter(both).groupBy(*keys).agg(
         F.count("*").alias("_n"), F.avg(a).alias("_ma"), F.avg(b).alias("_mb"),

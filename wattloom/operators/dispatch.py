@@ -18,10 +18,14 @@ EFFICIENCY = 0.88
 SOC_MIN, SOC_MAX, SOC_START = 0.10, 0.90, 0.50
 
 
-def day_vectors(df: DataFrame, keys: list[str], hour: str, columns: list[str], default: float = 0.0) -> DataFrame:
-    """Twenty-four values per key and column, in hour order, from conditional sums combined on the map side."""
+def day_vectors(df: DataFrame, keys: list[str], hour: str, columns: list[str], default: float = 0.0, means: tuple[str, ...] = ("price",)) -> DataFrame:
+    """Twenty-four values per key and column, in hour order, from conditional aggregates combined on the map side.
+
+    Energy of the rows of an hour adds up; the columns in ``means`` are averaged.
+    """
     def vector(c: str) -> Column:
-        return F.array(*[F.coalesce(F.sum(F.when(F.col(hour) == h, F.col(c))), F.lit(default)) for h in range(24)])
+        whole = F.avg if c in means else F.sum
+        return F.array(*[F.coalesce(whole(F.when(F.col(hour) == h, F.col(c))), F.lit(default)) for h in range(24)])
 
     return df.groupBy(*keys).agg(*[vector(c).alias(c) for c in columns])
 

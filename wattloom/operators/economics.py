@@ -141,11 +141,10 @@ def sensitivity(df: DataFrame, capex: str, annual: str, years: int = 10) -> Data
     return project_irr(df, "case_capex", "case_annual", years)
 
 
-def site_brief(schedule: DataFrame, key: str, first_rows: int = 96, ts: str = "ts") -> DataFrame:
-    """Net benefit of the first day's rows, its annual value, the largest actions and health."""
-    w = Window.partitionBy(key).orderBy(ts)
+def site_brief(schedule: DataFrame, key: str, hours: int = 24, ts: str = "ts") -> DataFrame:
+    """Net benefit of the first day by time, its annual value, the largest actions and health."""
     c = F.col
-    today = schedule.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= first_rows)
+    today = schedule.withColumn("_t0", F.min(ts).over(Window.partitionBy(key))).filter(c(ts) < c("_t0") + F.expr(f"interval {hours} hours"))
     net = F.sum(c("discharge_kwh") * c("iex_price") - c("grid_kwh") * c("landed_cost") - c("charge_kwh") * c("iex_price"))
     base = today.groupBy(key).agg(F.greatest(net, F.lit(0.0)).alias("saved_today_inr"))
     peak = schedule.filter(F.hour(ts).between(18, 21)).groupBy(key).agg(F.avg("block_mape").alias("peak_block_mape"))

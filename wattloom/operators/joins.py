@@ -27,15 +27,25 @@ def flag_inside(df: DataFrame, intervals: DataFrame, keys: list[str], ts: str, s
 def asof_last(grid: DataFrame, series: DataFrame, ts: str, value: str, keys: list[str] | None = None, head: bool = True) -> DataFrame:
     """Last known value at every grid time; before the first value the first one is used when ``head``.
 
-    Without keys the window holds one row per distinct time, so callers pass distinct times and join rows back by time.
+    The ordered window holds one day of a key.  What earlier days leave behind comes from a window over one row per day.
     """
     keys = keys or []
-    part = [F.col(k) for k in keys] or [F.lit(0)]
-    both = grid.select(*keys, ts).withColumn("_g", F.lit(1)).unionByName(series.select(*keys, ts, value).withColumn("_g", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(*part).orderBy(ts, "_g")
-    back = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.first(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return both.withColumn(value, F.coalesce(back, first) if head else back).filter("_g = 1").drop("_g")
+    day = F.to_date(ts)
+    both = grid.select(*keys, ts).withColumn("_g", F.lit(1)).unionByName(series.select(*keys, ts, value).withColumn("_g", F.lit(0)), allowMissingColumns=True).withColumn("_day", day)
+    at = F.when(F.col(value).isNotNull(), F.struct(F.col(ts).alias("t"), F.col(value).alias("v")))
+    days = both.groupBy(*keys, "_day").agg(F.max(at).alias("_late"), F.min(at).alias("_early"))
+    w = Window.partitionBy(*([F.col(k) for k in keys] or [F.lit(0)])).orderBy("_day")
+    days = days.select(
+        *[F.col(k).alias(f"_i{k}") for k in keys],
+        F.col("_day").alias("_iday"),
+        F.last("_late.v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"),
+        F.min("_early").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))["v"].alias("_first"),
+    )
+    on = [F.col(k).eqNullSafe(F.col(f"_i{k}")) for k in keys] + [F.col("_day").eqNullSafe(F.col("_iday"))]
+    back = F.last(value, ignorenulls=True).over(Window.partitionBy(*keys, "_day").orderBy(ts, "_g").rowsBetween(Window.unboundedPreceding, 0))
+    out = both.withColumn("_back", back).filter("_g = 1").join(days, on, "left")
+    known = F.coalesce("_back", "_carried", "_first") if head else F.coalesce("_back", "_carried")
+    return out.select(*keys, ts, known.alias(value))
 
 
 def at_offset(value: str | Column, keys: list[str], offset_us: int, ts: str = "ts") -> Column:

@@ -32,6 +32,8 @@ def neighborhood(edges: DataFrame, start: str, radius: int) -> DataFrame:
     folder: the plan stays short and a lost executor costs one hop.
     """
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    if both.filter(F.col("src") == start).isEmpty():
+        raise ValueError(f"unknown node: {start}")
     level = edges.sparkSession.range(1).select(F.lit(start).alias("node_id"))
     levels = [level]
     for _ in range(radius):

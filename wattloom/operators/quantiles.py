@@ -8,62 +8,48 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from wattloom.session import cut_lineage
 
-BROADCAST_GROUPS = 10_000
-ONE_TASK_ROWS = 1_000_000
+#: Accuracy of the approximate ranks that bracket a wanted rank, and half the width of the bracket as a share of the rows.
+ACCURACY = 20_000
+SPREAD = 2e-4
+#: Rows of a group below which one place may be wider than the bracket; its whole range is the bracket.
+NARROW_ROWS = 10_000
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], bins: int = 1024, rounds: int = 2, one_task_rows: int = ONE_TASK_ROWS, materialised: bool = False) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], materialised: bool = False, accuracy: int = ACCURACY, spread: float = SPREAD, narrow_rows: int = NARROW_ROWS) -> DataFrame:
     """Linearly interpolated quantiles per key, equal to ``percentile``.
 
-    ``percentile`` holds every distinct value of a group in one task.  Here equal-width histograms, combined on the map
-    side, narrow the interval of each wanted rank; only values of the final interval are ordered.  The input is
-    materialised once because each round reads it.  Where the largest group is measured to be small, ``percentile`` does it.
+    ``percentile`` holds every distinct value of a group in one task.  Here ``percentile_approx``, whose ranks are off by at
+    most rows / accuracy, brackets each wanted rank.  One more aggregate, combined on the map side, counts the rows below
+    each bracket and the copies of each value inside, and only the values inside are ordered: ``2 * spread`` of the distinct
+    values of a group.  The input is written once because two passes read it.
     """
+    if spread * accuracy < 2:
+        raise ValueError("the bracket must be wider than the error of the approximate ranks")
     names = list(probs)
     df = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    base = (df if materialised else cut_lineage(df, "quantile-input")).withColumn("_k", F.lit(0))
+    # a column for the rows without keys that the optimiser does not take for a constant, so that brackets meet rows by a key
+    base = (df if materialised else cut_lineage(df, "quantile-input")).withColumn("_k", F.pmod(F.xxhash64("_v"), F.lit(1)))
     group = [*keys, "_k"]
-    stats = base.groupBy(*group).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    size = stats.agg(F.count("*").alias("groups"), F.max("_n").alias("largest")).first()
-    if (size["largest"] or 0) <= one_task_rows:
-        q = F.percentile("_v", F.array(*[F.lit(p) for p in probs.values()]))
-        return base.groupBy(*group).agg(q.alias("_q")).select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    hint = F.broadcast if size["groups"] <= BROADCAST_GROUPS else (lambda d: d)
-
-    wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("p")) for n, p in probs.items()]))
-    targets = stats.select("*", wanted.alias("_t")).withColumn("_pos", (F.col("_n") - 1) * F.col("_t.p"))
-    sides = F.explode(F.array(F.struct(F.lit("a").alias("side"), F.floor("_pos").alias("rank")), F.struct(F.lit("b").alias("side"), F.ceil("_pos").alias("rank"))))
-    targets = targets.select(*group, "_lo", "_hi", "_t.name", (F.col("_pos") - F.floor("_pos")).alias("_frac"), sides.alias("_s"), F.lit(0).cast("bigint").alias("_below"))
-    targets = targets.select(*group, "_lo", "_hi", "name", "_frac", "_s.side", "_s.rank", "_below")
-
-    def inside(intervals: DataFrame) -> DataFrame:
-        """Rows of the base that fall into an interval, labelled with it."""
-        side = intervals.select(*[F.col(k).alias(f"_i{k}") for k in group], "_lo", "_hi")
-        same = [F.col(k).eqNullSafe(F.col(f"_i{k}")) for k in group]
-        on = reduce(lambda a, b: a & b, [*same, F.col("_v") >= F.col("_lo"), F.col("_v") <= F.col("_hi")])
-        return base.join(hint(side), on).select(*group, "_lo", "_hi", "_v")
-
-    def locate(counts: DataFrame, targets: DataFrame, order: str) -> DataFrame:
-        """The bin or value that holds each wanted rank."""
-        w = Window.partitionBy(*group, "_lo", "_hi").orderBy(order)
-        counts = counts.withColumn("_before", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c"))
-        side = targets.select(*[F.col(c).alias(f"_i{c}") for c in [*group, "_lo", "_hi"]], "name", "_frac", "side", "rank", "_below")
-        same = [F.col(c).eqNullSafe(F.col(f"_i{c}")) for c in [*group, "_lo", "_hi"]]
-        place = F.col("rank") - F.col("_below") - F.col("_before")
-        return counts.join(hint(side), reduce(lambda a, b: a & b, [*same, place >= 0, place < F.col("_c")]))
-
-    for _ in range(rounds):
-        rows = inside(targets.select(*group, "_lo", "_hi").distinct())
-        width = F.col("_hi") - F.col("_lo")
-        place = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / F.when(width > 0, width) * bins), F.lit(bins - 1))).otherwise(0)
-        hist = rows.groupBy(*group, "_lo", "_hi", place.alias("_bin")).agg(F.count("*").alias("_c"), F.min("_v").alias("_blo"), F.max("_v").alias("_bhi"))
-        found = locate(hist, targets, "_bin")
-        targets = cut_lineage(found.select(*group, F.col("_blo").alias("_lo"), F.col("_bhi").alias("_hi"), "name", "_frac", "side", "rank", (F.col("_below") + F.col("_before")).alias("_below")))
-    rows = inside(targets.select(*group, "_lo", "_hi").distinct())
-    counts = rows.groupBy(*group, "_lo", "_hi", "_v").agg(F.count("*").alias("_c"))
-    found = locate(counts, targets, "_v").select(*group, "name", "_frac", "side", F.col("_v").alias("_x"))
-    low, high = F.max(F.when(F.col("side") == "a", F.col("_x"))), F.max(F.when(F.col("side") == "b", F.col("_x")))
-    point = found.groupBy(*group, "name").agg((low + (high - low) * F.max("_frac")).alias("_q"))
+    borders = [min(1.0, max(0.0, p + side)) for p in probs.values() for side in (-spread, spread)]
+    stats = base.groupBy(*group).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.percentile_approx("_v", borders, accuracy).alias("_q"))
+    whole = F.col("_n") < narrow_rows
+
+    def bracket(i: int, p: float):
+        low = F.when(whole | F.lit(p <= spread), F.col("_lo")).otherwise(F.col("_q")[2 * i])
+        high = F.when(whole | F.lit(p >= 1 - spread), F.col("_hi")).otherwise(F.col("_q")[2 * i + 1])
+        return F.struct(F.lit(names[i]).alias("name"), F.lit(float(p)).alias("p"), low.alias("low"), high.alias("high"))
+
+    brackets = stats.select(*[F.col(k).alias(f"_i{k}") for k in group], "_n", F.array(*[bracket(i, p) for i, p in enumerate(probs.values())]).alias("_b"))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_i{k}")) for k in group])
+    rows = base.join(brackets, same).select(*group, "_n", "_v", F.explode("_b").alias("_b")).filter(F.col("_v") <= F.col("_b.high"))
+    inside = F.when(F.col("_v") >= F.col("_b.low"), F.col("_v"))  # null: somewhere below the bracket
+    counts = rows.groupBy(*group, "_n", F.col("_b.name").alias("name"), F.col("_b.p").alias("_p"), inside.alias("_x")).agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*group, "name").orderBy(F.asc_nulls_first("_x")).rowsBetween(Window.unboundedPreceding, 0))
+    place = (F.col("_n") - 1) * F.col("_p")
+    holds = lambda rank: (rank >= F.col("_upto") - F.col("_c")) & (rank < F.col("_upto"))
+    found = counts.withColumn("_upto", upto).withColumn("_place", place).filter("_x is not null")
+    low, high = F.max(F.when(holds(F.floor("_place")), F.col("_x"))), F.max(F.when(holds(F.ceil("_place")), F.col("_x")))
+    point = found.groupBy(*group, "name").agg((low + (high - low) * F.max(F.col("_place") - F.floor("_place"))).alias("_q"))
     return point.groupBy(*group).pivot("name", names).agg(F.max("_q")).drop("_k")
 
 

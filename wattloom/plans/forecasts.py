@@ -119,16 +119,16 @@ def price_forecast(df: DataFrame, matrix: DataFrame, ts: str = "ts", temperature
 def price_percentile(df: DataFrame, month: str = "month", price: str = "price") -> DataFrame:
     """Share of the rows of a month with a strictly lower price.
 
-    Rows are counted per distinct price on the map side first; prices depend on the time only, so the ordered window
+    A row without a price keeps its place, has no share and counts for no other.  Rows are counted per distinct price on the map side first; prices depend on the time only, so the ordered window
     holds at most one row per slot of the month, whatever the number of meters.  Rows and counts meet on the exact price,
     so both read one written table.
     """
     df = cut_lineage(df, "priced")
-    counts = df.groupBy(month, price).agg(F.count("*").alias("_c"))
+    counts = df.filter(F.col(price).isNotNull()).groupBy(month, price).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(month)
     below = F.coalesce(F.sum("_c").over(w.orderBy(price).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.withColumn("price_percentile", below / F.sum("_c").over(w)).drop("_c")
-    return df.join(counts, [month, price])
+    return df.join(counts, [month, price], "left")
 
 
 def naive_week(df: DataFrame, keys: list[str], value: str, rows: int = 168, ts: str = "ts") -> DataFrame:

@@ -70,12 +70,19 @@ def fit_ridge(df: DataFrame, keys: list[str], features: list[str], target: str,
     """
     k = len(features)
     keep = max(keep_min, int(k * keep_share))
+    df = df.filter(F.col(target).isNotNull() & ~F.isnan(F.col(target).cast("double")))
     sums = gram_sums(with_missing(df, features), keys, features, target)
     schema = T.StructType([sums.schema[c] for c in keys] + [T.StructField("coef", T.ArrayType(T.DoubleType())), T.StructField("features", T.ArrayType(T.StringType())), T.StructField("n_train", T.LongType()), T.StructField("error", T.StringType())])
 
+    def one(g) -> tuple[list | None, list | None, int, str | None]:
+        try:
+            return solve_ridge(np.asarray(g, dtype=float), k, ridge, keep, min_rows)
+        except (np.linalg.LinAlgError, ValueError) as failed:
+            return None, None, int(g[0]), str(failed)
+
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [solve_ridge(np.asarray(g, dtype=float), k, ridge, keep, min_rows) for g in pdf["gram"]]
+            rows = [one(g) for g in pdf["gram"]]
             out = pdf[keys].copy()
             out["coef"] = [r[0] for r in rows]
             out["features"] = [None if r[1] is None else [features[i] for i in r[1]] for r in rows]
@@ -134,30 +141,36 @@ def tree_gains(model, features: list[str], spark) -> DataFrame:
     return spark.createDataFrame(list(zip(features, gains)), "feature string, gain double")
 
 
-# Tree parameters by tier and variant as (leaves, least rows per leaf, feature share, learning rate, depth, L1, L2).
-BASE_PARAMS = (31, 50, 0.7, 0.03, 8, 0.1, 1.0)
-LARGE_PARAMS = (63, 20, 0.8, 0.035, 8, 0.1, 1.0)
-SMALL_PARAMS = (15, 80, 0.5, 0.03, 6, 0.5, 5.0)
-PARAM_NAMES = ["num_leaves", "min_rows", "feature_share", "learning_rate", "max_depth", "l1", "l2"]
-VARIANTS = ["base", "conservative", "aggressive", "deep", "wide", "regularized"]
+# Tree parameters before any rule, and what tiers, few samples and variants change, in this order.
+PARAMS = {"num_leaves": 31, "min_rows": 50, "feature_share": 0.7, "row_share": 0.8, "learning_rate": 0.03, "max_depth": 8, "l1": 0.1, "l2": 1.0}
+PARAM_RULES = [
+    ("tier", "HT", {"num_leaves": ("set", 63), "min_rows": ("set", 20), "feature_share": ("set", 0.8), "learning_rate": ("set", 0.035)}),
+    ("tier", "Small", {"num_leaves": ("set", 15), "min_rows": ("set", 80), "feature_share": ("set", 0.5), "max_depth": ("set", 6), "l1": ("set", 0.5), "l2": ("set", 5.0)}),
+    ("samples_below", 3000, {"num_leaves": ("at_most", 15), "min_rows": ("at_least", 100)}),
+    ("variant", "conservative", {"learning_rate": ("set", 0.02), "num_leaves": ("times", 0.5, "at_least", 15), "min_rows": ("times", 2), "l2": ("times", 3.0)}),
+    ("variant", "aggressive", {"learning_rate": ("set", 0.05), "num_leaves": ("times", 2, "at_most", 127), "min_rows": ("times", 0.5, "at_least", 10), "feature_share": ("plus", 0.1, "at_most", 0.9)}),
+    ("variant", "deep", {"max_depth": ("set", 12), "num_leaves": ("plus", 32, "at_most", 127), "min_rows": ("plus", -10, "at_least", 20)}),
+    ("variant", "wide", {"feature_share": ("plus", 0.2, "at_most", 0.95), "row_share": ("plus", 0.1, "at_most", 0.95)}),
+    ("variant", "regularized", {"l1": ("times", 5.0), "l2": ("times", 3.0), "feature_share": ("plus", -0.15, "at_least", 0.4)}),
+]
+VARIANTS = ["base", *(value for kind, value, _ in PARAM_RULES if kind == "variant")]
 
 
 def tier_params(df: DataFrame, tier: str = "tier", n: str = "n_samples", variant: str = "variant") -> DataFrame:
-    """Training parameters of each row from its tier, sample count and variant."""
-    pick = lambda i: F.when(F.col(tier).startswith("HT"), LARGE_PARAMS[i]).when(F.col(tier).startswith("Small"), SMALL_PARAMS[i]).otherwise(BASE_PARAMS[i])
-    df = df.withColumns({name: pick(i) for i, name in enumerate(PARAM_NAMES)})
-    few = F.col(n) < 3000
-    df = df.withColumns({"num_leaves": F.when(few, F.least("num_leaves", F.lit(15))).otherwise(F.col("num_leaves")), "min_rows": F.when(few, F.greatest("min_rows", F.lit(100))).otherwise(F.col("min_rows"))})
-    v, c = F.col(variant), F.col
-    half = F.floor(c("num_leaves") / F.lit(2))
-    return df.withColumns({
-        "learning_rate": F.when(v == "conservative", 0.02).when(v == "aggressive", 0.05).otherwise(c("learning_rate")),
-        "num_leaves": F.when(v == "conservative", F.greatest(F.lit(15), half)).when(v == "aggressive", F.least(F.lit(127), c("num_leaves") * 2)).when(v == "deep", F.least(F.lit(127), c("num_leaves") + 32)).otherwise(c("num_leaves")),
-        "min_rows": F.when(v == "conservative", c("min_rows") * 2).when(v == "aggressive", F.greatest(F.lit(10), F.floor(c("min_rows") / F.lit(2)))).when(v == "deep", F.greatest(F.lit(20), c("min_rows") - 10)).otherwise(c("min_rows")),
-        "feature_share": F.when(v == "aggressive", F.least(F.lit(0.9), c("feature_share") + 0.1)).when(v == "wide", F.least(F.lit(0.95), c("feature_share") + 0.2)).when(v == "regularized", F.greatest(F.lit(0.4), c("feature_share") - 0.15)).otherwise(c("feature_share")),
-        "max_depth": F.when(v == "deep", 12).otherwise(c("max_depth")),
-        "l1": F.when(v == "regularized", c("l1") * 5.0).otherwise(c("l1")), "l2": F.when(v.isin("conservative", "regularized"), c("l2") * 3.0).otherwise(c("l2")),
-    })
+    """Training parameters of each row: the rules that its tier, sample count and variant meet, folded over the defaults."""
+    applies = {"tier": lambda v: F.col(tier).startswith(v), "samples_below": lambda v: F.col(n) < v, "variant": lambda v: F.col(variant) == v}
+    change = {"set": lambda x, v: F.lit(v), "times": lambda x, v: x * v, "plus": lambda x, v: x + v, "at_least": lambda x, v: F.greatest(x, F.lit(v)), "at_most": lambda x, v: F.least(x, F.lit(v))}
+    out = {}
+    for name, default in PARAMS.items():
+        value = F.lit(default)
+        for kind, match, changes in PARAM_RULES:
+            steps, new = changes.get(name, ()), value
+            for op, by in zip(steps[::2], steps[1::2], strict=True):
+                new = change[op](new, by)
+                new = F.floor(new) if isinstance(default, int) else new
+            value = F.when(applies[kind](match), new).otherwise(value) if steps else value
+        out[name] = value
+    return df.withColumns(out)
 
 
 STEP_LAGS = (1, 24, 168)

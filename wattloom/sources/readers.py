@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wattloom.operators.grids import one_per_slot
 
@@ -64,7 +64,7 @@ def quality_tables(spark: SparkSession, paths: dict[str, str]) -> dict[str, Data
     """The five quality tables with bounds as timestamps; a table without a path is empty."""
     out = {}
     for name, schema in QUALITY_SCHEMAS.items():
-        df = spark.read.csv(paths[name], schema=schema, header=True) if name in paths else spark.createDataFrame([], T._parse_datatype_string(schema))
+        df = spark.read.csv(paths[name], schema=schema, header=True) if name in paths else spark.createDataFrame([], schema)
         bounds = [c for c in df.columns if c.endswith(("_start", "_end")) or c == "timestamp"]
         out[name] = df.withColumns({c: F.try_to_timestamp(c) for c in bounds}) if bounds else df
     return out
@@ -78,20 +78,31 @@ def clean_csv(spark: SparkSession, path: str) -> DataFrame:
 PRICE_HEADERS = [("date", "date_str"), ("time block", "time_block"), ("mcp", "mcp_inr_mwh"), ("mcv", "mcv_mw"), ("purchase", "purchase_bid_mw"), ("sell", "sell_bid_mw"), ("scheduled", "scheduled_volume_mw")]
 
 
+# Date forms of price exports, day first.
+PRICE_DATES = ["dd-MM-yyyy", "d-M-yyyy", "d-MMM-yyyy", "yyyy-MM-dd"]
+
+
 def price_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Day-ahead export: header matched by fragment, block start plus day-first date, price per MWh and per kWh."""
-    df = spark.read.csv(paths, header=True)
-    names = {c: new for c in df.columns for part, new in reversed(PRICE_HEADERS) if part in c.strip().lower()}
-    df = df.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).withColumnsRenamed(names)
-    start = F.trim(F.split("time_block", "-")[0]) if "time_block" in df.columns else F.lit("00:00")
+    """Day-ahead export: columns found by header fragment in each file, block start plus day-first date, price per MWh and kWh.
+
+    Files may name and order their columns differently; their first lines are read as data and joined back by file.
+    """
+    raw = spark.read.csv(paths, header=False, schema=", ".join(f"_c{i} string" for i in range(24)))
+    raw = raw.select(F.array(*[c for c in raw.columns if c.startswith("_c")]).alias("cells"), *[c for c in raw.columns if not c.startswith("_c")], F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    head = raw.groupBy("file").agg(F.min_by(F.struct("block", "line", "cells"), F.struct("block", "line")).alias("h"))
+    place = {new: F.expr(f"aggregate(sequence(0, size(h.cells) - 1), -1, (a, i) -> CASE WHEN a < 0 AND contains(lower(trim(h.cells[i])), '{part}') THEN i ELSE a END)") for part, new in PRICE_HEADERS}
+    head = head.select("file", F.col("h.block").alias("_block"), F.col("h.line").alias("_line"), *[p.alias(f"_at_{new}") for new, p in place.items()])
+    df = raw.join(head, "file").filter("block <> _block or line <> _line")
+    df = df.select(*[c for c in raw.columns if c != "cells"], *[F.when(F.col(f"_at_{new}") >= 0, F.get("cells", F.col(f"_at_{new}"))).alias(new) for _, new in PRICE_HEADERS])
+    start = F.coalesce(F.trim(F.split("time_block", "-")[0]), F.lit("00:00"))
     text = F.concat_ws(" ", F.trim(F.regexp_replace("date_str", "/", "-")), start)
-    df = df.withColumns({"timestamp": F.try_to_timestamp(text, F.lit("dd-MM-yyyy HH:mm")), "mcp_inr_mwh": number("mcp_inr_mwh")})
+    df = df.withColumns({"timestamp": F.coalesce(*[F.try_to_timestamp(text, F.lit(f"{form} HH:mm")) for form in PRICE_DATES]), "mcp_inr_mwh": number("mcp_inr_mwh")})
     return df.withColumn("mcp_inr_kwh", F.col("mcp_inr_mwh") / 1000.0)
 
 
 def price_resolution(df: DataFrame) -> DataFrame:
     """Step of a price table from its two earliest times: 15min, 1h or unknown."""
-    first = df.select("timestamp").distinct().orderBy("timestamp").limit(2).agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b"), F.count("*").alias("n"))
+    first = df.filter("timestamp is not null").select("timestamp").distinct().orderBy("timestamp").limit(2).agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b"), F.count("*").alias("n"))
     step = F.unix_seconds("b") - F.unix_seconds("a")
     return first.select(F.when(F.col("n") < 2, "unknown").when(step <= 900, "15min").otherwise("1h").alias("resolution"))
 
