@@ -42,6 +42,17 @@ def test_quantiles_equal_percentile_on_skewed_groups(spark):
         assert got[r.g] == pytest.approx(tuple(r.q), rel=1e-12)
 
 
+def test_rolling_moments_after_a_level_shift(series):
+    """A step from 1e6 to 5 leaves no trace in windows behind it."""
+    rnd = random.Random(5)
+    values = [1e6 + rnd.uniform(0, 10) for _ in range(150)] + [5 + rnd.uniform(0, 0.02) for _ in range(250)]
+    got = with_rolling_moments(series(values), KEY, "v", [48, 100], {48: ("m", "s"), 100: (None, "t")}, include_current=True).orderBy("i").toPandas()
+    tail = pd.Series(values[150:])
+    np.testing.assert_allclose(got["s"][200:], tail.rolling(48).std()[50:], rtol=1e-9)
+    np.testing.assert_allclose(got["t"][260:], tail.rolling(100).std()[110:], rtol=1e-9)
+    np.testing.assert_allclose(got["m"][200:], tail.rolling(48).mean()[50:], rtol=1e-12)
+
+
 def test_rolling_moments_equal_pandas(series):
     rnd = random.Random(3)
     values = [None if rnd.random() < 0.1 else rnd.uniform(0, 1e4) for _ in range(300)]

@@ -95,40 +95,50 @@ def with_rolling_moments(
     min_periods: dict[int, int] | None = None,
     ts: str = "ts",
 ) -> DataFrame:
-    """Rolling mean and sample deviation by differences of running sums.
+    """Rolling mean and sample deviation without subtractions of sums.
 
-    One pass of running sums serves every width, so the cost per row does not grow with the width.  Values are centred
-    on the mean of their key first, which keeps the running sums small and the differences accurate.
+    Count, mean and squared deviations of 1, 2, 4, ... rows come from merging those of half as many rows with the ones before
+    them; a window is put together from its binary parts.  Every value used lies in the window, so a level shift elsewhere
+    leaves no trace, and the cost per row grows with the logarithm of the width.  All steps share one sort.
     """
     w = ordered(keys, ts)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    x = F.col(value) - F.col("_centre")
-    df = df.withColumn("_centre", F.avg(value).over(Window.partitionBy(*keys)))
-    df = df.withColumns(
-        {
-            "_n": F.count(value).over(run),
-            "_s": F.coalesce(F.sum(x).over(run), F.lit(0.0)),
-            "_ss": F.coalesce(F.sum(x * x).over(run), F.lit(0.0)),
-        }
-    )
-    shift = 0 if include_current else 1
-
-    def at(c: str, back: int) -> Column:
-        zero = F.lit(0).cast("bigint") if c == "_n" else F.lit(0.0)
-        return F.col(c) if back == 0 else F.coalesce(F.lag(c, back).over(w), zero)
-
-    df = df.withColumns(
-        {f"{c}{n}": at(c, shift) - at(c, n + shift) for n in windows for c in ("_n", "_s", "_ss")}
-    )
+    present = F.col(value).isNotNull()
+    df = df.withColumns({"_n0": F.when(present, 1.0).otherwise(0.0), "_a0": F.when(present, F.col(value).cast("double")).otherwise(0.0), "_q0": F.lit(0.0)})
+
+    def before(k: int, back: int) -> tuple[Column, ...]:
+        return tuple(F.col(f"{c}{k}") if back == 0 else F.coalesce(F.lag(f"{c}{k}", back).over(w), F.lit(0.0)) for c in ("_n", "_a", "_q"))
+
+    def merged(x: tuple[Column, ...], y: tuple[Column, ...]) -> tuple[Column, ...]:
+        n, d = x[0] + y[0], y[1] - x[1]
+        share = F.when(n > 0, y[0] / n).otherwise(0.0)
+        # where one side is empty the other is taken as it is
+        mean = F.when(x[0] == 0, y[1]).when(y[0] == 0, x[1]).otherwise(x[1] + d * share)
+        return n, mean, x[2] + y[2] + F.when((x[0] > 0) & (y[0] > 0), d * d * x[0] * share).otherwise(0.0)
+
+    top = max(windows).bit_length()
+    for k in range(1, top):
+        df = df.withColumns({f"_l{c}": v for c, v in zip("naq", before(k - 1, 1 << (k - 1)), strict=True)})
+        both = merged(before(k - 1, 0), tuple(F.col(f"_l{c}") for c in "naq"))
+        df = df.withColumns({f"{c}{k}": v for c, v in zip(("_n", "_a", "_q"), both, strict=True)})
+    parts = {n: [k for k in range(top - 1, -1, -1) if n >> k & 1] for n in windows}
+    offsets = {n: [(0 if include_current else 1) + sum(1 << j for j in ks[:i]) for i in range(len(ks))] for n, ks in parts.items()}
+    lagged = {f"_w{n}_{i}{c}": v for n, ks in parts.items() for i, k in enumerate(ks) for c, v in zip("naq", before(k, offsets[n][i]), strict=True)}
+    df = df.withColumns(lagged)
+    for i in range(1, max(map(len, parts.values()))):
+        step = {}
+        for n, ks in parts.items():
+            if i < len(ks):
+                both = merged(*(tuple(F.col(f"_w{n}_{j}{c}") for c in "naq") for j in (0, i)))
+                step |= {f"_w{n}_0{c}": v for c, v in zip("naq", both, strict=True)}
+        df = df.withColumns(step)
     out = {}
     for n in windows:
         mean_name, std_name = names[n]
         need = (min_periods or {}).get(n, 1)
-        cnt, s, ss = F.col(f"_n{n}"), F.col(f"_s{n}"), F.col(f"_ss{n}")
+        cnt, mean, q = (F.col(f"_w{n}_0{c}") for c in "naq")
         if mean_name:
-            out[mean_name] = F.when(cnt >= F.greatest(F.lit(need), F.lit(1)), F.col("_centre") + s / F.nullif(cnt, F.lit(0)))
+            out[mean_name] = F.when(cnt >= max(need, 1), mean)
         if std_name:
-            var = (ss - s * s / F.nullif(cnt, F.lit(0))) / F.nullif(cnt - 1, F.lit(0))
-            out[std_name] = F.when((cnt >= need) & (cnt >= 2), F.sqrt(F.greatest(var, F.lit(0.0))))
-    temp = ["_centre", "_n", "_s", "_ss"] + [f"{c}{n}" for n in windows for c in ("_n", "_s", "_ss")]
+            out[std_name] = F.when((cnt >= need) & (cnt >= 2), F.sqrt(q / F.nullif(cnt - 1, F.lit(0.0))))
+    temp = [f"{c}{k}" for k in range(top) for c in ("_n", "_a", "_q")] + [f"_l{c}" for c in "naq"] + list(lagged)
     return df.withColumns(out).drop(*temp)
