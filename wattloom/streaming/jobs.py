@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -20,13 +21,14 @@ def read_events(spark: SparkSession, folder: str, pattern: str = "events.parquet
     return reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(stream: DataFrame, name: str) -> DataFrame:
-    """Process everything available into a table in the shared folder and read it back.
+def drain(stream: DataFrame, name: str, out: str | None = None, state: str | None = None) -> DataFrame:
+    """Process everything available into a table and read it back.
 
-    Output and checkpoint live side by side, so a restarted run continues instead of repeating.
+    A run that is given the output and state paths of an earlier one continues it; without paths it starts fresh ones in
+    the shared folder.
     """
     spark = stream.sparkSession
-    out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+    out, state = out or scratch_path(spark, name), state or scratch_path(spark, f"{name}-state")
     job = stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     job.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
@@ -79,12 +81,11 @@ def frozen_runs(events: DataFrame, key: str, value: str, min_run: int = 3, ts: s
     def update(group, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last, run = state.get if state.exists else (None, 0)
         rows = pd.concat(list(chunks)).sort_values(ts, kind="stable")
-        lengths = []
-        for v in rows[value]:
-            run = run + 1 if last is not None and v == last else 0
-            last = float(v)
-            lengths.append(run)
-        state.update((last, run))
+        v, at = rows[value].to_numpy(dtype=float), np.arange(len(rows))
+        same = np.concatenate([[last is not None and v[0] == last], v[1:] == v[:-1]])
+        start = np.maximum.accumulate(np.where(same, -1, at))  # -1: still the run of the batches before
+        lengths = np.where(start < 0, at + 1 + run, at - start)
+        state.update((float(v[-1]), int(lengths[-1])))
         rows = rows.assign(run_length=lengths)
         yield rows.assign(is_frozen=rows["run_length"] >= min_run)[[key, ts, value, "run_length", "is_frozen"]]
 
