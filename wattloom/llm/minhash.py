@@ -172,10 +172,28 @@ def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(p) + len(q) - both)
 
 
-def _block_links(apart: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, need: np.ndarray) -> DataFrame:
+def _with_both(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    """Pairs (a, b) with a column of both nodes."""
+    for end in ("a", "b"):
+        pairs = pairs.join(values.select(F.col("node").alias(end), F.col(column).alias(f"{column}_{end}")), end)
+    return pairs
+
+
+def _exact_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+
+    @F.arrow_udf("boolean")
+    def links(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([_similar(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), percent) for p, q in zip(x, y, strict=True)], pa.bool_())
+
+    return _with_both(pairs, sets, "hashes").filter(links("hashes_a", "hashes_b")).select("a", "b")
+
+
+def _block_links(apart: DataFrame, involved: DataFrame, sets: DataFrame, percent: int, need: np.ndarray) -> DataFrame:
     """(a, b): the links of each bucket between components; ``apart`` is (bucket, node, comp, k).
 
-    A pair is looked at in the first bucket that its nodes share.
+    A pair is looked at in the first bucket that its nodes share.  Rows carry half of each hash; what is within a hundredth of
+    similar enough by these goes to the exact check.
     """
 
     def compare(rows: pa.Table) -> pa.Table:
@@ -183,7 +201,7 @@ def _block_links(apart: DataFrame, classes: DataFrame, sets: DataFrame, percent:
         node, comp, own = (rows[c].to_numpy() for c in ("node", "comp", "own"))
         sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), "<u2").reshape(len(node), -1)
         bands = np.array(rows["bands"].to_pylist(), np.int64)
-        hashes = [np.frombuffer(b, np.uint64) for b in rows["hashes"].to_pylist()]
+        hashes = [np.frombuffer(b, np.uint32) for b in rows["halves"].to_pylist()]
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         out: tuple[list[int], list[int]] = ([], [])
         for at in range(0, len(left), 128):
@@ -194,15 +212,20 @@ def _block_links(apart: DataFrame, classes: DataFrame, sets: DataFrame, percent:
             x, y = x[stay], y[stay]
             first = bands[x, (bands[x] == bands[y]).argmax(1)] == bucket
             for u, v in zip(x[first].tolist(), y[first].tolist(), strict=True):
-                if _similar(hashes[u], hashes[v], percent):
+                if _similar(hashes[u], hashes[v], percent - 1):
                     out[0].append(min(node[u], node[v]))
                     out[1].append(max(node[u], node[v]))
         return pa.table([pa.array(v, pa.int64()) for v in out], ["a", "b"])
 
-    tiled = apart.join(classes.select("node", "sig", "bands"), "node").join(sets, "node")
+    @F.arrow_udf("binary")
+    def halves(x: pa.Array) -> pa.Array:
+        return pa.array([np.unique((np.frombuffer(b.as_buffer(), np.uint64) >> np.uint64(32)).astype(np.uint32)).tobytes() for b in x], pa.binary())
+
+    tiled = apart.join(involved.select("node", "sig", "bands"), "node").join(sets.select("node", halves("hashes").alias("halves")), "node")
     tiled = tiled.withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    tiled = tiled.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).select("bucket", "i", "j", "own", "node", "comp", "sig", "bands", "hashes")
-    return tiled.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
+    tiled = tiled.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).select("bucket", "i", "j", "own", "node", "comp", "sig", "bands", "halves")
+    close = cut(tiled.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long"), "minhash-close")
+    return _exact_links(close, sets, percent)
 
 
 def _pair_links(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, need: np.ndarray) -> DataFrame:
@@ -215,17 +238,7 @@ def _pair_links(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int
         keep[_likely(left, right, np.arange(len(x)), np.arange(len(x)), need)] = True
         return pa.array(keep)
 
-    @F.arrow_udf("boolean")
-    def links(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([_similar(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), percent) for p, q in zip(x, y, strict=True)], pa.bool_())
-
-    def with_both(df: DataFrame, values: DataFrame, column: str) -> DataFrame:
-        for end in ("a", "b"):
-            df = df.join(values.select(F.col("node").alias(end), F.col(column).alias(f"{column}_{end}")), end)
-        return df
-
-    likely = cut(with_both(pairs, sigs, "sig").filter(may_link("sig_a", "sig_b")).select("a", "b"), "minhash-likely")
-    return with_both(likely, sets, "hashes").filter(links("hashes_a", "hashes_b")).select("a", "b")
+    return _exact_links(cut(_with_both(pairs, sigs, "sig").filter(may_link("sig_a", "sig_b")).select("a", "b"), "minhash-likely"), sets, percent)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
@@ -243,9 +256,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS, band
     entries = classes.select("node", F.explode("bands").alias("bucket"))
     shared = cut(entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "minhash-buckets")
     members = cut(entries.join(shared, "bucket"), "minhash-members")
-    involved = classes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("doc").alias("doc_id"))
-    sets = cut(shingle_sets(docs.join(involved.distinct(), "doc_id", "left_semi"), words).groupBy("node").agg(F.first("hashes").alias("hashes")), "minhash-sets")
-    sigs = classes.select("node", "sig")
+    involved = cut(classes.join(members.select("node").distinct(), "node", "left_semi"), "minhash-involved")
+    sets = cut(shingle_sets(docs.join(involved.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), words).groupBy("node").agg(F.first("hashes").alias("hashes")), "minhash-sets")
+    sigs = involved.select("node", "sig")
     need = least_matches(percent / 100, BATCH, max(1, bands * rows // BATCH), miss)
 
     links: DataFrame | None = None
@@ -258,10 +271,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS, band
             pairs = placed.join(pivots, "bucket").filter("comp <> pivot_comp").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
             found = _pair_links(cut(pairs.distinct(), "minhash-pairs"), sigs, sets, percent, need)
         else:  # buckets of more than a pivot and one other whose members are still in several components
-            sizes = placed.join(classes.select("node", "n_shingles"), "node").groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+            sizes = placed.join(involved.select("node", "n_shingles"), "node").groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
             blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
             still_open = cut(sizes.filter("lo <> hi and n > 2").select("bucket", blocks.alias("k")), "minhash-open")
-            found = _block_links(placed.join(still_open, "bucket"), classes, sets, percent, need)
+            found = _block_links(placed.join(still_open, "bucket"), involved, sets, percent, need)
         found = cut(found, "minhash-links")
         links = found if links is None else links.unionByName(found)
         labels = cut(components(links), "minhash-labels")
