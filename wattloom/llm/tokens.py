@@ -9,8 +9,10 @@ from __future__ import annotations
 import re
 import struct
 
-#: Words remembered by a Python worker; the memory is emptied when full, so it never grows with the data.
-WORDS_KEPT = 700_000
+import numpy as np
+
+#: Words that a Python worker remembers: so many met last and as many before them, so memory never grows with the data.
+WORDS_KEPT = 400_000
 
 _ENCODERS: dict[tuple[str, str], "Words"] = {}
 _OTHER_SPACE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
@@ -27,32 +29,58 @@ class Words(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.older: dict[bytes, bytes] = {}
 
     def direct(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        # a final comma or full stop after an ASCII letter is a token of its own
-        if len(word) > 2 and word[-1:] in (b",", b".") and word[-2:-1].isalpha():
-            ids = self[word[:-1]] + self[word[-1:]]
-        else:
-            ids = self.direct(word.decode("utf-8"))
+        ids = self.older.get(word)
+        if ids is None:
+            # a final comma or full stop after an ASCII letter is a token of its own
+            if len(word) > 2 and word[-1:] in (b",", b".") and word[-2:-1].isalpha():
+                ids = self[word[:-1]] + self[word[-1:]]
+            else:
+                ids = self.direct(word.decode("utf-8"))
         if len(word) <= 64:
             self[word] = ids
         return ids
 
+    def joined(self, words: list[bytes]) -> bytes:
+        """Ids of words in a row."""
+        if len(self) >= WORDS_KEPT:
+            self.older = dict(self)
+            self.clear()
+        return b"".join(map(self.__getitem__, words))
+
 
 class DroppedSpace(Words):
     """Vocabulary of lower-cased words whose white space is dropped."""
 
+    def __init__(self, path: str):
+        super().__init__(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def learn(self, words: list[bytes]) -> None:
+        """Remember words of ASCII letters, encoded as one text: each ends with a token that ends a word."""
+        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, "<u4")
+        ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+        if len(ends) == len(words):
+            raw = ids.tobytes()
+            self.update(zip(words, (raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+
     def text(self, text: str) -> bytes:
         raw = text.encode("utf-8")
         # ASCII lower case first makes more words equal; not where combining marks could compose differently
         words = (raw if any(m in raw for m in _MARKS) or any(a in text for a in self.added) else raw.lower()).split()
-        return b"".join(map(self.__getitem__, words))
+        stems = {w[:-1] if w[-1:] in (b",", b".") else w for w in set(words) if w not in self}
+        plain = [w for w in stems if w.isalpha() and len(w) <= 64 and w not in self and w not in self.older]
+        if plain:
+            self.learn(plain)
+        return self.joined(words)
 
 
 class ByteLevel(Words):
@@ -61,7 +89,7 @@ class ByteLevel(Words):
     def text(self, text: str) -> bytes:
         if _OTHER_SPACE.search(text) or any(a in text for a in self.added):
             return self.direct(text)
-        return b"".join(map(self.__getitem__, _BYTE_WORDS.findall(text.encode("utf-8"))))
+        return self.joined(_BYTE_WORDS.findall(text.encode("utf-8")))
 
 
 def encoder(path: str, kind: str) -> Words:
