@@ -93,38 +93,43 @@ def count_grams(words: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Log-frequency vectors over the languages by word and by n-gram."""
+    """Log frequencies over the languages, by word and by n-gram."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]):
+    def __init__(self, langs: list[str], words: dict[str, tuple[float, ...]], grams: dict[str, tuple[float, ...]]):
         self.langs, self.words, self.grams = langs, words, grams
-
-    def vector(self, token: str) -> np.ndarray:
-        """What the words of a token say: each known word its log frequencies, an unseen one those of its longest known n-grams."""
-        total = np.zeros(len(self.langs))
-        for word in _LETTERS.findall(token):
-            known = self.words.get(word)
-            if known is None:
-                marked = f"^{word}$"
-                for n in GRAMS:
-                    hits = [g for i in range(len(marked) - n + 1) if (g := self.grams.get(marked[i : i + n])) is not None]
-                    if hits:
-                        known = np.mean(hits, axis=0)
-                        break
-            if known is not None:
-                total += known
-        return total
-
-
-def _vectors(rows: list[tuple[str, str, int]], langs: list[str], totals: dict[str, int]) -> dict[str, np.ndarray]:
+        self.nothing = (0.0,) * len(langs)
+
+    def word(self, word: str) -> tuple[float, ...]:
+        """A known word's log frequencies; an unseen one has the mean of those of its longest known n-grams."""
+        known = self.words.get(word)
+        if known is not None:
+            return known
+        marked, grams = f"^{word}$", self.grams
+        for n in GRAMS:
+            hits = [g for i in range(len(marked) - n + 1) if (g := grams.get(marked[i : i + n])) is not None]
+            if hits:
+                return tuple(sum(c) / len(hits) for c in zip(*hits, strict=True))
+        return self.nothing
+
+    def vector(self, token: str) -> tuple[float, ...]:
+        """Sum over the words of a token."""
+        if token.isalpha():
+            return self.word(token)
+        words = _LETTERS.findall(token)
+        if len(words) == 1:
+            return self.word(words[0])
+        return tuple(map(sum, zip(*map(self.word, words), strict=True))) if words else self.nothing
+
+
+def _vectors(rows: list[tuple[str, str, int]], langs: list[str], totals: dict[str, int]) -> dict[str, tuple[float, ...]]:
     if not langs:
         return {}
     at = {lang: i for i, lang in enumerate(langs)}
-    floor = np.array([math.log(0.5 / (totals.get(lang, 0) + 1)) for lang in langs])
-    floor[:] = floor.max()  # an entry absent from a language says the same of a large and a small one
-    out: dict[str, np.ndarray] = {}
+    floor = max(math.log(0.5 / (totals.get(lang, 0) + 1)) for lang in langs)  # absent says the same of a large and a small language
+    out: dict[str, list[float]] = {}
     for lang, key, n in rows:
-        out.setdefault(key, floor.copy())[at[lang]] = max(floor[0], math.log(n / totals[lang]))
-    return out
+        out.setdefault(key, [floor] * len(langs))[at[lang]] = max(floor, math.log(n / totals[lang]))
+    return {key: tuple(v) for key, v in out.items()}
 
 
 def train(docs: DataFrame, least_word: float = LEAST_WORD, least_gram: float = LEAST_GRAM) -> Model:
