@@ -33,11 +33,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without an id are kept: they can't be told apart by id.
     """
     found = cut(minhash.near_duplicates(docs), "pipeline-near")
-    kept = cut(found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")), "pipeline-kept")
-    single = docs.join(kept.filter("n = 1").select("doc_id"), "doc_id", "left_semi")
-    shared = docs.join(kept.filter("n > 1").select("doc_id"), "doc_id", "left_semi")
-    one = shared.groupBy("doc_id").agg(F.min(F.struct(*(c for c in COLUMNS if c != "doc_id"))).alias("r")).select("doc_id", "r.*")
-    return single.select(*COLUMNS).unionByName(one.select(*COLUMNS)).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
+    ids = cut(found.filter("doc_id is not null").groupBy("doc_id").agg(F.sum(F.col("kept").cast("int")).alias("n")).filter("n <> 1"), "pipeline-ids")
+    # the ids that go are fewer than those that stay, so the texts seldom have to move
+    rest = docs.select(*COLUMNS).join(ids.filter("n = 0").select("doc_id"), "doc_id", "left_anti")
+    shared = ids.filter("n > 1").select("doc_id")
+    one = rest.join(shared, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*(c for c in COLUMNS if c != "doc_id"))).alias("r")).select("doc_id", "r.*")
+    return rest.join(shared, "doc_id", "left_anti").select(*COLUMNS).unionByName(one.select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
