@@ -1,13 +1,15 @@
 """Language-model scores: a hashed maximum-entropy model with a class-factored softmax.
 
-The frequent words of the training texts and the end are predicted one by one: first the class of the next token, then the
-token within its class, each by a softmax over sums of weight rows that hashed features of the history pick (the last word,
-the last two, and two features that skip words).  All other words are one more class, within which a word has its smoothed
-relative frequency.  Weights start from the corpus frequencies and follow gradients that Spark sums over the training
-sample.
-
-Counts cover all training texts.  Words above a least relative frequency (at most 1 / LEAST of them) are looked up by the
-task that reads a text; what is left of a text's words meets the count table in a join.
+Words are predicted down a tree of classes: a softmax over the children of each node on the way, over sums of weight rows that
+hashed features of the history pick (the last word, the last two, and two features that skip words; a history is made of the
+hashes of its own words, frequent or not).  The leaves are the frequent words, the end, and hash buckets of the other words,
+within which a word has its smoothed relative frequency.  The tree is the 16-ary Huffman tree of the counts.  Weights start
+from the corpus frequencies and follow gradients that Spark sums over all training texts in each round: a task adds up its
+texts, then blocks of rows are added up by key.
+
+Words above a least relative frequency (at most 1 / LEAST of them) are looked up by the task that reads a text; what is left
+of a text's words meets the count table in a join.  The number of weight rows follows the counted tokens up to ROWS_MOST, which
+bounds a worker's memory; beyond that more features share a row.
 """
 
 from __future__ import annotations
@@ -24,23 +26,30 @@ from pyspark.sql import DataFrame, functions as F
 from wattloom.llm.langid import remainder
 from wattloom.llm.support import cut, map_rows, prepare
 
-#: Words that the model predicts one by one, the end among them, and the size of a class.
-VOCABULARY = 1024
-CLASS = 32
+#: Children of a node of the tree.
+CLASS = 16
 LEAST = 5e-7
 HELD = 300_000
-#: Rows of the hashed weights of classes and of words.
-CLASS_ROWS = 1 << 13
-WORD_ROWS = 1 << 14
-#: Training texts that gradients are taken from (about so many, chosen by a hash of their id), rounds and step.
-SAMPLE = 3000
+#: Words of a hash bucket, about, and the most buckets.
+BUCKET = 256
+BUCKETS_MOST = 1 << 16
+#: Counted tokens for each row of the hashed weights, and least and most rows.
+TOKENS_A_ROW = 160
+ROWS_LEAST = 1 << 14
+ROWS_MOST = 1 << 20
+#: Rows of a block of gradients.
+BLOCK = 1024
+#: Rounds of gradients and step.
 ROUNDS = 4
 STEP = 0.1
-PARTS = 12
 CHUNK = 8192
 END = b"\n"  # no word holds white space
 
 _P = np.uint64(0x9E3779B97F4A7C15)
+_Q = np.uint64(0xD6E8FEB86659FD93)
+_HALF = np.uint64(32)
+#: Seed of Spark's xxhash64.
+SEED = 42
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -75,35 +84,85 @@ def _hash64(words: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
 
 
+def _buckets(words: list[bytes], buckets: int) -> np.ndarray:
+    """Hash bucket of each word, as Spark's xxhash64 gives it; ``buckets`` is a power of two."""
+    import xxhash
+
+    return np.array([xxhash.xxh64_intdigest(w, SEED) & (buckets - 1) for w in words], np.int64)
+
+
+def _tree(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Huffman tree of leaves: first step of each leaf (and the end), node and child of each step, log share of each child."""
+    n = len(mass)
+    pad = (-(n - 1)) % (CLASS - 1) if n > 1 else CLASS - 1
+    order = np.concatenate([np.full(pad, -1, np.int64), np.argsort(mass, kind="stable")])
+    weight = np.where(order < 0, 0.0, mass[order]).tolist()
+    merges = (len(order) - 1) // (CLASS - 1)
+    sums: list[float] = []
+    leaf_node, leaf_child, node_node, node_child = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(merges, -1, np.int64), np.zeros(merges, np.int64)
+    share = np.full((merges, CLASS), -np.inf)
+    at, inner = 0, 0
+    for node in range(merges):
+        total = 0.0
+        for child in range(CLASS):
+            if inner >= len(sums) or (at < len(weight) and weight[at] <= sums[inner]):
+                if order[at] >= 0:
+                    leaf_node[order[at]], leaf_child[order[at]], share[node, child] = node, child, weight[at]
+                total += weight[at]
+                at += 1
+            else:
+                node_node[inner], node_child[inner], share[node, child] = node, child, sums[inner]
+                total += sums[inner]
+                inner += 1
+        sums.append(total)
+    leaf, node, child = np.arange(n), leaf_node, leaf_child
+    steps = []
+    while len(leaf):
+        steps.append((leaf, node, child))
+        up = node_node[node] >= 0
+        leaf, node, child = leaf[up], node_node[node[up]], node_child[node[up]]
+    leaf, node, child = (np.concatenate(v) for v in zip(*steps, strict=True))
+    by = np.argsort(leaf, kind="stable")
+    first = np.concatenate([[0], np.cumsum(np.bincount(leaf, minlength=n))])
+    share = np.where(np.isfinite(share), np.log(np.maximum(share, 1e-30) / np.array(sums)[:, None]), -1e30)
+    return first, node[by].astype(np.int32), child[by].astype(np.int8), share.astype(np.float32)
+
+
 class Model:
-    """Vocabulary, counts of frequent words and weights; bounded by the parameters above."""
+    """Vocabulary, counts of frequent words, tree and weights; bounded by the parameters above.
 
-    def __init__(self, vocabulary: list[bytes], frequent: list[bytes], counts: list[int], total: int, distinct: int, vocabulary_count: int):
-        order = np.argsort(_hash64(frequent)) if frequent else np.zeros(0, np.int64)
-        self.keys = _hash64(frequent)[order] if frequent else np.zeros(0, np.uint64)
+    ``masses`` and ``sizes`` are the counts and the distinct words of each bucket of words outside the vocabulary.
+    """
+
+    def __init__(self, vocabulary: list[bytes], frequent: list[bytes], counts: list[int], total: int, distinct: int, masses: np.ndarray, sizes: np.ndarray):
+        hashes = _hash64(frequent) if frequent else np.zeros(0, np.uint64)
+        order = np.argsort(hashes)
+        self.keys = hashes[order]
         self.logs = np.concatenate([np.log10(np.asarray(counts, float) + 1)[order] if frequent else np.zeros(0), [0.0]])
         self.vocabulary = {w: i for i, w in enumerate(vocabulary)}
-        self.rare = len(vocabulary)
+        self.rare, self.buckets = len(vocabulary), len(masses)
+        #: Leaf of each frequent word; of others -1.
+        self.leaf_at = np.array([self.vocabulary.get(w, -1) for w in frequent] + [-1], np.int64)[np.concatenate([order, [len(frequent)]])]
         self.total, self.distinct = total, distinct
-        self.rare_scale = np.log10(max(1, total - vocabulary_count) + distinct - len(vocabulary) + 1)
-        self.classes = -(-len(vocabulary) // CLASS) + 1
-        self.class_weights = np.zeros((CLASS_ROWS, self.classes), np.float32)
-        self.word_weights = np.zeros((WORD_ROWS, CLASS), np.float32)
-        at = {w: c for w, c in zip(frequent, counts, strict=True)}
-        n = np.array([at[w] for w in vocabulary], float)
-        mass = np.array([n[i : i + CLASS].sum() for i in range(0, len(n), CLASS)] + [max(1, total - vocabulary_count)])
-        self.class_bias = np.log(np.maximum(mass, 1) / max(1, mass.sum())).astype(np.float32)
-        self.word_bias = np.full((self.classes, CLASS), -1e30, np.float32)
-        self.word_bias[-1, 0] = 0
-        for i, c in enumerate(n):
-            self.word_bias[i // CLASS, i % CLASS] = np.log(c / mass[i // CLASS])
-        self.memory: dict[bytes, tuple[int, int]] = {}
-
-    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Number in the vocabulary and place in the counts of each word; a word that is not frequent has the last place."""
+        self.bucket_scale = np.log10(masses + sizes + 1.0)
+        at = dict(zip(frequent, counts, strict=True))
+        mass = np.concatenate([np.array([at[w] for w in vocabulary], float), np.maximum(masses, 1.0)])
+        self.first, self.node, self.child, self.bias = _tree(mass)
+        #: Hashes that stand for leaves where only these are given.
+        self.leaf_hash = np.concatenate([_hash64(vocabulary) if vocabulary else np.zeros(0, np.uint64), (np.arange(self.buckets).astype(np.uint64) + np.uint64(2)) * _Q])
+        self.rows = min(ROWS_MOST, max(ROWS_LEAST, total // TOKENS_A_ROW)) // BLOCK * BLOCK
+        self.weights = np.zeros((self.rows, CLASS), np.float32)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.memory: dict[bytes, int] = {}
+        self.seen = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Leaf, place in the counts and hash of each word; a word that is not frequent has the last place."""
+        if len(self.memory) > HELD:
+            self._forget()
         memory = self.memory
-        if len(memory) > HELD:
-            memory.clear()
         new = list(set(words).difference(memory))
         if new:
             h = _hash64(new)
@@ -111,137 +170,120 @@ class Model:
             near = np.minimum(place, max(0, len(self.keys) - 1))
             known = self.keys[near] == h if len(self.keys) else np.zeros(len(h), bool)
             place = np.where(known, near, len(self.keys))
-            for w, p in zip(new, place.tolist(), strict=True):
-                memory[w] = (self.vocabulary.get(w, self.rare), p)
-        both = np.array([memory[w] for w in words], np.int64).reshape(len(words), 2)
-        return both[:, 0], both[:, 1]
-
-    def features(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+            leaf = self.leaf_at[place]
+            out = np.flatnonzero(leaf < 0)
+            leaf[out] = self.rare + _buckets([new[i] for i in out], self.buckets)
+            memory.update(zip(new, range(len(memory), len(memory) + len(new)), strict=True))
+            self.seen = tuple(np.concatenate(v) for v in zip(self.seen, (leaf, place, h), strict=True))
+        at = np.fromiter(map(memory.__getitem__, words), np.int64, len(words))
+        return self.seen[0][at], self.seen[1][at], self.seen[2][at]
+
+    def features(self, hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Hashed history of each token, one row for each feature; histories do not cross texts."""
         start = np.repeat(np.cumsum(lengths) - lengths, lengths)
-        at = np.arange(len(ids)) - start
-        back = [np.where(at >= k, np.concatenate([np.zeros(k, np.int64), ids])[: len(ids)], self.rare + 1).astype(np.uint64) for k in (1, 2, 3)]
-        two = np.uint64(1 << 20)
-        raw = [back[0], back[0] * two + back[1], back[1], back[0] * two + back[2]]
-        return np.stack([(h + np.uint64(k << 60)) * _P for k, h in enumerate(raw, 1)])
-
-    def class_logits(self, rows: np.ndarray) -> np.ndarray:
-        out = self.class_bias + self.class_weights[rows[0]]
-        for r in rows[1:]:
-            out += self.class_weights[r]
-        return out
-
-    def word_logits(self, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        out = self.word_bias[classes]
+        at = np.arange(len(hashes)) - start
+        back = [np.where(at >= k, np.concatenate([np.zeros(k, np.uint64), hashes])[: len(hashes)], np.uint64(1)) for k in (1, 2, 3)]
+        raw = [back[0], back[0] * _Q + back[1], back[1], back[0] * _Q + back[2]]
+        mixed = [(h ^ (h >> _HALF)) * _P + np.uint64(k << 60) for k, h in enumerate(raw, 1)]
+        return np.stack([h ^ (h >> _HALF) for h in mixed])
+
+    def steps(self, ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First step of each token, children taken, weight rows of each step by feature, and logits of its children."""
+        n = self.first[ids + 1] - self.first[ids]
+        first = np.cumsum(n) - n
+        token = np.repeat(np.arange(len(ids)), n)
+        at = np.arange(len(token)) - first[token] + self.first[ids][token]
+        node = self.node[at]
+        x = (h[:, token] ^ ((node.astype(np.uint64) + np.uint64(1)) * _Q)) * _P
+        rows = ((x >> _HALF) * np.uint64(self.rows) >> _HALF).astype(np.int64)
+        logits = self.bias[node]
         for r in rows:
-            out = out + self.word_weights[r]
-        return out
+            logits += self.weights[r]
+        return first, self.child[at].astype(np.int64), rows, logits
 
-    @staticmethod
-    def class_rows(h: np.ndarray) -> np.ndarray:
-        return ((h >> np.uint64(32)) % np.uint64(CLASS_ROWS)).astype(np.int64)
-
-    @staticmethod
-    def word_rows(h: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        return (((h ^ (classes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)) * _P >> np.uint64(32)) % np.uint64(WORD_ROWS)).astype(np.int64)
-
-    def log10(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """log10 probability of each token; of a word outside the vocabulary that of its class."""
-        h = self.features(ids, lengths)
+    def log10(self, ids: np.ndarray, lengths: np.ndarray, hashes: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of each token; of a word outside the vocabulary that of its bucket."""
+        h = self.features(self.leaf_hash[ids] if hashes is None else hashes, lengths)
         out = np.zeros(len(ids))
         for lo in range(0, len(ids), CHUNK):
-            own, hh = ids[lo : lo + CHUNK], h[:, lo : lo + CHUNK]
-            classes = np.where(own == self.rare, self.classes - 1, own // CLASS)
-            logits = self.class_logits(self.class_rows(hh))
-            top = logits.max(1)
-            got = logits[np.arange(len(own)), classes] - top - np.log(np.exp(logits - top[:, None]).sum(1))
-            in_words = np.flatnonzero(own != self.rare)
-            if len(in_words):
-                c = classes[in_words]
-                logits = self.word_logits(self.word_rows(hh[:, in_words], c), c)
-                top = logits.max(1)
-                got[in_words] += logits[np.arange(len(c)), own[in_words] % CLASS] - top - np.log(np.exp(logits - top[:, None]).sum(1))
-            out[lo : lo + CHUNK] = got
+            first, child, _, logits = self.steps(ids[lo : lo + CHUNK], h[:, lo : lo + CHUNK])
+            logits -= logits.max(1, keepdims=True)
+            got = logits[np.arange(len(child)), child] - np.log(np.exp(logits).sum(1))
+            out[lo : lo + CHUNK] = np.add.reduceat(got, first, dtype=np.float64)
         return out / np.log(10)
 
-    def gradient(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Gradients of the log probability by the weights, summed over tokens."""
-        g_class, g_word = np.zeros_like(self.class_weights), np.zeros_like(self.word_weights)
-        h = self.features(ids, lengths)
-
-        def add(to: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
-            for r in rows:
-                order = np.argsort(r, kind="stable")
-                heads, first = np.unique(r[order], return_index=True)
-                to[heads] += np.add.reduceat(g[order], first, axis=0)
-
+    def add_gradient(self, to: np.ndarray, ids: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> None:
+        """Add the gradient of the log probability by the weights, summed over tokens."""
+        h, flat, columns = self.features(hashes, lengths), to.reshape(-1), np.arange(CLASS)
         for lo in range(0, len(ids), CHUNK):
-            own, hh = ids[lo : lo + CHUNK], h[:, lo : lo + CHUNK]
-            classes = np.where(own == self.rare, self.classes - 1, own // CLASS)
-            for to, rows, logits, right in (
-                (g_class, r := self.class_rows(hh), self.class_logits(r), classes),
-                *(((g_word, r := self.word_rows(hh[:, w], classes[w]), self.word_logits(r, classes[w]), own[w] % CLASS),) if len(w := np.flatnonzero(own != self.rare)) else ()),
-            ):
-                p = np.exp(logits - logits.max(1, keepdims=True))
-                p /= -p.sum(1, keepdims=True)
-                p[np.arange(len(p)), right] += 1
-                add(to, rows, p)
-        return g_class, g_word
+            _, child, rows, p = self.steps(ids[lo : lo + CHUNK], h[:, lo : lo + CHUNK])
+            p -= p.max(1, keepdims=True)
+            np.exp(p, out=p)
+            p /= -p.sum(1, keepdims=True)
+            p[np.arange(len(p)), child] += 1
+            for r in rows:
+                np.add.at(flat, (r[:, None] * CLASS + columns).ravel(), p.ravel())
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"memory": {}}
+        return self.__dict__ | {"vocabulary": {}, "memory": {}, "seen": tuple(v[:0] for v in self.seen)}
 
 
-def _batch_ids(model: Model, texts: list[bytes | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
+def _batch_ids(model: Model, texts: list[bytes | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     words = [words_of(t) + [END] for t in texts]
     lengths = np.array([len(w) for w in words], np.int64)
-    ids, place = model.look_up([w for own in words for w in own])
-    return words, lengths, ids, place
+    return words, lengths, *model.look_up([w for own in words for w in own])
 
 
-def train(docs: DataFrame, vocabulary: int = VOCABULARY, sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
-    """The model and the written table (word, n) of all counts."""
+def train(docs: DataFrame, vocabulary: int | None = None, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+    """The model and the written table (word, n) of all counts; ``vocabulary`` bounds the words with leaves of their own."""
     spark = docs.sparkSession
     counts = cut(count_tokens(docs), "lm-counts")
-    total, distinct, texts = counts.agg(F.sum("n"), F.count("*"), F.max(F.when(F.col("word") == END, F.col("n")))).first()
-    total, texts = int(total or 0), int(texts or 0)
+    total, distinct = (int(v or 0) for v in counts.agg(F.sum("n"), F.count("*")).first())
     frequent = counts.filter(F.col("n") >= max(2.0, total * LEAST)).orderBy(F.desc("n"), "word").collect() if total else []
     words, n = [bytes(r[0]) for r in frequent], [int(r[1]) for r in frequent]
     rank = {w: i for i, w in enumerate(words)}
-    chosen = sorted([w for w in words if w != END][: vocabulary - 1] + [END] * (END in rank), key=rank.__getitem__)
-    at = dict(zip(words, n, strict=True))
-    model = Model(chosen, words, n, total, int(distinct or 0), sum(at[w] for w in chosen))
-    share = min(1.0, sample / max(1, texts))
-    picked = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
-    picked = cut(picked.repartition(PARTS), "lm-sample")
-    squares: list[np.ndarray] | None = None
-    for _ in range(rounds if chosen else 0):
+    chosen = sorted([w for w in words if w != END][: None if vocabulary is None else vocabulary - 1] + [END] * (END in rank), key=rank.__getitem__)
+    buckets = 1
+    while buckets < BUCKETS_MOST and buckets * BUCKET < distinct - len(chosen):
+        buckets *= 2
+    masses, sizes = np.zeros(buckets), np.zeros(buckets)
+    for b, m, k in counts.groupBy(F.xxhash64("word").bitwiseAND(F.lit(buckets - 1).cast("long")).alias("b")).agg(F.sum("n"), F.count("*")).collect():
+        masses[b], sizes[b] = m, k
+    if chosen:
+        own = _buckets(chosen, buckets)
+        np.subtract.at(masses, own, np.array([n[rank[w]] for w in chosen], float))
+        np.subtract.at(sizes, own, 1.0)
+    model = Model(chosen, words, n, total, distinct, masses, sizes)
+    squares = np.ones_like(model.weights)  # gradients are counts of tokens: what is seen once moves less
+    # one task for each core: what leaves a task is as large as the weights, however many texts it read
+    texts = docs.select("text").coalesce(max(1, spark.sparkContext.defaultParallelism))
+    for _ in range(rounds if total else 0):
         sent = spark.sparkContext.broadcast(model)
 
         def gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, g, tokens = sent.value, None, 0
+            own, tokens = sent.value, 0
+            g = np.zeros_like(own.weights)
             for batch in batches:
-                _, lengths, ids, _ = _batch_ids(own, pc.cast(batch.column(0), pa.binary()).to_pylist())
-                new = own.gradient(ids, lengths)
-                g = new if g is None else (g[0] + new[0], g[1] + new[1])
+                _, lengths, ids, _, hashes = _batch_ids(own, pc.cast(batch.column(0), pa.binary()).to_pylist())
+                own.add_gradient(g, ids, lengths, hashes)
                 tokens += len(ids)
-            if g is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([x.tobytes() for x in g], pa.binary()), pa.array([tokens, tokens], pa.int64())], ["part", "g", "tokens"])
+            for at in range(0, len(g) if tokens else 0, BLOCK):
+                if (part := g[at : at + BLOCK]).any():
+                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["at", "g"])
 
         def add_up(rows: pa.Table) -> pa.Table:
-            g = np.sum([np.frombuffer(b, np.float32) for b in rows["g"].to_pylist()], axis=0, dtype=np.float32)
-            return pa.table({"part": rows["part"][:1], "g": pa.array([g.tobytes()], pa.binary()), "tokens": pa.array([sum(rows["tokens"].to_pylist())], pa.int64())})
+            g = np.zeros(BLOCK * CLASS)
+            for b in rows["g"]:
+                g += np.frombuffer(b.as_buffer(), np.float32)
+            return pa.table({"at": rows["at"][:1], "g": pa.array([g.astype(np.float32).tobytes()], pa.binary())})
 
-        kind = "part int, g binary, tokens long"
-        summed = {r[0]: r for r in picked.mapInArrow(gradients, kind).groupBy("part").applyInArrow(add_up, kind).collect()}
+        kind = "at int, g binary"
+        summed = texts.mapInArrow(gradients, kind).groupBy("at").applyInArrow(add_up, kind).collect()
         sent.unpersist()
-        if not summed:
-            break
-        weights = [model.class_weights, model.word_weights]
-        g = [np.frombuffer(summed[i][1], np.float32).reshape(weights[i].shape) / summed[i][2] for i in (0, 1)]
-        squares = [s + x * x for s, x in zip(squares or [np.float32(1e-10)] * 2, g, strict=True)]
-        for w, x, s in zip(weights, g, squares, strict=True):
-            w += np.where(np.abs(x) > 0, STEP * x / np.sqrt(s), 0).astype(np.float32)
+        for at, b in summed:
+            g, s = np.frombuffer(b, np.float32).reshape(BLOCK, CLASS), squares[at : at + BLOCK]
+            s += g * g
+            model.weights[at : at + BLOCK] += np.float32(STEP) * g / np.sqrt(s)
     return model, counts
 
 
@@ -259,19 +301,20 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, row = sent.value, TaskContext.get().partitionId() << 32
-        names = ["row", "doc_id", "n_tokens", "n_known", "logs", "model_log", "n_rare", "word", "times"]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), pa.int64())
+        names = ["row", "doc_id", "n_tokens", "n_known", "logs", "model_log", "word", "times"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64())
         for batch in batches:
-            words, lengths, ids, place = _batch_ids(own, pc.cast(batch.column(1), pa.binary()).to_pylist())
+            words, lengths, ids, place, hashes = _batch_ids(own, pc.cast(batch.column(1), pa.binary()).to_pylist())
             first = np.cumsum(lengths) - lengths
             total = lambda v: np.add.reduceat(v, first)
             logs, known = own.logs[place], place < len(own.keys)
-            rare = ids == own.rare
-            model_log = own.log10(ids, lengths) + np.where(rare, logs, 0.0)
+            rare = ids >= own.rare
+            model_log = own.log10(ids, lengths, hashes)
+            model_log[rare] += logs[rare] - own.bucket_scale[ids[rare] - own.rare]
             n = len(lengths)
             rows = np.arange(row, row + n)
             row += n
-            main = [rows, batch.column(0), lengths, total(known.astype(np.int64)), total(logs), total(model_log), total(rare.astype(np.int64)), None, None]
+            main = [rows, batch.column(0), lengths, total(known.astype(np.int64)), total(logs), total(model_log), None, None]
             yield pa.RecordBatch.from_arrays([pa.nulls(n, k) if v is None else pa.array(v, k) if isinstance(v, np.ndarray) else v for v, k in zip(main, kinds, strict=True)], names)
             left: tuple[list, list, list] = ([], [], [])
             for i in np.flatnonzero(total((~known).astype(np.int64))):
@@ -281,15 +324,15 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
                         values.append(value)
             if left[0]:
                 m = len(left[0])
-                side = [pa.array(left[0], pa.int64()), *(pa.nulls(m, k) for k in kinds[1:7]), pa.array(left[1], pa.binary()), pa.array(left[2], pa.int64())]
+                side = [pa.array(left[0], pa.int64()), *(pa.nulls(m, k) for k in kinds[1:6]), pa.array(left[1], pa.binary()), pa.array(left[2], pa.int64())]
                 yield pa.RecordBatch.from_arrays(side, names)
 
-    parts = docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, logs double, model_log double, n_rare long, word binary, times long")
+    parts = docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, logs double, model_log double, word binary, times long")
     parts = cut(parts, "lm-parts")
     # words that are not frequent: their counts come by a join, and an absent word adds log10(0 + 1) = 0 and no known token
     rare = parts.filter("word is not null").select("row", "word", "times").join(counts.filter(F.col("n") < max(2.0, model.total * LEAST)), "word")
-    rare = rare.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.col("times").alias("n_known"), (F.col("times") * F.log10(F.col("n") + 1.0)).alias("logs"), (F.col("times") * F.log10(F.col("n") + 1.0)).alias("model_log"), F.lit(0).cast("long").alias("n_rare"))
-    sums = parts.filter("word is null").drop("word", "times").unionByName(rare).groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "logs", "model_log", "n_rare")))
+    rare = rare.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.col("times").alias("n_known"), (F.col("times") * F.log10(F.col("n") + 1.0)).alias("logs"), (F.col("times") * F.log10(F.col("n") + 1.0)).alias("model_log"))
+    sums = parts.filter("word is null").drop("word", "times").unionByName(rare).groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "logs", "model_log")))
     scale = float(np.log10(model.total + model.distinct + 1))
     return sums.select(
         "doc_id",
@@ -298,5 +341,5 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
         "n_known",
         F.lit(model.total).cast("long").alias("train_tokens"),
         (F.col("logs") - F.col("n_tokens") * scale).alias("base_score"),
-        (F.col("model_log") - F.col("n_rare") * float(model.rare_scale)).alias("score"),
+        F.col("model_log").alias("score"),
     )
