@@ -135,13 +135,6 @@ def _(t):
     return writers.read_forecasts(t.spark, path)
 
 
-@query("snk_manifest", "msn:s tier:s mape:2 bias_gate:s", "SELECT msn, tier, mape, NULL AS bias_gate FROM registry")
-def _(t):
-    path = scratch_path(t.spark, "manifest")
-    writers.write_manifest(t.registry, path, ["msn", "tier", "mape", "bias_gate"])
-    return t.spark.read.schema("msn string, tier string, mape double, bias_gate string").json(path)
-
-
 @query("src_resume_skip", "strategy:s meter_id:s ts:t predicted_kwh:4", "SELECT strategy, meter_id, ts, predicted_kwh FROM strategies")
 def _(t):
     """A first run stops after one strategy; the second run adds only what is missing."""

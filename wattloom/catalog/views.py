@@ -18,6 +18,11 @@ def q(x: Column, digits: int) -> Column:
     return F.floor(x * scale + 0.5) / scale
 
 
+def located(df: DataFrame) -> DataFrame:
+    """The location of each meter: L0 or L1 by the last digit of its name."""
+    return df.withColumn("location_id", F.concat(F.lit("L"), (F.right("meter_id", F.lit(1)).cast("int") % 2).cast("string")))
+
+
 class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark

@@ -30,18 +30,53 @@ def with_missing(df: DataFrame, features: list[str], value: float | None = 0.0)
     return df.withColumns({f: one(f) for f in features})
 
 
-def gram_sums(df: DataFrame, keys: list[str], features: list[str], target: str) -> DataFrame:
+def place(i: int, j: int, size: int) -> int:
+    """Place of the product of columns i <= j in a flat Gram array of ``size`` columns, row by row."""
+    return i * size - i * (i - 1) // 2 + j - i
+
+
+def target_places(k: int, targets: int, which: int) -> list[int]:
+    """Places of the Gram array of one target in that of several, all behind the same k features."""
+    size, used = k + 1 + targets, [*range(k + 1), k + 1 + which]
+    return [place(used[i], used[j], size) for i in range(k + 2) for j in range(i, k + 2)]
+
+
+def gram_sums(df: DataFrame, keys: list[str], features: list[str], *targets: str) -> DataFrame:
     """Row count, sums and cross products per key as one flat array; combined on the map side, safe for hot keys."""
-    cols = [F.lit(1.0)] + [F.col(f) for f in features] + [F.col(target)]
+    cols = [F.lit(1.0)] + [F.col(f).cast("double") for f in (*features, *targets)]
     pairs = [F.sum(cols[i] * cols[j]) for i in range(len(cols)) for j in range(i, len(cols))]
     return df.groupBy(*keys).agg(*[p.alias(f"_g{i}") for i, p in enumerate(pairs)]).select(*keys, F.array(*[f"_g{i}" for i in range(len(pairs))]).alias("gram"))
 
 
+def select_and_solve(a: np.ndarray, r: np.ndarray, usable: np.ndarray, keep: int, floor: float) -> tuple[list[int], np.ndarray]:
+    """Forward selection and its solution in one elimination.
+
+    ``a`` and ``r`` are the (ridged) correlations of the features and those with the target.  Eliminating a feature leaves the
+    partial covariances of the others, so the next one is that which takes most from the residual, and the column of the
+    target holds the coefficients of all chosen ones.  Ends after ``keep`` features or when the best takes no more than ``floor``.
+    """
+    m, chosen, free, at = np.column_stack([a, r]), [], usable.copy(), np.arange(len(r))
+    while len(chosen) < keep and free.any():
+        left = m[at, at]
+        fresh = free & (left > 1e-10)  # what the chosen ones already explain in full adds nothing
+        gain = np.where(fresh, m[:, -1] ** 2 / np.where(fresh, left, 1.0), -1.0)
+        j = int(np.argmax(gain))
+        if gain[j] <= floor:
+            break
+        row = m[j] / m[j, j]
+        m = m - np.outer(m[:, j], row)
+        m[j] = row
+        chosen.append(j)
+        free[j] = False
+    beta = np.zeros(len(r))
+    beta[chosen] = m[chosen, -1]
+    return chosen, beta
+
+
 def solve_ridge(gram: np.ndarray, k: int, ridge: float, keep: int, min_rows: int) -> tuple[list | None, list | None, int, str | None]:
-    """Screen by absolute correlation, then standardised ridge; returns (coefficients, kept indices, rows, error)."""
-    size = k + 2
-    full = np.zeros((size, size))
-    full[np.triu_indices(size)] = gram
+    """Standardised ridge from a flat Gram array: screen the features by forward selection, then refit the kept ones."""
+    full = np.zeros((k + 2, k + 2))
+    full[np.triu_indices(k + 2)] = gram
     full = full + np.triu(full, 1).T
     n = int(full[0, 0])
     if n < min_rows:
@@ -49,30 +84,28 @@ def solve_ridge(gram: np.ndarray, k: int, ridge: float, keep: int, min_rows: int
     mean = full[0, 1:] / n
     cov = full[1:, 1:] / n - np.outer(mean, mean)
     sd = np.sqrt(np.maximum(np.diag(cov), 0.0))
-    live = np.where(sd[:k] > 1e-9)[0]
-    if sd[k] <= 1e-9 or len(live) == 0:
+    usable = sd[:k] > 1e-9
+    if sd[k] <= 1e-9 or not usable.any():
         return [float(mean[k])] + [0.0] * k, [], n, None
-    corr = np.abs(cov[live, k]) / (sd[live] * sd[k])
-    kept = np.sort(live[np.argsort(-corr, kind="stable")[:keep]])
-    a = cov[np.ix_(kept, kept)] / np.outer(sd[kept], sd[kept])
-    beta = np.linalg.solve(a + ridge * np.eye(len(kept)), cov[kept, k] / sd[kept])
-    coef = np.zeros(k + 1)
-    coef[kept + 1] = beta / sd[kept]
+    scale = np.where(usable, sd[:k], 1.0)
+    a = np.where(np.outer(usable, usable), cov[:k, :k], 0.0) / np.outer(scale, scale)
+    a[np.diag_indices(k)] = np.where(usable, a[np.diag_indices(k)] + ridge, 1.0)
+    kept, beta = select_and_solve(a, np.where(usable, cov[:k, k], 0.0) / scale, usable, keep, 1e-12 * cov[k, k])
+    coef = np.concatenate([[0.0], beta / scale])
     coef[0] = mean[k] - coef[1:] @ mean[:k]
-    return coef.tolist(), kept.tolist(), n, None
+    return coef.tolist(), kept, n, None
 
 
-def fit_ridge(df: DataFrame, keys: list[str], features: list[str], target: str, ridge: float = 0.01, keep_share: float = 0.55, keep_min: int = 6, min_rows: int = 30) -> DataFrame:
-    """One model row per key: coefficients (intercept first), kept features, rows and error.
+def solve_sums(sums: DataFrame, keys: list[str], features: list[str], ridge: float = 0.01, keep_share: float = 0.55, keep_min: int = 6, min_rows: int = 30, keep_columns: list[str] = []) -> DataFrame:  # noqa: B006
+    """One model row per row of Gram arrays: coefficients (intercept first), kept features in the order chosen, rows and error.
 
-    Rows never leave the aggregate; only the small Gram array of a key is solved in Python, many keys per batch.  A key
-    that cannot be fitted carries its error and does not stop the others.
+    Python sees one small array per key, many keys per batch.  A key that cannot be fitted carries its error and does not
+    stop the others.
     """
     k = len(features)
     keep = max(keep_min, int(k * keep_share))
-    df = df.filter(F.col(target).isNotNull() & ~F.isnan(F.col(target).cast("double")))
-    sums = gram_sums(with_missing(df, features), keys, features, target)
-    schema = T.StructType([sums.schema[c] for c in keys] + [T.StructField("coef", T.ArrayType(T.DoubleType())), T.StructField("features", T.ArrayType(T.StringType())), T.StructField("n_train", T.LongType()), T.StructField("error", T.StringType())])
+    kept = [*keys, *keep_columns]
+    schema = T.StructType([sums.schema[c] for c in kept] + [T.StructField("coef", T.ArrayType(T.DoubleType())), T.StructField("features", T.ArrayType(T.StringType())), T.StructField("n_train", T.LongType()), T.StructField("error", T.StringType())])
 
     def one(g) -> tuple[list | None, list | None, int, str | None]:
         try:
@@ -83,22 +116,33 @@ def fit_ridge(df: DataFrame, keys: list[str], features: list[str], target: str,
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [one(g) for g in pdf["gram"]]
-            out = pdf[keys].copy()
+            out = pdf[kept].copy()
             out["coef"] = [r[0] for r in rows]
             out["features"] = [None if r[1] is None else [features[i] for i in r[1]] for r in rows]
             out["n_train"] = [r[2] for r in rows]
             out["error"] = [r[3] for r in rows]
             yield out
 
-    return sums.mapInPandas(solve, schema)
+    return sums.select(*kept, "gram").mapInPandas(solve, schema)
 
 
-def score(df: DataFrame, models: DataFrame, keys: list[str], features: list[str], out: str = "predicted_kwh") -> DataFrame:
-    """Linear score in the JVM, clipped at 0; keys without a model get null."""
-    x = with_missing(df, features)
+def fit_ridge(df: DataFrame, keys: list[str], features: list[str], target: str, **limits) -> DataFrame:
+    """One model row per key; rows never leave the aggregate.  See ``solve_sums`` for the limits."""
+    df = df.filter(F.col(target).isNotNull() & ~F.isnan(F.col(target).cast("double")))
+    return solve_sums(gram_sums(with_missing(df, features), keys, features, target), keys, features, **limits)
+
+
+def linear_terms(features: list[str]) -> Column:
     terms = F.get("coef", F.lit(0))
     for i, f in enumerate(features, 1):
         terms = terms + F.get("coef", F.lit(i)) * F.col(f)
+    return terms
+
+
+def score(df: DataFrame, models: DataFrame, keys: list[str], features: list[str], out: str = "predicted_kwh") -> DataFrame:
+    """Linear score in the JVM, clipped at 0; keys without a model get null."""
+    x = with_missing(df, features)
+    terms = linear_terms(features)
     scored = x.join(models.select(*keys, "coef"), keys, "left").withColumn(out, F.when(F.col("coef").isNotNull(), F.greatest(terms, F.lit(0.0))))
     return scored.drop("coef")
 
@@ -117,14 +161,6 @@ def train_and_score(df: DataFrame, keys: list[str], features: list[str], target:
     return models, score(df, models, keys, features)
 
 
-def evaluate_folds(df: DataFrame, keys: list[str], features: list[str], target: str, min_train: int = 200, min_test: int = 48, **fit) -> DataFrame:
-    """Fit and score every (key, fold) and report its test metrics; folds below the row minimums are skipped."""
-    counts = df.groupBy(*keys).agg(F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "test").alias("n_test"))
-    usable = counts.filter((F.col("n_train") >= min_train) & (F.col("n_test") >= min_test))
-    _, scored = train_and_score(df.join(usable.select(*keys), keys, "left_semi"), keys, features, target, min_rows=min_train, **fit)
-    return point_metrics(scored.filter("split = 'test' and predicted_kwh is not null"), keys, target, "predicted_kwh").join(usable, keys)
-
-
 def fit_trees(df: DataFrame, features: list[str], target: str, rounds: int = 5, depth: int = 4, seed: int = 42):
     """One gradient-boosted model over all meters; returns the fitted pipeline."""
     from pyspark.ml import Pipeline
