@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattloom.functions import labels, money, text
-from wattloom.operators import accuracy, dispatch, economics, network
+from wattloom.operators import accuracy, dispatch, economics, history, network
 from wattloom.operators.frames import with_rolling_moments
 from wattloom.operators.quantiles import exact_quantiles
 from wattloom.plans import features, forecasts, models, splits
@@ -71,12 +71,38 @@ def test_momentum_leaks_only_on_request(series):
     assert safe[3].demand_diff_1 == 5.0 and leaky[3].demand_diff_1 == 7.0
 
 
-def test_robust_history_equals_pandas(series):
-    values = [float((i * 37) % 23) for i in range(60)]
-    got = features.add_robust_history(series(values), KEY, "v", [6], [6]).orderBy("i").toPandas()
-    past = pd.Series(values).shift(1)
-    np.testing.assert_allclose(got["rmedian_6"], past.rolling(6, min_periods=1).median())
-    np.testing.assert_allclose(got["ema_6"], past.ewm(span=6, adjust=False, min_periods=1).mean())
+def test_history_equals_pandas_on_long_meters_with_gaps(spark):
+    """Several groups of blocks, missing values in runs and at both ends, a short meter, one without values, other columns."""
+    rnd = np.random.default_rng(3)
+    long = [None if i < 5 or i % 97 < 6 or i > 6490 or 3000 < i < 3200 else float(rnd.integers(0, 500)) for i in range(6500)]
+    meters = {"long": long, "short": [3.0, None, 4.0], "none": [None] * 100, None: [1.0, 2.0, 9.0]}
+    rows = [(m, i, v, f"x{i}") for m, values in meters.items() for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "meter_id string, i int, v double, note string").selectExpr("note", "meter_id", "timestamp_seconds(1704067200 + i * 1800) as ts", "v", "i")
+    out = history.add_history(df, KEY, "v", [6, 48, 336], [6, 48])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "NestedLoop" not in plan
+    got = out.toPandas()
+    assert len(got) == len(rows) and list(got.columns) == ["note", "meter_id", "ts", "v", "i", "rmedian_6", "rmedian_48", "rmedian_336", "ema_6", "ema_48"]
+    for m, values in meters.items():
+        mine = got[got["meter_id"].isna() if m is None else got["meter_id"] == m].sort_values("i")
+        past = pd.Series(values, dtype=float).shift(1)
+        for n in (6, 48, 336):
+            np.testing.assert_allclose(mine[f"rmedian_{n}"], past.rolling(n, min_periods=1).median())
+        for s in (6, 48):
+            np.testing.assert_allclose(mine[f"ema_{s}"], past.ewm(span=s, adjust=False, min_periods=1).mean(), rtol=1e-12)
+
+
+def test_no_task_of_the_history_holds_a_meter(spark):
+    """One meter of 30 000 rows: its rows are dealt by time chunk, by block and by group of blocks."""
+    df = spark.range(30000).selectExpr("'m' as meter_id", "timestamp_seconds(id * 1800) as ts", "double(id % 11) as v")
+    rows = history.number_rows(df, KEY)
+    assert rows.selectExpr("count(distinct _rn) as n", "max(_rn) as m").first().asDict() == {"n": 30000, "m": 29999}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = history.add_history(df, KEY, "v", [336], [6]).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(out) >= 4 and max(r["count"] for r in out) < 15000
 
 
 def test_row_median_skips_missing(spark):

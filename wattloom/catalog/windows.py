@@ -3,7 +3,7 @@
 from pyspark.sql import Window, functions as F
 
 from wattloom.catalog.registry import query
-from wattloom.operators import detectors, events, frames, impute
+from wattloom.operators import detectors, events, frames, history, impute
 from wattloom.operators.frames import MICROS, at_least, median, ordered, previous_rows, last_rows
 from wattloom.plans import features
 from wattloom.plans.forecasts import price_percentile
@@ -73,7 +73,7 @@ def _(t):
 @query("win_rolling_median", ID + "".join(f" rmedian_{n}:5" for n in (6, 12, 48, 336)),
        "SELECT meter_id, ts, demand_kwh, " + ", ".join(f"median(demand_kwh) {prev(n)} AS rmedian_{n}" for n in (6, 12, 48, 336)) + " FROM readings")
 def _(t):
-    return features.add_robust_history(t.readings, KEY, "demand_kwh", [6, 12, 48, 336], [])
+    return history.add_history(t.readings, KEY, "demand_kwh", [6, 12, 48, 336], [])
 
 
 @query("win_ema", ID + " ema_6:5 ema_24:5 ema_48:5", """WITH RECURSIVE o AS MATERIALIZED (
@@ -83,7 +83,7 @@ def _(t):
     o.demand_kwh * 2.0 / 49.0 + e.c * 47.0 / 49.0 FROM e JOIN o ON o.meter_id = e.meter_id AND o.rn = e.rn + 1)
     SELECT o.meter_id, o.ts, o.demand_kwh, e.a AS ema_6, e.b AS ema_24, e.c AS ema_48 FROM o LEFT JOIN e ON e.meter_id = o.meter_id AND e.rn = o.rn - 1""")
 def _(t):
-    return features.add_robust_history(t.readings, KEY, "demand_kwh", [], [6, 24, 48])
+    return history.add_history(t.readings, KEY, "demand_kwh", [], [6, 24, 48])
 
 
 @query("win_persistence", ID + " persistence_24h:4 persistence_168h:4 persist_ratio_24_168:5", f"""SELECT *, CASE WHEN persistence_168h IS NOT NULL THEN persistence_24h / greatest(persistence_168h, 1.0) END AS persist_ratio_24_168 FROM (

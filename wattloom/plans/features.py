@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wattloom.functions import calendar as cal, weather as wf
+from wattloom.operators.history import add_history
 from wattloom.operators.frames import at_least, fill_both, last_rows, ordered, previous_rows, with_rolling_moments
 
 
@@ -45,29 +45,6 @@ def add_momentum(df: DataFrame, keys: list[str], value: str, leaky: bool = False
     return add_trend(with_rolling_moments(df, keys, value, list(LONG_MEANS), LONG_MEANS, min_periods=LONG_NEED, ts=ts))
 
 
-def add_robust_history(df: DataFrame, keys: list[str], value: str, medians: list[int], spans: list[int], ts: str = "ts") -> DataFrame:
-    """Rolling medians and exponential means of the previous rows.
-
-    A median over a wide row frame costs a sort per row as a window expression, so both run as ordered-statistics code
-    on one key at a time; a key holds one row per slot.
-    """
-    names = [f"rmedian_{n}" for n in medians] + [f"ema_{s}" for s in spans]
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(n, T.DoubleType()) for n in names])
-
-    def per_key(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts)
-        past = pdf[value].shift(1)
-        for n in medians:
-            pdf[f"rmedian_{n}"] = past.rolling(n, min_periods=1).median()
-        for s in spans:
-            pdf[f"ema_{s}"] = past.ewm(span=s, adjust=False, min_periods=1).mean()
-        return pdf
-
-    # An explicit partition count keeps adaptive coalescing from putting this CPU-bound step into few tasks.
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(tasks, *keys).groupBy(*keys).applyInPandas(per_key, schema)
-
-
 def add_persistence(df: DataFrame, keys: list[str], value: str, day: int, week: int, ts: str = "ts") -> DataFrame:
     df = add_lags(df, keys, value, {day: "persistence_24h", week: "persistence_168h"}, ts)
     ratio = F.col("persistence_24h") / F.greatest(F.col("persistence_168h"), F.lit(1.0))
@@ -247,7 +224,7 @@ def slot_features(df: DataFrame, weather: DataFrame, fleet: DataFrame, keys: lis
 
 def extended_features(df: DataFrame, weather: DataFrame, fleet: DataFrame, keys: list[str], value: str = "demand_kwh", warmup: int = 672, min_hourly: int = 48, ts: str = "ts") -> DataFrame:
     """Slot features plus robust history, persistence, longer similar-day windows, weather lags and variability."""
-    df = add_robust_history(df, keys, value, [6, 12, 48, 336], [6, 24, 48], ts)  # first, while rows are narrow
+    df = add_history(df, keys, value, [6, 12, 48, 336], [6, 24, 48], ts)  # first, while rows are narrow
     df = slot_features(df, weather, fleet, keys, value, warmup=0, min_hourly=min_hourly, ts=ts)
     df = add_persistence(df, keys, value, 48, 336, ts)
     df = add_similar_day(df.drop("similar_day_k5"), keys, value, extended=True, ts=ts)
