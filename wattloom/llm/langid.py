@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wattloom.llm.support import cut, prepare
+from wattloom.llm.support import cut, prepare, take_memory
 
 #: Words and n-grams of a smaller share of their language are unknown to the model.
 LEAST_WORD = 1e-5
@@ -165,6 +165,7 @@ def predictor(spark, model: Model):
     @F.arrow_udf("struct<lang:string,score:double>")
     def predict(texts: pa.Array) -> pa.Array:
         own = sent.value
+        take_memory("langid", lambda: own.__dict__.pop("rows", None))
         if not hasattr(own, "rows"):
             own.rows, own.index = np.zeros((1024, max(1, len(own.langs)))), {}
         langs, scores = [], []

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from wattloom.llm.components import components
-from wattloom.llm.support import cut, map_rows, prepare
+from wattloom.llm.support import cut, map_rows, prepare, take_memory
 
 WORDS = 5
 BANDS = 25
@@ -32,8 +32,10 @@ PIVOT_ROUNDS = 1
 #: blocks are tasks.
 BLOCK = 1000
 BLOCK_SHINGLES = 2_000_000
+#: Pairs whose bands are compared at once.
+PAIRS = 4096
 #: Words remembered by a worker.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 250_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -94,6 +96,8 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, node (hash of the set), sig (16 bits a hash), bands (hashes with their number)."""
 
     def make():
+        take_memory("minhash", _HASHES.clear)
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             sizes, nodes, sigs, keys = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), pc.cast(batch.column(1), pa.binary()).to_pylist(), strict=True):
@@ -124,6 +128,8 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     """node, hashes (binary) of the sets of documents."""
 
     def make():
+        take_memory("minhash", _HASHES.clear)
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             raws = [shingles(t, words).tobytes() for t in pc.cast(batch.column(0), pa.binary()).to_pylist()]
             nodes = [int.from_bytes(hashlib.blake2b(r, digest_size=8).digest(), "little", signed=True) for r in raws]
@@ -210,11 +216,13 @@ def _block_links(apart: DataFrame, involved: DataFrame, sets: DataFrame, percent
             x, y = part[x], right[y]
             stay = _likely(sig, sig, x, y, need)
             x, y = x[stay], y[stay]
-            first = bands[x, (bands[x] == bands[y]).argmax(1)] == bucket
-            for u, v in zip(x[first].tolist(), y[first].tolist(), strict=True):
-                if _similar(hashes[u], hashes[v], percent - 1):
-                    out[0].append(min(node[u], node[v]))
-                    out[1].append(max(node[u], node[v]))
+            for cut_at in range(0, len(x), PAIRS):
+                u, v = x[cut_at : cut_at + PAIRS], y[cut_at : cut_at + PAIRS]
+                first = bands[u, (bands[u] == bands[v]).argmax(1)] == bucket
+                for a, b in zip(u[first].tolist(), v[first].tolist(), strict=True):
+                    if _similar(hashes[a], hashes[b], percent - 1):
+                        out[0].append(min(node[a], node[b]))
+                        out[1].append(max(node[a], node[b]))
         return pa.table([pa.array(v, pa.int64()) for v in out], ["a", "b"])
 
     @F.arrow_udf("binary")

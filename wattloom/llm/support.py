@@ -14,7 +14,7 @@ from wattloom.session import cut_lineage, scratch_path, ship_package
 
 #: Rows in one Arrow batch of whole texts; together with the byte limit it bounds what a Python worker holds.
 TEXT_ROWS = 1000
-TEXT_BYTES = 32 << 20
+TEXT_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -24,6 +24,16 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES))
 
 
+_IN_USE: dict[str, Callable[[], None]] = {}
+
+
+def take_memory(owner: str, clear: Callable[[], None]) -> None:
+    """Keep what one operator remembers between tasks: a worker that serves another one first drops what it held before."""
+    for other in [o for o in _IN_USE if o != owner]:
+        _IN_USE.pop(other)()
+    _IN_USE[owner] = clear
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

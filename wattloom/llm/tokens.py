@@ -11,6 +11,8 @@ import struct
 
 import numpy as np
 
+from wattloom.llm.support import take_memory
+
 #: Words that a Python worker remembers: so many met last and as many before them, so memory never grows with the data.
 WORDS_KEPT = 400_000
 
@@ -94,6 +96,7 @@ class ByteLevel(Words):
 
 def encoder(path: str, kind: str) -> Words:
     """The worker's encoder of a vocabulary file; kind is ``dropped`` or ``bytes``."""
+    take_memory("tokens", _ENCODERS.clear)
     if (path, kind) not in _ENCODERS:
         _ENCODERS[path, kind] = {"dropped": DroppedSpace, "bytes": ByteLevel}[kind](path)
     return _ENCODERS[path, kind]
