@@ -4,6 +4,7 @@ from pyspark.sql import Window, functions as F
 
 from wattloom.catalog.joins import registries
 from wattloom.catalog.registry import query
+from wattloom.catalog.views import located, weather_at
 from wattloom.functions import calendar as cal, labels
 from wattloom.operators import accuracy, detectors, events, grids, load
 from wattloom.operators.quantiles import attach_quantiles
@@ -294,10 +295,10 @@ def _(t):
     return events.rest_states(df, KEY, 60.0, 120.0)
 
 
-@query("agg_linear_fit", "meter_id:s hour:i n:i slope:4 intercept:3", """SELECT meter_id, hour(ts) AS hour, count(*) AS n, CASE WHEN count(*) >= 10 AND max(temperature) - min(temperature) >= 1 THEN regr_slope(demand_kwh, temperature) ELSE 0 END AS slope,
-    CASE WHEN count(*) >= 10 AND max(temperature) - min(temperature) >= 1 THEN regr_intercept(demand_kwh, temperature) ELSE avg(demand_kwh) END AS intercept FROM sites JOIN wx USING (ts) GROUP BY 1, 2""")
+@query("agg_linear_fit", "meter_id:s hour:i n:i slope:4 intercept:3", f"""SELECT meter_id, hour(s.ts) AS hour, count(*) AS n, CASE WHEN count(*) >= 10 AND max(temperature) - min(temperature) >= 1 THEN regr_slope(demand_kwh, temperature) ELSE 0 END AS slope,
+    CASE WHEN count(*) >= 10 AND max(temperature) - min(temperature) >= 1 THEN regr_intercept(demand_kwh, temperature) ELSE avg(demand_kwh) END AS intercept FROM sites s JOIN weather wx ON {weather_at('s')} GROUP BY 1, 2""")
 def _(t):
-    df = t.sites.join(t.wx.select("ts", "temperature"), "ts").withColumn("hour", F.hour("ts"))
+    df = located(t.sites).join(t.weather.select("location_id", "ts", "temperature"), ["location_id", "ts"]).withColumn("hour", F.hour("ts"))
     return load.temperature_fit(df, ["meter_id", "hour"], min_n=10)
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from wattloom.catalog.registry import query
 from wattloom.functions import calendar as cal, money
-from wattloom.operators import dispatch, economics, network
+from wattloom.operators import dispatch, economics, network, table_functions
 
 HOURLY = """SELECT meter_id AS site_id, date_trunc('day', ts) AS day, hour(ts) AS h, sum(demand_kwh) AS d, sum(CASE WHEN hour(ts) BETWEEN 7 AND 17 THEN 40.0 + tag % 50 ELSE 0.0 END) AS s, avg(2.0 + (tag % 70) * 0.1) AS p FROM sites GROUP BY 1, 2, 3"""
 
@@ -52,6 +52,16 @@ def _(t):
     return dispatch.hourly_rows(dispatch.greedy_day(one_battery(t)), ["site_id", "day"])
 
 
+@query("dsp_schedule_table", HOUR_COLS, greedy_sql("cheap_grid"))
+def _(t):
+    """The same schedules by the table function, from SQL."""
+    table_functions.register(t.spark)
+    hours = t.sites.select(F.col("meter_id").alias("site_id"), F.date_trunc("day", "ts").alias("day"), F.hour("ts").alias("hour"), "demand_kwh", "tag")
+    hours = hours.groupBy("site_id", "day", "hour").agg(F.sum("demand_kwh").alias("demand"), F.sum(F.when(F.col("hour").between(7, 17), 40.0 + F.col("tag") % 50).otherwise(0.0)).alias("solar"), money.landed_cost(F.avg(2.0 + (F.col("tag") % 70) * 0.1)).alias("landed"))
+    hours.createOrReplaceTempView("wattloom_hours")
+    return t.spark.sql(f"select * from battery_day(table(wattloom_hours) partition by (site_id, day) order by (hour), 200, 50, 'cheap_grid', 6.5, {table_functions.idle_cost(t.spark)})")
+
+
 @query("dsp_greedy_full_solar", HOUR_COLS, greedy_sql("full_solar"))
 def _(t):
     return dispatch.hourly_rows(dispatch.greedy_day(one_battery(t, "full_solar")), ["site_id", "day"])

@@ -3,6 +3,7 @@
 from pyspark.sql import Window, functions as F
 
 from wattloom.catalog.registry import query
+from wattloom.catalog.views import located, weather_at
 from wattloom.functions import calendar as cal
 from wattloom.operators import grids, joins, load
 from wattloom.operators.frames import MICROS
@@ -20,13 +21,13 @@ def both(c):
 
 def sparse_weather(t):
     """Weather with every seventh hour missing."""
-    return t.wx.filter(F.hour("ts") != 7)
+    return t.weather.filter(F.hour("ts") != 7)
 
 
 @query("join_weather_left", ID + " temperature:4 humidity:4", f"""SELECT meter_id, ts, demand_kwh, {both('temperature')} AS temperature, {both('humidity')} AS humidity
-    FROM readings LEFT JOIN (SELECT ts, temperature, humidity FROM wx WHERE hour(ts) <> 7) USING (ts)""")
+    FROM (SELECT r.*, temperature, humidity FROM readings r LEFT JOIN weather wx ON {weather_at('r')} AND hour(wx.ts) <> 7)""")
 def _(t):
-    return features.join_filled(t.readings, sparse_weather(t), KEY, ["temperature", "humidity"])
+    return features.join_filled(located(t.readings), sparse_weather(t), KEY, ["temperature", "humidity"], place=["location_id"])
 
 
 @query("join_fleet_left", ID + " fleet_mean:5 fleet_std:5", f"""WITH f AS (SELECT ts, avg(demand_kwh) AS fm, stddev_samp(demand_kwh) AS fs FROM readings GROUP BY 1 HAVING count(demand_kwh) >= 5)

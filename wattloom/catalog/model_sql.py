@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-# 'L0' or 'L1' by the last digit of the meter's name, as in views.located.
-LOCATION = "'L' || (CAST(right({m}meter_id, 1) AS INTEGER) % 2)"
-
+from wattloom.catalog.views import weather_at
 
 def ridge_ctes(rows: str, keys: list[str], features: list[str], y: str, keep: int, ridge: float = 0.01, min_rows: int = 30, name: str = "fit") -> str:
     """CTEs ending in ``name`` (keys, n, kept, coef): forward selection by elimination on the correlations of each key.
@@ -54,7 +52,7 @@ def steps_ctes(rows: str, name: str = "steps") -> str:
 
 TABLE = f"""filled AS MATERIALIZED {FILLED}, {steps_ctes('filled')},
     tbl AS MATERIALIZED (SELECT s.*, temperature, greatest(temperature - 25.0, 0.0) AS cooling_deg FROM steps s
-        LEFT JOIN weather w ON w.ts = s.ts AND w.location_id = {LOCATION.format(m='s.')} WHERE lag_168 IS NOT NULL)"""
+        LEFT JOIN weather wx ON {weather_at('s')} WHERE lag_168 IS NOT NULL)"""
 
 
 def gate_ctes(rows: str, y: str, p: str, min_rows: int, min_scored: int, val_share: float = 0.15, name: str = "gate") -> str:

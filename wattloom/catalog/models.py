@@ -6,12 +6,12 @@ from wattloom.catalog import model_sql as ms
 from wattloom.catalog.aggregates import IDS, STARTS
 from wattloom.catalog.joins import PROFILE_SQL
 from wattloom.catalog.registry import query
-from wattloom.catalog.views import located
+from wattloom.catalog.views import located, weather_at
 from wattloom.functions import calendar as cal, weather as wf
 from wattloom.operators import accuracy, ranking
 from wattloom.operators.frames import fill_both
 from wattloom.operators.joins import weekly_lookback
-from wattloom.plans import backtests, features as feat, forecasts, models, splits, training
+from wattloom.plans import backtests, features as feat, forecasts, heads, models, splits, training
 from wattloom.session import cut_lineage, scratch_path
 from wattloom.sources import writers
 
@@ -120,6 +120,30 @@ def _(t):
     return training.predict(held, training.load(t.spark, folder, KEY), KEY, FEATURES).filter("predicted_kwh is not null")
 
 
+@query("fit_group_band", "tier:s block_label:s low_kwh:3 high_kwh:3", f"""WITH RECURSIVE {FIT}, tiers AS (SELECT meter_id, CASE WHEN avg(demand_kwh) < 60 THEN 'small' ELSE 'large' END AS tier FROM train GROUP BY 1)
+    SELECT tier, {BLOCK_SQL} AS block_label, quantile_cont(demand_kwh - predicted_kwh, 0.1) AS low_kwh, quantile_cont(demand_kwh - predicted_kwh, 0.9) AS high_kwh FROM shifted JOIN tiers USING (meter_id) WHERE split = 'train' GROUP BY 1, 2""")
+def _(t):
+    """Band by size of the meter and block of the day, from the residuals that the stored models leave on their training rows."""
+    folder, df = store(t)
+    n = F.count("*").over(Window.partitionBy("meter_id"))
+    rows = df.filter(F.col("ts") <= F.lit(CUTOFF).cast("timestamp")).withColumn("_train", F.row_number().over(Window.partitionBy("meter_id").orderBy("ts")) <= F.floor(n * 0.85)).filter("_train")
+    scored = training.predict(rows, training.load(t.spark, folder, KEY), KEY, FEATURES).filter("predicted_kwh is not null")
+    scored = cut_lineage(scored, "band-rows")
+    tiers = scored.groupBy("meter_id").agg(F.when(F.avg(Y) < 60, "small").otherwise("large").alias("tier"))
+    return heads.group_bands(scored.join(tiers, "meter_id"), ["tier", "block_label"], Y, "predicted_kwh")
+
+
+HEAD_FEATURES = ["lag_1", "lag_24", "lag_168", "rmean_24", "hour_sin", "hour_cos", "temperature"]
+
+
+@query("fit_quantile_heads", "meter_id:s ts:t demand_kwh:4 q10_kwh:3 q90_kwh:3")
+def _(t):
+    """Ten and ninety percent heads learned up to the cutoff, over everything after it."""
+    df = cut_lineage(table(t), "head-table")
+    late = F.col("ts") > F.lit(CUTOFF).cast("timestamp")
+    return heads.add_heads(df.filter(late), heads.fit_heads(df.filter(~late), KEY, HEAD_FEATURES, Y), KEY, HEAD_FEATURES)
+
+
 @query("fc_batch", "meter_id:s ts:t predicted_kwh:3 q10_kwh:3 q90_kwh:3 block_label:s historical_block_mape:2", f"""WITH RECURSIVE {FIT},
     bm AS (SELECT meter_id, {BLOCK_SQL} AS block_label, avg(abs(demand_kwh - predicted_kwh) / demand_kwh * 100.0) FILTER (demand_kwh > 0.5) AS historical_block_mape FROM held GROUP BY ALL),
     s AS (SELECT t.meter_id, ts, {BLOCK_SQL} AS block_label, CASE WHEN coef IS NOT NULL THEN greatest({ms.linear(FEATURES)} - trail_mbe_capped, 0.0) END AS predicted_kwh, r10, r90 FROM tbl t LEFT JOIN fit USING (meter_id) LEFT JOIN gate USING (meter_id) LEFT JOIN band USING (meter_id) WHERE ts > TIMESTAMP '{CUTOFF}')
@@ -159,9 +183,10 @@ def _(t):
     return a.unionByName(b).unionByName(c)
 
 
-@query("fc_missing_features", "meter_id:s ts:t lag_1:4 unseen:2 temperature:4", "SELECT meter_id, ts, coalesce(lag(demand_kwh) OVER (PARTITION BY meter_id ORDER BY ts), 0.0) AS lag_1, 0.0 AS unseen, coalesce(temperature, 0.0) AS temperature FROM sites LEFT JOIN (SELECT ts, temperature FROM wx WHERE hour(ts) <> 7) USING (ts)")
+@query("fc_missing_features", "meter_id:s ts:t lag_1:4 unseen:2 temperature:4", f"SELECT meter_id, s.ts, coalesce(lag(demand_kwh) OVER (PARTITION BY meter_id ORDER BY s.ts), 0.0) AS lag_1, 0.0 AS unseen, coalesce(temperature, 0.0) AS temperature FROM sites s LEFT JOIN weather wx ON {weather_at('s')} AND hour(wx.ts) <> 7")
 def _(t):
-    df = feat.add_lags(t.sites, KEY, Y, {1: "lag_1"}).join(t.wx.filter(F.hour("ts") != 7).select("ts", "temperature"), "ts", "left")
+    """Weather lacks every seventh hour of a day, so that something is missing."""
+    df = located(feat.add_lags(t.sites, KEY, Y, {1: "lag_1"})).join(t.weather.filter(F.hour("ts") != 7).select("location_id", "ts", "temperature"), ["location_id", "ts"], "left")
     return models.with_missing(df, ["lag_1", "unseen", "temperature"])
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import Window, functions as F
 from wattloom.catalog import windows as win
 from wattloom.catalog.joins import PROFILE_SQL, both, sparse_weather
 from wattloom.catalog.registry import query
+from wattloom.catalog.views import LOCATION, located, weather_at
 from wattloom.catalog.scalars import TEMPORAL
 from wattloom.functions import calendar as cal
 from wattloom.operators import accuracy, load
@@ -12,6 +13,7 @@ from wattloom.plans import evaluation, features, forecasts, quality, splits
 
 KEY = ["meter_id"]
 ID = "meter_id:s ts:t demand_kwh:4"
+PLACE = ["location_id"]
 W = "OVER (PARTITION BY meter_id ORDER BY ts)"
 prev, incl = win.prev, win.incl
 
@@ -65,7 +67,7 @@ def _(t):
 LAGS = [1, 2, 4, 6, 12, 24, 48, 96, 336]
 WX = ["temperature", "humidity", "ghi", "cloud_cover"]
 BASE_SQL = f"""WITH f AS (SELECT ts, avg(demand_kwh) AS fm, stddev_samp(demand_kwh) AS fs FROM readings GROUP BY 1 HAVING count(demand_kwh) >= 5),
-    j AS (SELECT meter_id, ts, demand_kwh, voltage, coalesce({both('fm')}, 0) AS fleet_mean, {', '.join(f"{both('wx.' + c)} AS {c}" for c in WX)} FROM readings LEFT JOIN f USING (ts) LEFT JOIN wx USING (ts)),
+    j AS (SELECT meter_id, ts, demand_kwh, voltage, coalesce({both('fm')}, 0) AS fleet_mean, {', '.join(f'{both(c)} AS {c}' for c in WX)} FROM (SELECT r.*, fm, {', '.join(WX)} FROM readings r LEFT JOIN f ON f.ts = r.ts LEFT JOIN weather wx ON {weather_at('r')})),
     k AS (SELECT *, greatest(temperature - 21.0, 0.0) AS cdd_21 FROM j),
     r AS (SELECT *, row_number() {W} AS rn, count(*) OVER (PARTITION BY meter_id) AS len, hour(ts) + minute(ts) / 60.0 AS hour, isodow(ts) - 1 AS dow, {', '.join(f'lag(demand_kwh, {n}) {W} AS lag_{n}' for n in LAGS)},
         {', '.join(f'avg(demand_kwh) {prev(n)} AS rmean_{n}, stddev_samp(demand_kwh) {prev(n)} AS rstd_{n}' for n in (6, 12, 48, 336))}, lag(demand_kwh) {W} - lag(demand_kwh, 2) {W} AS demand_diff_1,
@@ -81,11 +83,11 @@ SLOT_COLS = ID + "".join(f" lag_{n}:4" for n in LAGS) + "".join(f" rmean_{n}:4 r
 
 
 def derived_weather(t):
-    return features.add_weather_derivatives(t.wx.withColumn("_w", F.lit(0)), ["_w"]).drop("_w")
+    return features.add_weather_derivatives(t.weather, PLACE)
 
 
 def slot_table(t, warmup=24):
-    return features.slot_features(t.readings, derived_weather(t), features.fleet_aggregate(t.readings), KEY, warmup=warmup, min_hourly=2)
+    return features.slot_features(located(t.readings), derived_weather(t), features.fleet_aggregate(t.readings), KEY, warmup=warmup, min_hourly=2, place=PLACE)
 
 
 @query("pipe_features_v4", SLOT_COLS, BASE_SQL + " SELECT * FROM r WHERE rn > 24")
@@ -95,18 +97,18 @@ def _(t):
 
 @query("pipe_features_v5", SLOT_COLS + " similar_day_k10:4 rmedian_48:4 persistence_24h:4 temperature_lag24:4 cv_48:4", BASE_SQL + " SELECT * FROM r WHERE rn > least(672, floor(len / 3))")
 def _(t):
-    return features.extended_features(t.readings, derived_weather(t), features.fleet_aggregate(t.readings), KEY, min_hourly=2)
+    return features.extended_features(located(t.readings), derived_weather(t), features.fleet_aggregate(t.readings), KEY, min_hourly=2, place=PLACE)
 
 
 @query("pipe_features_hourly", ID + " hour:i season:s tod_multiplier:2 demand_kwh_lag_24h:4 demand_kwh_rmean_24:4 demand_kwh_rmax_168:4 price:2 price_above_mean:i daily_range_ratio:5 hourly_share:5 cdh:4 temp_rmean_24h:4 dni_ghi_ratio:5 soiling_index:5 cdh_x_business:4", f"""WITH p AS (SELECT *, (price > avg(price) OVER (PARTITION BY month))::INT AS price_above_mean FROM prices),
-    x AS (SELECT ts, greatest(temperature - 26.0, 0.0) AS cdh, avg(temperature) OVER (ORDER BY ts ROWS 23 PRECEDING) AS temp_rmean_24h, CASE WHEN ghi > 10 THEN dni / ghi ELSE 0 END AS dni_ghi_ratio,
-        (avg(pm2_5) OVER (ORDER BY ts ROWS 71 PRECEDING) / 100.0 + avg(aod) OVER (ORDER BY ts ROWS 23 PRECEDING) + dust / 200.0) / 3.0 AS soiling_index FROM wx),
+    x AS (SELECT ts, location_id, greatest(temperature - 26.0, 0.0) AS cdh, avg(temperature) OVER (PARTITION BY location_id ORDER BY ts ROWS 23 PRECEDING) AS temp_rmean_24h, CASE WHEN ghi > 10 THEN dni / ghi ELSE 0 END AS dni_ghi_ratio,
+        (avg(pm2_5) OVER (PARTITION BY location_id ORDER BY ts ROWS 71 PRECEDING) / 100.0 + avg(aod) OVER (PARTITION BY location_id ORDER BY ts ROWS 23 PRECEDING) + dust / 200.0) / 3.0 AS soiling_index FROM weather),
     r AS (SELECT *, lag(demand_kwh, 24) {W} AS demand_kwh_lag_24h, avg(demand_kwh) {incl(24)} AS demand_kwh_rmean_24, max(demand_kwh) {incl(168)} AS demand_kwh_rmax_168,
         CASE WHEN max(demand_kwh) OVER d > 0 THEN (max(demand_kwh) OVER d - min(demand_kwh) OVER d) / max(demand_kwh) OVER d ELSE 0 END AS daily_range_ratio, CASE WHEN sum(demand_kwh) OVER d > 0 THEN demand_kwh / sum(demand_kwh) OVER d ELSE 0 END AS hourly_share
         FROM ({TEMPORAL}) WINDOW d AS (PARTITION BY meter_id, date_trunc('day', ts)))
-    SELECT r.*, price, price_above_mean, cdh, temp_rmean_24h, dni_ghi_ratio, soiling_index, cdh * is_business_hour AS cdh_x_business FROM r LEFT JOIN p ON p.month = r.month AND p.hour = r.hour LEFT JOIN x ON x.ts = r.ts WHERE demand_kwh_lag_24h IS NOT NULL""")
+    SELECT r.*, price, price_above_mean, cdh, temp_rmean_24h, dni_ghi_ratio, soiling_index, cdh * is_business_hour AS cdh_x_business FROM r LEFT JOIN p ON p.month = r.month AND p.hour = r.hour LEFT JOIN x ON x.ts = r.ts AND x.location_id = {LOCATION.format(m='r.')} WHERE demand_kwh_lag_24h IS NOT NULL""")
 def _(t):
-    return features.hourly_features(t.readings, t.wx, t.prices, KEY, longest_lag=24)
+    return features.hourly_features(located(t.readings), t.weather, t.prices, KEY, longest_lag=24, place=PLACE)
 
 
 @query("pipe_features_real", ID + " tod:i is_business_hour:i lag_3h:4 lag_24h:4 rmean_48:4 rstd_12:4 rmin_24:4 rmax_24:4 daily_mean:4 demand_ratio:4", f"""SELECT *, demand_kwh / greatest(daily_mean, 0.001) AS demand_ratio FROM (SELECT meter_id, ts, demand_kwh, CASE WHEN hour(ts) BETWEEN 6 AND 8 THEN 1 WHEN hour(ts) BETWEEN 9 AND 17 THEN 2 WHEN hour(ts) BETWEEN 18 AND 21 THEN 3 ELSE 0 END AS tod,
@@ -167,15 +169,15 @@ def _(t):
 @query("fc_weather_adjusted", "meter_id:s ts:t mean_kwh:3 q10_kwh:3 q90_kwh:3", f"""WITH h AS (SELECT meter_id, ts, demand_kwh FROM sites WHERE ts < TIMESTAMP '2024-01-24 00:00:00'),
     m AS (SELECT *, max(ts) OVER (PARTITION BY meter_id) AS last FROM h), r AS (SELECT *, count(*) FILTER (ts >= last - INTERVAL 28 DAYS) OVER (PARTITION BY meter_id) AS nr FROM m), a AS (SELECT *, isodow(ts) - 1 AS dow, hour(ts) AS hour FROM r WHERE ts >= last - INTERVAL 28 DAYS OR nr < 96),
     p AS (SELECT meter_id, dow, hour, median(demand_kwh) AS med, quantile_cont(demand_kwh, 0.1) AS q10, quantile_cont(demand_kwh, 0.9) AS q90 FROM a GROUP BY 1, 2, 3), g AS (SELECT meter_id, median(demand_kwh) AS level FROM a GROUP BY 1),
-    s AS (SELECT meter_id, hour(ts) AS hour, CASE WHEN count(*) >= 8 AND max(temperature) - min(temperature) >= 1 THEN regr_slope(demand_kwh, temperature) ELSE 0 END AS slope FROM h JOIN wx USING (ts) GROUP BY 1, 2),
-    c AS (SELECT meter_id, count(*) AS nrow FROM h JOIN wx USING (ts) GROUP BY 1), t AS (SELECT meter_id, hour(a.ts) AS hour, median(temperature) AS tmed FROM a JOIN wx ON wx.ts = a.ts GROUP BY 1, 2),
+    s AS (SELECT meter_id, hour(ts) AS hour, CASE WHEN count(*) >= 8 AND max(temperature) - min(temperature) >= 1 THEN regr_slope(demand_kwh, temperature) ELSE 0 END AS slope FROM (SELECT h.*, temperature FROM h JOIN weather wx ON {weather_at('h')}) GROUP BY 1, 2),
+    c AS (SELECT meter_id, count(*) AS nrow FROM h JOIN weather wx ON {weather_at('h')} GROUP BY 1), t AS (SELECT meter_id, hour(a.ts) AS hour, median(temperature) AS tmed FROM a JOIN weather wx ON {weather_at('a')} GROUP BY 1, 2),
     z AS (SELECT meter_id, unnest(generate_series(max(ts) + INTERVAL 1 HOUR, max(ts) + INTERVAL 168 HOURS, INTERVAL 1 HOUR)) AS ts FROM h GROUP BY 1),
     y AS (SELECT z.meter_id, z.ts, coalesce(med, level) AS b, coalesce(q10, level * 0.7) AS lo, coalesce(q90, level * 1.3) AS hi, CASE WHEN nrow >= 96 THEN coalesce(0.6 * coalesce(slope, 0) * (coalesce(temperature, tmed) - tmed), 0) ELSE 0 END AS adj
-        FROM z JOIN g USING (meter_id) LEFT JOIN p ON p.meter_id = z.meter_id AND p.dow = isodow(z.ts) - 1 AND p.hour = hour(z.ts) LEFT JOIN s ON s.meter_id = z.meter_id AND s.hour = hour(z.ts) LEFT JOIN t ON t.meter_id = z.meter_id AND t.hour = hour(z.ts) LEFT JOIN c ON c.meter_id = z.meter_id LEFT JOIN wx ON wx.ts = z.ts)
+        FROM z JOIN g USING (meter_id) LEFT JOIN p ON p.meter_id = z.meter_id AND p.dow = isodow(z.ts) - 1 AND p.hour = hour(z.ts) LEFT JOIN s ON s.meter_id = z.meter_id AND s.hour = hour(z.ts) LEFT JOIN t ON t.meter_id = z.meter_id AND t.hour = hour(z.ts) LEFT JOIN c ON c.meter_id = z.meter_id LEFT JOIN weather wx ON {weather_at('z')})
     SELECT meter_id, ts, greatest(b + adj, 0.0) AS mean_kwh, greatest(lo + adj, 0.0) AS q10_kwh, greatest(hi + adj, 0.0) AS q90_kwh FROM y""")
 def _(t):
-    seen = t.sites.filter("ts < timestamp'2024-01-24 00:00:00'")
-    return forecasts.weather_adjusted(seen, t.wx, forecasts.horizon_after(seen, KEY, "1 hour", "7 days"), KEY, min_n=8)
+    seen = located(t.sites).filter("ts < timestamp'2024-01-24 00:00:00'")
+    return forecasts.weather_adjusted(seen, t.weather, forecasts.horizon_after(seen, KEY, "1 hour", "7 days"), KEY, min_n=8, place=PLACE)
 
 
 @query("fc_priming_context", "meter_id:s ts:t demand_kwh:4 source:s", """WITH m AS (SELECT *, max(ts) OVER (PARTITION BY meter_id) AS last FROM readings), r AS (SELECT *, count(*) FILTER (ts >= last - INTERVAL 28 DAYS) OVER (PARTITION BY meter_id) AS nr FROM m), a AS (SELECT *, isodow(ts) - 1 AS dow, hour(ts) AS hour FROM r WHERE ts >= last - INTERVAL 28 DAYS OR nr < 96),
@@ -204,10 +206,10 @@ def _(t):
     return forecasts.deviation_band(t.fc, KEY, "predicted_kwh")
 
 
-@query("fc_price", "meter_id:s ts:t price:4 landed_cost:4 price_percentile:6", """WITH p AS (SELECT meter_id, s.ts, CASE WHEN temperature > 35 THEN price + 0.02 * (temperature - 35.0) * price ELSE price END AS price FROM sites s JOIN (SELECT ts, temperature * 1.3 AS temperature FROM wx) w ON w.ts = s.ts JOIN prices ON prices.month = month(s.ts) AND prices.hour = hour(s.ts))
+@query("fc_price", "meter_id:s ts:t price:4 landed_cost:4 price_percentile:6", f"""WITH p AS (SELECT meter_id, s.ts, CASE WHEN temperature > 35 THEN price + 0.02 * (temperature - 35.0) * price ELSE price END AS price FROM sites s JOIN (SELECT location_id, ts, temperature * 1.3 AS temperature FROM weather) wx ON {weather_at('s')} JOIN prices ON prices.month = month(s.ts) AND prices.hour = hour(s.ts))
     SELECT *, price / (0.961 * 0.9725 * 0.9728) + 1.19 AS landed_cost, (rank() OVER (PARTITION BY month(ts) ORDER BY price) - 1) / count(*) OVER (PARTITION BY month(ts)) AS price_percentile FROM p""")
 def _(t):
-    df = t.sites.select("meter_id", "ts").join(t.wx.select("ts", (F.col("temperature") * 1.3).alias("temperature")), "ts")
+    df = located(t.sites.select("meter_id", "ts")).join(t.weather.select("location_id", "ts", (F.col("temperature") * 1.3).alias("temperature")), ["location_id", "ts"])
     return forecasts.price_forecast(df, t.prices, temperature="temperature")
 
 

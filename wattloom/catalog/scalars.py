@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from wattloom.catalog.registry import query
+from wattloom.catalog.views import located, weather_at
 from wattloom.functions import calendar as cal, labels, money, text, weather as wf
 from wattloom.plans import features
 
@@ -78,9 +79,9 @@ def _(t):
 
 
 @query("fn_interactions", "meter_id:s ts:t cdh_x_business:4 cdh_x_peak:4 cdh_x_weekend:4 ghi_x_business:4", f"""SELECT meter_id, r.ts, greatest(temperature - 26.0, 0.0) * is_business_hour AS cdh_x_business, greatest(temperature - 26.0, 0.0) * is_peak_hour AS cdh_x_peak, greatest(temperature - 26.0, 0.0) * is_weekend AS cdh_x_weekend, ghi * is_business_hour AS ghi_x_business
-    FROM ({TEMPORAL}) r JOIN wx ON wx.ts = r.ts""")
+    FROM ({TEMPORAL}) r JOIN weather wx ON {weather_at('r')}""")
 def _(t):
-    return wf.add_interactions(cal.add_temporal(t.readings).join(wf.add_degree_hours(t.wx), "ts"))
+    return wf.add_interactions(cal.add_temporal(located(t.readings)).join(wf.add_degree_hours(t.weather), ["location_id", "ts"]))
 
 
 SUN = """(SELECT *, sin(radians(lat)) * sin(decl) + cos(radians(lat)) * cos(decl) * cos(radians((hour(ts) + minute(ts) / 60.0 - (12.0 - (lon - 82.5) / 15.0)) * 15.0)) AS se FROM (
@@ -105,9 +106,9 @@ def _(t):
     return wf.add_solar_generation(sunny(t), "ghi_clear", "cap", "cloud_cover")
 
 
-@query("fn_price_premium", "ts:t price_adj:5 landed:5", """SELECT ts, p AS price_adj, p / (0.961 * 0.9725 * 0.9728) + 1.19 AS landed FROM (SELECT ts, CASE WHEN temperature * 1.3 > 35 THEN price + 0.02 * (temperature * 1.3 - 35.0) * price ELSE price END AS p FROM price_series JOIN wx USING (ts))""")
+@query("fn_price_premium", "location_id:s ts:t price_adj:5 landed:5", """SELECT location_id, ts, p AS price_adj, p / (0.961 * 0.9725 * 0.9728) + 1.19 AS landed FROM (SELECT location_id, ts, CASE WHEN temperature * 1.3 > 35 THEN price + 0.02 * (temperature * 1.3 - 35.0) * price ELSE price END AS p FROM price_series JOIN weather USING (ts))""")
 def _(t):
-    df = t.price_series.join(t.wx, "ts").withColumn("price_adj", money.hot_premium(F.col("price"), F.col("temperature") * 1.3))
+    df = t.price_series.join(t.weather, "ts").withColumn("price_adj", money.hot_premium(F.col("price"), F.col("temperature") * 1.3))
     return df.withColumn("landed", money.landed_cost(F.col("price_adj")))
 
 

@@ -23,6 +23,15 @@ def located(df: DataFrame) -> DataFrame:
     return df.withColumn("location_id", F.concat(F.lit("L"), (F.right("meter_id", F.lit(1)).cast("int") % 2).cast("string")))
 
 
+#: SQL of the same for a table alias with a dot, or none.
+LOCATION = "'L' || (CAST(right({m}meter_id, 1) AS INTEGER) % 2)"
+
+
+def weather_at(table: str) -> str:
+    """Join condition of weather ``wx`` with the meters of a table alias."""
+    return f"wx.ts = {table}.ts AND wx.location_id = {LOCATION.format(m=table + '.')}"
+
+
 class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
@@ -141,10 +150,6 @@ class Tables:
             .withColumn("clear_sky", q(F.col("ghi") * 1.2, 4))
         )
 
-    @cached_property
-    def wx(self):
-        return self.weather.filter("location_id = 'L0'").drop("location_id")
-
     @cached_property
     def prices(self):
         """288 rows at any scale: 12 months by 24 hours."""
@@ -292,7 +297,6 @@ SQL_VIEWS = {
         {_q('greatest(avg(o_custkey % 7) - 3.2, 0.0)', 4)} AS precipitation, {_q('avg(o_custkey % 12)', 4)} AS wind_speed,
         {_q('avg(o_orderkey % 900)', 4)} AS light, {_q('avg(o_custkey % 90)', 4)} AS pm2_5, {_q('avg(o_custkey % 80) / 100.0', 4)} AS aod,
         {_q('avg(o_custkey % 110)', 4)} AS dust FROM orders GROUP BY 1, 2))""",
-    "wx": "SELECT * EXCLUDE (location_id) FROM weather WHERE location_id = 'L0'",
     "prices": f"""SELECT month(o_orderdate) AS month, CAST(o_orderkey % 24 AS INTEGER) AS hour,
         {_q('2.0 + avg(o_totalprice) / 60000.0', 2)} AS price FROM orders GROUP BY 1, 2""",
     "price_series": f"""SELECT TIMESTAMP '2024-01-01 00:00:00' + to_hours(3 * (o_orderkey % 240)) AS ts,

@@ -163,9 +163,9 @@ def fleet_aggregate(df: DataFrame, value: str = "demand_kwh", ts: str = "ts", mi
     )
 
 
-def join_filled(df: DataFrame, dim: DataFrame, keys: list[str], columns: list[str], default: float | None = None, ts: str = "ts") -> DataFrame:
-    """Left join by time, then fill forward and backward per key."""
-    out = df.join(dim.select(ts, *columns), ts, "left")
+def join_filled(df: DataFrame, dim: DataFrame, keys: list[str], columns: list[str], default: float | None = None, ts: str = "ts", place: list[str] = []) -> DataFrame:  # noqa: B006
+    """Left join by time, and by place where both sides have one, then fill forward and backward per key."""
+    out = df.join(dim.select(*place, ts, *columns), [*place, ts], "left")
     filled = {c: fill_both(c, keys, ts) for c in columns}
     if default is not None:
         filled = {c: F.coalesce(e, F.lit(default)) for c, e in filled.items()}
@@ -185,10 +185,10 @@ WEATHER_COLUMNS = [
 ]
 
 
-def slot_features(df: DataFrame, weather: DataFrame, fleet: DataFrame, keys: list[str], value: str = "demand_kwh", warmup: int = 336, min_hourly: int = 48, leaky: bool = False, ts: str = "ts") -> DataFrame:
+def slot_features(df: DataFrame, weather: DataFrame, fleet: DataFrame, keys: list[str], value: str = "demand_kwh", warmup: int = 336, min_hourly: int = 48, leaky: bool = False, ts: str = "ts", place: list[str] = []) -> DataFrame:  # noqa: B006
     """Slot feature table: calendar, lags, rolling, momentum, weather, holidays, tariff, voltage, fleet, similar days.
 
-    ``weather`` and ``fleet`` hold one row per time; Spark broadcasts them only below its size threshold.
+    ``weather`` holds one row per time and place, ``fleet`` one per time; Spark broadcasts them only below its size threshold.
     """
     w = ordered(keys, ts)
     windows = [6, 12, 48, 336]
@@ -203,7 +203,7 @@ def slot_features(df: DataFrame, weather: DataFrame, fleet: DataFrame, keys: lis
     names = {n: (f"rmean_{n}", f"rstd_{n}") for n in windows} | LONG_MEANS
     df = with_rolling_moments(df, keys, value, list(names), names, min_periods=LONG_NEED, ts=ts)
     df = add_trend(add_differences(df, keys, value, leaky, ts=ts))
-    df = join_filled(df, weather, keys, WEATHER_COLUMNS, ts=ts)
+    df = join_filled(df, weather, keys, WEATHER_COLUMNS, ts=ts, place=place)
     t = F.col("temperature")
     df = df.withColumns({
         "cooling_deg": wf.above(t, 25.0), "heating_deg": wf.below(t, 18.0), "hdd_21": wf.below(t, 21.0),
@@ -222,10 +222,10 @@ def slot_features(df: DataFrame, weather: DataFrame, fleet: DataFrame, keys: lis
     return drop_warmup(df, keys, warmup, ts=ts) if warmup else df
 
 
-def extended_features(df: DataFrame, weather: DataFrame, fleet: DataFrame, keys: list[str], value: str = "demand_kwh", warmup: int = 672, min_hourly: int = 48, ts: str = "ts") -> DataFrame:
+def extended_features(df: DataFrame, weather: DataFrame, fleet: DataFrame, keys: list[str], value: str = "demand_kwh", warmup: int = 672, min_hourly: int = 48, ts: str = "ts", place: list[str] = []) -> DataFrame:  # noqa: B006
     """Slot features plus robust history, persistence, longer similar-day windows, weather lags and variability."""
     df = add_history(df, keys, value, [6, 12, 48, 336], [6, 24, 48], ts)  # first, while rows are narrow
-    df = slot_features(df, weather, fleet, keys, value, warmup=0, min_hourly=min_hourly, ts=ts)
+    df = slot_features(df, weather, fleet, keys, value, warmup=0, min_hourly=min_hourly, ts=ts, place=place)
     df = add_persistence(df, keys, value, 48, 336, ts)
     df = add_similar_day(df.drop("similar_day_k5"), keys, value, extended=True, ts=ts)
     w = ordered(keys, ts)
@@ -233,20 +233,20 @@ def extended_features(df: DataFrame, weather: DataFrame, fleet: DataFrame, keys:
     return drop_warmup(add_variability(df), keys, warmup, third=True, ts=ts)
 
 
-def hourly_features(df: DataFrame, weather: DataFrame, prices: DataFrame, keys: list[str], value: str = "demand_kwh", ts: str = "ts", longest_lag: int = 168, solar: bool = True, air_quality: bool = True) -> DataFrame:
-    """Eight hourly families in order; rows without the longest lag are dropped."""
+def hourly_features(df: DataFrame, weather: DataFrame, prices: DataFrame, keys: list[str], value: str = "demand_kwh", ts: str = "ts", longest_lag: int = 168, solar: bool = True, air_quality: bool = True, place: list[str] = []) -> DataFrame:  # noqa: B006
+    """Eight hourly families in order; rows without the longest lag are dropped.  Weather is windowed and joined by place."""
     df = cal.add_cycles(cal.add_temporal(df, ts), ts)
     df = add_lags(df, keys, value, {n: f"{value}_lag_{n}h" for n in (1, 2, 3, 6, 12, 24, 48, 168)}, ts)
     df = add_rolling_inclusive(df, keys, value, [3, 6, 12, 24, 48, 168], ts, prefix=f"{value}_")
     p = prices.withColumn("price_above_mean", (F.col("price") > F.avg("price").over(Window.partitionBy("month"))).cast("int"))
     df = df.join(p, ["month", "hour"], "left")
     df = add_consumption_shape(df, keys, value, ts)
-    wx = add_hourly_weather_windows(wf.add_degree_hours(wf.add_conditions(weather)), [F.lit(0)], ts)
+    wx = add_hourly_weather_windows(wf.add_degree_hours(wf.add_conditions(weather)), place or [F.lit(0)], ts)
     if solar:
         wx = wf.add_radiation_ratios(wx)
     if air_quality:
         wx = add_soiling(wx)
-    df = wf.add_interactions(df.join(wx, ts, "left"))
+    df = wf.add_interactions(df.join(wx, [*place, ts], "left"))
     return df.filter(F.col(f"{value}_lag_{longest_lag}h").isNotNull())
 
 

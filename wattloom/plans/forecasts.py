@@ -30,19 +30,21 @@ def seasonal_anchor(df: DataFrame, horizon: DataFrame, keys: list[str], value: s
     return clean_forecast(out, "mean_kwh", "q10_kwh", "q90_kwh")
 
 
-def weather_adjusted(df: DataFrame, weather: DataFrame, horizon: DataFrame, keys: list[str], value: str = "demand_kwh", weeks: int = 4, fit_days: int = 84, damp: float = 0.6, min_n: int = 20, min_rows: int = 96, ts: str = "ts") -> DataFrame:
+def weather_adjusted(df: DataFrame, weather: DataFrame, horizon: DataFrame, keys: list[str], value: str = "demand_kwh", weeks: int = 4, fit_days: int = 84, damp: float = 0.6, min_n: int = 20, min_rows: int = 96, ts: str = "ts", place: list[str] = []) -> DataFrame:  # noqa: B006
     """Seasonal anchor plus a damped response to the temperature difference between horizon and anchor weeks."""
     w = Window.partitionBy(*keys)
     us = F.unix_micros(ts)
-    temp = weather.select(ts, "temperature")
-    seen = df.select(*keys, ts, value).withColumns({"_end": F.max(us).over(w)}).join(temp, ts, "left").withColumn("hour", F.hour(ts))
+    temp = weather.select(*place, ts, "temperature")
+    seen = df.select(*keys, *place, ts, value).withColumns({"_end": F.max(us).over(w)}).join(temp, [*place, ts], "left").withColumn("hour", F.hour(ts))
     recent = seen.filter(us >= F.col("_end") - fit_days * 86_400_000_000).filter(F.col("temperature").isNotNull() & F.col(value).isNotNull())
     enough = recent.groupBy(*keys).agg(F.count("*").alias("_rows"))
     fit = load.temperature_fit(recent, [*keys, "hour"], value, "temperature", min_n)
     inside = us >= F.col("_end") - weeks * 7 * 86_400_000_000
     anchor = seen.withColumn("_in", inside).withColumn("_k", F.sum(F.col("_in").cast("int")).over(w)).filter(F.col("_in") | (F.col("_k") < min_rows))
     anchor = anchor.groupBy(*keys, "hour").agg(F.percentile("temperature", F.lit(0.5)).alias("_at"))
-    base = seasonal_anchor(df, horizon, keys, value, weeks, ts).join(temp, ts, "left")
+    if place:
+        horizon = horizon.join(df.select(*keys, *place).distinct(), keys)
+    base = seasonal_anchor(df, horizon, keys, value, weeks, ts).join(temp, [*place, ts], "left")
     base = base.join(fit.select(*keys, "hour", "slope"), [*keys, "hour"], "left").join(anchor, [*keys, "hour"], "left").join(enough, keys, "left")
     shift = F.coalesce("slope", F.lit(0.0)) * (F.coalesce("temperature", "_at") - F.col("_at")) * damp
     shift = F.when(F.coalesce("_rows", F.lit(0)) >= min_rows, F.coalesce(shift, F.lit(0.0))).otherwise(0.0)
@@ -109,7 +111,8 @@ def inverse_error_weights(df: DataFrame, key: str, item: str, error: str) -> Dat
 
 
 def price_forecast(df: DataFrame, matrix: DataFrame, ts: str = "ts", temperature: str | None = None) -> DataFrame:
-    """Price, landed cost and within-month percentile of each time; 288 matrix rows by construction."""
+    """Price, landed cost and within-month percentile of each time; the matrix is reduced to one row per month and hour."""
+    matrix = matrix.groupBy("month", "hour").agg(F.first("price", ignorenulls=True).alias("price"))  # at most 288 rows
     out = df.withColumns({"month": F.month(ts), "hour": F.hour(ts)}).join(F.broadcast(matrix), ["month", "hour"], "left")
     if temperature:
         out = out.withColumn("price", money.hot_premium(F.col("price"), F.col(temperature)))

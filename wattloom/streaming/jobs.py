@@ -21,16 +21,44 @@ def read_events(spark: SparkSession, folder: str, pattern: str = "events.parquet
     return reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(stream: DataFrame, name: str, out: str | None = None, state: str | None = None) -> DataFrame:
+class EndOfInput:
+    """A second source beside a stream's own, empty until the stream is declared complete.
+
+    Its one row lies so far ahead in time that the watermark passes everything that is still open; the row itself stays
+    open for ever.  What arrives after it is late, so a stream is ended once.
+    """
+
+    AT = "2200-01-01 00:00:00"
+
+    def __init__(self, stream: DataFrame, ts: str = "ts", **values: object):
+        """``values`` are the columns that the row needs to pass the filters of the job; all others are null."""
+        self.spark, self.path, schema = stream.sparkSession, scratch_path(stream.sparkSession, "end-of-input"), stream.schema
+        row = {f.name: F.lit(self.AT if f.name == ts else values.get(f.name)).cast(f.dataType).alias(f.name) for f in schema.fields}
+        self.row = self.spark.range(1).select(*row.values())
+        self.row.limit(0).write.parquet(self.path)
+        self.stream = stream.unionByName(self.spark.readStream.schema(schema).parquet(self.path))
+
+    def declare(self) -> None:
+        self.row.coalesce(1).write.mode("append").parquet(self.path)
+
+
+def drain(stream: DataFrame, name: str, out: str | None = None, state: str | None = None, end: EndOfInput | None = None) -> DataFrame:
     """Process everything available into a table and read it back.
 
     A run that is given the output and state paths of an earlier one continues it; without paths it starts fresh ones in
-    the shared folder.
+    the shared folder.  With ``end`` the input is then declared complete, and what was open is processed too.
     """
     spark = stream.sparkSession
     out, state = out or scratch_path(spark, name), state or scratch_path(spark, f"{name}-state")
-    job = stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
-    job.awaitTermination()
+
+    def run() -> None:
+        job = stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        job.awaitTermination()
+
+    run()
+    if end:
+        end.declare()
+        run()
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -91,3 +119,39 @@ def frozen_runs(events: DataFrame, key: str, value: str, min_run: int = 3, ts: s
 
     slim = events.select(key, ts, F.col(value).cast("double").alias(value))
     return slim.groupBy(key).applyInPandasWithState(update, out, "last double, run long", "append", "NoTimeout")
+
+
+def frozen_runs_any_order(events: DataFrame, key: str, value: str, delay: str, min_run: int = 3, ts: str = "ts") -> DataFrame:
+    """``frozen_runs`` for rows that arrive in any order within ``delay``.
+
+    A row waits in the state of its key until the watermark has passed it; then it extends or ends the run before it.  A timer
+    at the oldest waiting row wakes keys without new rows.  The state of a key is its open run and the rows of ``delay``.
+    Rows of one time are ordered by value.
+    """
+    kind = events.schema[key].dataType.simpleString()
+    out = f"{key} {kind}, {ts} timestamp, {value} double, run_length bigint, is_frozen boolean"
+
+    def update(group, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last, run, times, values = state.get if state.exists else (None, 0, [], [])
+        for rows in [] if state.hasTimedOut else chunks:
+            times = [*times, *rows[ts].astype("datetime64[us]").astype("int64").tolist()]
+            values = [*values, *rows[value].tolist()]
+        passed = state.getCurrentWatermarkMs() * 1000
+        waiting = sorted(zip(times, values))
+        ready = [r for r in waiting if r[0] < passed]
+        lengths = []
+        for _, v in ready:
+            run = run + 1 if v == last else 0
+            last = v
+            lengths.append(run)
+        waiting = waiting[len(ready) :]
+        state.update((last, run, [r[0] for r in waiting], [r[1] for r in waiting]))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[0][0] // 1000, passed // 1000) + 1)
+        if not ready:
+            return
+        rows = pd.DataFrame({key: [group[0]] * len(ready), ts: pd.to_datetime([r[0] for r in ready], unit="us"), value: [r[1] for r in ready], "run_length": lengths})
+        yield rows.assign(is_frozen=rows["run_length"] >= min_run)
+
+    slim = events.select(key, ts, F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull() | F.col(key).isNull()).withWatermark(ts, delay)
+    return slim.groupBy(key).applyInPandasWithState(update, out, "last double, run long, times array<long>, vals array<double>", "append", "EventTimeTimeout")
