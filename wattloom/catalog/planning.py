@@ -6,7 +6,7 @@ from wattloom.catalog import windows as win
 from wattloom.catalog.joins import PROFILE_SQL, both, sparse_weather
 from wattloom.catalog.registry import query
 from wattloom.catalog.views import LOCATION, located, weather_at
-from wattloom.catalog.scalars import TEMPORAL
+from wattloom.catalog.scalars import HOL, TEMPORAL
 from wattloom.functions import calendar as cal
 from wattloom.operators import accuracy, load
 from wattloom.plans import evaluation, features, forecasts, quality, splits
@@ -65,21 +65,61 @@ def _(t):
 
 
 LAGS = [1, 2, 4, 6, 12, 24, 48, 96, 336]
-WX = ["temperature", "humidity", "ghi", "cloud_cover"]
-BASE_SQL = f"""WITH f AS (SELECT ts, avg(demand_kwh) AS fm, stddev_samp(demand_kwh) AS fs FROM readings GROUP BY 1 HAVING count(demand_kwh) >= 5),
-    j AS (SELECT meter_id, ts, demand_kwh, voltage, coalesce({both('fm')}, 0) AS fleet_mean, {', '.join(f'{both(c)} AS {c}' for c in WX)} FROM (SELECT r.*, fm, {', '.join(WX)} FROM readings r LEFT JOIN f ON f.ts = r.ts LEFT JOIN weather wx ON {weather_at('r')})),
-    k AS (SELECT *, greatest(temperature - 21.0, 0.0) AS cdd_21 FROM j),
-    r AS (SELECT *, row_number() {W} AS rn, count(*) OVER (PARTITION BY meter_id) AS len, hour(ts) + minute(ts) / 60.0 AS hour, isodow(ts) - 1 AS dow, {', '.join(f'lag(demand_kwh, {n}) {W} AS lag_{n}' for n in LAGS)},
-        {', '.join(f'avg(demand_kwh) {prev(n)} AS rmean_{n}, stddev_samp(demand_kwh) {prev(n)} AS rstd_{n}' for n in (6, 12, 48, 336))}, lag(demand_kwh) {W} - lag(demand_kwh, 2) {W} AS demand_diff_1,
-        CASE WHEN count(demand_kwh) {prev(672)} >= 48 THEN avg(demand_kwh) {prev(672)} END AS rmean_14d, hour(ts) * temperature / 100.0 AS hour_x_temp,
-        CASE WHEN count(*) {prev(48)} >= 6 THEN avg(cdd_21) {prev(48)} END AS cdd_21_rmean_48, temperature - CASE WHEN count(*) {prev(48)} >= 12 THEN avg(temperature) {prev(48)} END AS temp_anom_24h,
-        lag(voltage) {W} AS voltage_lag1, lag(fleet_mean) {W} AS fleet_mean_lag1, lag(demand_kwh) {W} / greatest(lag(fleet_mean) {W}, 1.0) AS vs_fleet_ratio,
-        CASE WHEN hour(ts) BETWEEN 18 AND 21 THEN 1.2 WHEN hour(ts) < 6 OR hour(ts) >= 22 THEN 0.9 ELSE 1.0 END AS tod_multiplier,
-        (CAST(ts AS DATE) BETWEEN DATE '2024-01-13' AND DATE '2024-01-15' OR CAST(ts AS DATE) BETWEEN DATE '2024-01-25' AND DATE '2024-01-27')::INT AS near_holiday,
-        CASE WHEN count(demand_kwh) {win.SIM.format(n=5)} >= 2 THEN avg(demand_kwh) {win.SIM.format(n=5)} END AS similar_day_k5,
-        CASE WHEN count(demand_kwh) {win.SIM.format(n=10)} >= 3 THEN avg(demand_kwh) {win.SIM.format(n=10)} END AS similar_day_k10, median(demand_kwh) {prev(48)} AS rmedian_48,
-        lag(demand_kwh, 48) {W} AS persistence_24h, lag(temperature, 48) {W} AS temperature_lag24, stddev_samp(demand_kwh) {prev(48)} / greatest(avg(demand_kwh) {prev(48)}, 1.0) AS cv_48 FROM k)"""
-SLOT_COLS = ID + "".join(f" lag_{n}:4" for n in LAGS) + "".join(f" rmean_{n}:4 rstd_{n}:3" for n in (6, 12, 48, 336)) + " hour:3 dow:i demand_diff_1:4 rmean_14d:4 hour_x_temp:4 cdd_21_rmean_48:4 temp_anom_24h:4 voltage_lag1:3 fleet_mean_lag1:4 vs_fleet_ratio:4 tod_multiplier:2 near_holiday:i similar_day_k5:4 temperature:4 ghi:4"
+WX = features.WEATHER_COLUMNS
+CYCLES = [(f"{n}_{f}", f"{f}(2.0 * pi() * ({e}) / {p})") for n, e, p in (("hour", "hour(ts) + minute(ts) / 60.0", "24.0"), ("dow", "isodow(ts) - 1", "7.0"), ("month", "month(ts)", "12.0"), ("doy", "dayofyear(ts) + hour(ts) / 24.0", "365.25")) for f in ("sin", "cos")]
+NEAR = " OR ".join(HOL.replace("ts", f"(ts + to_days({d}))") for d in (-1, 0, 1))
+HOURLY = "OVER (PARTITION BY meter_id, hour(ts) + minute(ts) / 60.0 ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+# Column, decimals and SQL of everything that the slot tables add to a reading, in steps that build on one another.
+SLOT_STEPS = [
+    [*[(c, 5, e) for c, e in CYCLES], ("hour", 4, "hour(ts) + minute(ts) / 60.0"), ("dow", "i", "isodow(ts) - 1"), ("month", "i", "month(ts)"), ("is_weekend", "i", "(isodow(ts) >= 6)::INT"), ("is_holiday", "i", f"({HOL})::INT"), ("near_holiday", "i", f"({NEAR})::INT"),
+     ("tod_multiplier", 2, "CASE WHEN hour(ts) BETWEEN 18 AND 21 THEN 1.2 WHEN hour(ts) < 6 OR hour(ts) >= 22 THEN 0.9 ELSE 1.0 END"), ("is_peak", "i", "(hour(ts) BETWEEN 18 AND 21)::INT"),
+     *[(f"lag_{n}", 5, f"lag(demand_kwh, {n}) {W}") for n in LAGS], *[(f"rmean_{n}", 5, f"avg(demand_kwh) {prev(n)}") for n in (6, 12, 48, 336)], *[(f"rstd_{n}", 4, f"stddev_samp(demand_kwh) {prev(n)}") for n in (6, 12, 48, 336)],
+     *[(f"rmean_{d}d", 5, f"CASE WHEN count(demand_kwh) {prev(n)} >= 48 THEN avg(demand_kwh) {prev(n)} END") for d, n in ((14, 672), (30, 1440))],
+     ("demand_diff_1", 5, f"lag(demand_kwh) {W} - lag(demand_kwh, 2) {W}"), ("demand_diff_4", 5, f"lag(demand_kwh) {W} - lag(demand_kwh, 5) {W}"),
+     *[(c, "i" if c == "is_raining" else 5, both(c)) for c in WX], ("fleet_mean", 5, f"coalesce({both('fm')}, 0)"), ("fleet_std", 4, f"coalesce({both('fs')}, 0)"),
+     ("voltage_lag1", 4, f"lag(voltage) {W}"), ("voltage_rstd_6", 4, f"stddev_samp(voltage) {prev(6)}"), ("voltage_rmean_48", 5, f"avg(voltage) {prev(48)}"),
+     ("deviation_from_hourly", 5, f"lag(demand_kwh) {W} - CASE WHEN count(demand_kwh) {HOURLY} >= 2 THEN avg(demand_kwh) {HOURLY} END"),
+     ("similar_day_k5", 5, f"CASE WHEN count(demand_kwh) {win.SIM.format(n=5)} >= 2 THEN avg(demand_kwh) {win.SIM.format(n=5)} END"), ("target", 5, "demand_kwh")],
+    [("trend_ratio", 5, "CASE WHEN rmean_30d IS NOT NULL THEN rmean_14d / greatest(rmean_30d, 1.0) END"), ("cooling_deg", 5, "greatest(temperature - 25.0, 0.0)"), ("heating_deg", 5, "greatest(18.0 - temperature, 0.0)"), ("hdd_21", 5, "greatest(21.0 - temperature, 0.0)"),
+     ("hour_x_temp", 5, "hour * temperature / 100.0"), ("peak_x_temp", 5, "(hour(ts) BETWEEN 12 AND 17)::INT * temperature"), ("cdd_21", 5, "greatest(temperature - 21.0, 0.0)"),
+     *[(f"{n}_anom_24h", 5, f"{c} - CASE WHEN count({c}) {prev(48)} >= 12 THEN avg({c}) {prev(48)} END") for n, c in (("temp", "temperature"), ("hum", "humidity"), ("ghi", "ghi"), ("cloud", "cloud_cover"))],
+     ("fleet_mean_lag1", 5, f"lag(fleet_mean) {W}"), ("fleet_std_lag1", 4, f"lag(fleet_std) {W}")],
+    [*[(f"cdd_21_rmean_{n}", 5, f"CASE WHEN count(cdd_21) {prev(n)} >= {k} THEN avg(cdd_21) {prev(n)} END") for n, k in ((48, 6), (336, 48))], ("cdd_21_x_hour", 5, "cdd_21 * hour / 24.0"), ("cdd_21_x_peak", 5, "is_peak * cdd_21"), ("vs_fleet_ratio", 5, "CASE WHEN fleet_mean_lag1 IS NOT NULL THEN lag_1 / greatest(fleet_mean_lag1, 1.0) END")],
+]
+
+
+def enough(n, k, what):
+    return f"CASE WHEN count(demand_kwh) {win.SIM.format(n=n)} >= {k} THEN {what}(demand_kwh) {win.SIM.format(n=n)} END"
+
+
+LONG_STEPS = [
+    [*[(f"rmedian_{n}", 5, f"median(demand_kwh) {prev(n)}") for n in (6, 12, 48, 336)], *[(f"ema_{n}", 5, c) for n, c in ((6, "a"), (24, "b"), (48, "c"))], ("persistence_24h", 5, f"lag(demand_kwh, 48) {W}"), ("persistence_168h", 5, f"lag(demand_kwh, 336) {W}"),
+     ("sdh_mean_60d", 5, enough(9, 2, "avg")), ("sdh_std_60d", 4, enough(9, 2, "stddev_samp")), ("similar_day_k10", 5, enough(10, 3, "avg")), ("sdh_mean_90d", 5, enough(13, 3, "avg")),
+     *[(f"{c}_lag24", 5, f"lag({c}, 48) {W}") for c in ("temperature", "humidity", "cloud_cover")],
+     *[(n, 4, f"CASE WHEN {y} IS NOT NULL THEN {x} / greatest({y}, 1.0) ELSE {x} END") for n, x, y in (("rstd_ratio_48_336", "rstd_48", "rstd_336"), ("rmean_ratio_12_336", "rmean_12", "rmean_336"), ("cv_48", "rstd_48", "rmean_48"))]],
+    [("persist_ratio_24_168", 5, "CASE WHEN persistence_168h IS NOT NULL THEN persistence_24h / greatest(persistence_168h, 1.0) END"), ("sdh_deviation", 5, f"lag(demand_kwh) {W} - sdh_mean_60d")],
+]
+
+
+def contract(steps):
+    return "".join(f" {c}:{d}" for step in steps for c, d, _ in step)
+
+
+def nested(rows, steps):
+    """Each step as a select around the one before; a step replaces nothing, so its columns may use all earlier ones."""
+    for step in steps:
+        rows = f"(SELECT * EXCLUDE ({', '.join(c for c, _, _ in step if c in WX)}), {', '.join(f'{e} AS {c}' for c, _, e in step)} FROM {rows})" if any(c in WX for c, _, _ in step) else f"(SELECT *, {', '.join(f'{e} AS {c}' for c, _, e in step)} FROM {rows})"
+    return rows
+
+
+BASE_SQL = f"""f AS (SELECT ts, avg(demand_kwh) AS fm, stddev_samp(demand_kwh) AS fs FROM readings GROUP BY 1 HAVING count(demand_kwh) >= 5),
+    wd AS (SELECT *, pressure - lag(pressure, 6) {win.LW} AS pressure_delta_3h, temperature - lag(temperature, 6) {win.LW} AS temp_delta_3h, avg(temperature) {win.lincl(12)} AS temp_rmean_6h, avg(ghi) {win.lincl(12)} AS ghi_rmean_6h, cloud_cover - lag(cloud_cover, 6) {win.LW} AS cloud_delta_3h,
+        (precipitation > 0)::INT AS is_raining, least(greatest(dhi / greatest(ghi, 1.0), 0.0), 1.0) AS diffuse_fraction, {win.HEAT_SQL} AS heat_index FROM weather),
+    k AS (SELECT r.*, fm, fs, {', '.join(WX)}, row_number() OVER (PARTITION BY r.meter_id ORDER BY r.ts) AS rn, count(*) OVER (PARTITION BY r.meter_id) AS len FROM readings r LEFT JOIN f ON f.ts = r.ts LEFT JOIN wd wx ON {weather_at('r')}),
+    r AS MATERIALIZED (SELECT * FROM {nested('k', SLOT_STEPS)})"""
+EMA_SQL = """e AS (SELECT meter_id, rn AS ern, demand_kwh AS a, demand_kwh AS b, demand_kwh AS c FROM r WHERE rn = 1
+    UNION ALL SELECT r.meter_id, r.rn, r.demand_kwh * 2.0 / 7.0 + e.a * 5.0 / 7.0, r.demand_kwh * 2.0 / 25.0 + e.b * 23.0 / 25.0, r.demand_kwh * 2.0 / 49.0 + e.c * 47.0 / 49.0 FROM e JOIN r ON r.meter_id = e.meter_id AND r.rn = e.ern + 1)"""
+SLOT_COLS = ID + contract(SLOT_STEPS)
 
 
 def derived_weather(t):
@@ -90,12 +130,12 @@ def slot_table(t, warmup=24):
     return features.slot_features(located(t.readings), derived_weather(t), features.fleet_aggregate(t.readings), KEY, warmup=warmup, min_hourly=2, place=PLACE)
 
 
-@query("pipe_features_v4", SLOT_COLS, BASE_SQL + " SELECT * FROM r WHERE rn > 24")
+@query("pipe_features_v4", SLOT_COLS, f"WITH {BASE_SQL} SELECT * FROM r WHERE rn > 24")
 def _(t):
     return slot_table(t)
 
 
-@query("pipe_features_v5", SLOT_COLS + " similar_day_k10:4 rmedian_48:4 persistence_24h:4 temperature_lag24:4 cv_48:4", BASE_SQL + " SELECT * FROM r WHERE rn > least(672, floor(len / 3))")
+@query("pipe_features_v5", SLOT_COLS + contract(LONG_STEPS), f"WITH RECURSIVE {BASE_SQL}, {EMA_SQL}, x AS (SELECT r.*, a, b, c FROM r LEFT JOIN e ON e.meter_id = r.meter_id AND e.ern = r.rn - 1) SELECT * FROM {nested('x', LONG_STEPS)} WHERE rn > least(672, floor(len / 3))")
 def _(t):
     return features.extended_features(located(t.readings), derived_weather(t), features.fleet_aggregate(t.readings), KEY, min_hourly=2, place=PLACE)
 
