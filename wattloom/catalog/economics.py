@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from wattloom.catalog.registry import query
+from wattloom.catalog.scalars import AUDIT_SQL, audited
 from wattloom.functions import calendar as cal, money
 from wattloom.operators import dispatch, economics, network, table_functions
 
@@ -173,14 +174,14 @@ def _(t):
     return economics.sensitivity(projects(t), "capex", "annual")
 
 
-@query("eco_brief", "site_id:s saved_today_inr:2 projected_annual_inr:1 peak_block_mape:4 mape_health:s highlights:s", """WITH s AS (SELECT site_id, ts, charge_kwh, discharge_kwh * 10.0 AS discharge_kwh, curtail_kwh, grid_kwh, iex_price, landed_cost, block_mape FROM schedule),
+@query("eco_brief", "site_id:s saved_today_inr:2 projected_annual_inr:1 peak_block_mape:4 mape_health:s highlights:s", f"""WITH s AS (SELECT site_id, ts, charge_kwh, discharge_kwh * 10.0 AS discharge_kwh, curtail_kwh, grid_kwh, iex_price, landed_cost, block_mape, audit FROM ({AUDIT_SQL})),
     n AS (SELECT site_id, greatest(sum(discharge_kwh * iex_price - grid_kwh * landed_cost - charge_kwh * iex_price), 0.0) AS v FROM (SELECT *, min(ts) OVER (PARTITION BY site_id) AS t0 FROM s) WHERE ts < t0 + INTERVAL 24 HOUR GROUP BY 1),
     p AS (SELECT site_id, avg(block_mape) AS m FROM s WHERE hour(ts) BETWEEN 18 AND 21 GROUP BY 1),
-    r AS (SELECT site_id, ts, row_number() OVER (PARTITION BY site_id ORDER BY greatest(charge_kwh, discharge_kwh, curtail_kwh) DESC, ts) AS rk FROM s WHERE greatest(charge_kwh, discharge_kwh, curtail_kwh) > 0.001),
-    h AS (SELECT site_id, string_agg(strftime(ts, '%Y-%m-%d %H:%M'), '; ' ORDER BY rk) AS highlights FROM r WHERE rk <= 3 GROUP BY 1)
+    r AS (SELECT site_id, audit, row_number() OVER (PARTITION BY site_id ORDER BY greatest(charge_kwh, discharge_kwh, curtail_kwh) DESC, ts) AS rk FROM s WHERE greatest(charge_kwh, discharge_kwh, curtail_kwh) > 0.001),
+    h AS (SELECT site_id, string_agg(audit, ' ' ORDER BY rk) AS highlights FROM r WHERE rk <= 3 GROUP BY 1)
     SELECT site_id, v AS saved_today_inr, v * 365 AS projected_annual_inr, m AS peak_block_mape, CASE WHEN m < 4 THEN 'green' WHEN m < 8 THEN 'amber' ELSE 'red' END AS mape_health, highlights FROM n LEFT JOIN p USING (site_id) LEFT JOIN h USING (site_id)""")
 def _(t):
-    return economics.site_brief(t.schedule.withColumn("discharge_kwh", F.col("discharge_kwh") * 10.0), "site_id")
+    return economics.site_brief(audited(t).withColumn("discharge_kwh", F.col("discharge_kwh") * 10.0), "site_id")
 
 
 @query("eco_site_commercial", "site_id:s daily:2 capex:1 annual:1 irr_pct:3 npv_inr:1 payback_years:1 firmness_pct:3 offered_price:4", f"""SELECT s.*, firmness_pct, greatest(8.20 - 1.30 + (95.0 - firmness_pct) / 5.0 * 0.40, 4.0) AS offered_price FROM ({irr_sql(f"SELECT site_id, daily / 2.0 AS daily, 25000000.0 AS capex, daily / 2.0 * 365 AS annual FROM ({NET_SQL})", "site_id")}) s

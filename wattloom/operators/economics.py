@@ -141,14 +141,14 @@ def sensitivity(df: DataFrame, capex: str, annual: str, years: int = 10) -> Data
     return project_irr(df, "case_capex", "case_annual", years)
 
 
-def site_brief(schedule: DataFrame, key: str, hours: int = 24, ts: str = "ts") -> DataFrame:
-    """Net benefit of the first day by time, its annual value, the largest actions and health."""
+def site_brief(schedule: DataFrame, key: str, hours: int = 24, ts: str = "ts", sentence: str = "audit") -> DataFrame:
+    """Net benefit of the first day by time, its annual value, the audit sentences of the largest actions, and health."""
     c = F.col
     today = schedule.withColumn("_t0", F.min(ts).over(Window.partitionBy(key))).filter(c(ts) < c("_t0") + F.expr(f"interval {hours} hours"))
     net = F.sum(c("discharge_kwh") * c("iex_price") - c("grid_kwh") * c("landed_cost") - c("charge_kwh") * c("iex_price"))
     base = today.groupBy(key).agg(F.greatest(net, F.lit(0.0)).alias("saved_today_inr"))
     peak = schedule.filter(F.hour(ts).between(18, 21)).groupBy(key).agg(F.avg("block_mape").alias("peak_block_mape"))
     best = top_per_key(active_rows(schedule), [key], [F.desc("magnitude_kwh"), c(ts)], 3)
-    lines = best.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.date_format(ts, "yyyy-MM-dd HH:mm").alias("t")))), lambda x: x["t"]), "; ").alias("highlights"))
+    lines = best.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(sentence).alias("t")))), lambda x: x["t"]), " ").alias("highlights"))
     out = base.join(peak, key, "left").join(lines, key, "left")
     return out.withColumns({"projected_annual_inr": c("saved_today_inr") * 365.0, "mape_health": health(c("peak_block_mape"), 4.0, 8.0)})

@@ -87,7 +87,8 @@ def price_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
     Files may name and order their columns differently; their first lines are read as data and joined back by file.
     """
-    raw = spark.read.csv(paths, header=False, schema=", ".join(f"_c{i} string" for i in range(24)))
+    width = spark.read.text(paths).agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1  # no line has more cells
+    raw = spark.read.csv(paths, header=False, schema=", ".join(f"_c{i} string" for i in range(width)))
     raw = raw.select(F.array(*[c for c in raw.columns if c.startswith("_c")]).alias("cells"), *[c for c in raw.columns if not c.startswith("_c")], F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
     head = raw.groupBy("file").agg(F.min_by(F.struct("block", "line", "cells"), F.struct("block", "line")).alias("h"))
     place = {new: F.expr(f"aggregate(sequence(0, size(h.cells) - 1), -1, (a, i) -> CASE WHEN a < 0 AND contains(lower(trim(h.cells[i])), '{part}') THEN i ELSE a END)") for part, new in PRICE_HEADERS}
