@@ -102,43 +102,38 @@ def with_rolling_moments(
     leaves no trace, and the cost per row grows with the logarithm of the width.  All steps share one sort.
     """
     w = ordered(keys, ts)
-    present = F.col(value).isNotNull()
-    df = df.withColumns({"_n0": F.when(present, 1.0).otherwise(0.0), "_a0": F.when(present, F.col(value).cast("double")).otherwise(0.0), "_q0": F.lit(0.0)})
 
-    def before(k: int, back: int) -> tuple[Column, ...]:
-        return tuple(F.col(f"{c}{k}") if back == 0 else F.coalesce(F.lag(f"{c}{k}", back).over(w), F.lit(0.0)) for c in ("_n", "_a", "_q"))
+    def moments(n: Column, mean: Column, q: Column) -> Column:
+        return F.struct(n.alias("n"), mean.alias("mean"), q.alias("q"))
+
+    def before(k: int, back: int) -> Column:
+        return F.col(f"_m{k}") if back == 0 else F.coalesce(F.lag(f"_m{k}", back).over(w), moments(F.lit(0.0), F.lit(0.0), F.lit(0.0)))
 
-    def merged(x: tuple[Column, ...], y: tuple[Column, ...]) -> tuple[Column, ...]:
-        n, d = x[0] + y[0], y[1] - x[1]
-        share = F.when(n > 0, y[0] / n).otherwise(0.0)
+    def merged(x: Column, y: Column) -> Column:
+        n, d = x["n"] + y["n"], y["mean"] - x["mean"]
+        share = F.when(n > 0, y["n"] / n).otherwise(0.0)
         # where one side is empty the other is taken as it is
-        mean = F.when(x[0] == 0, y[1]).when(y[0] == 0, x[1]).otherwise(x[1] + d * share)
-        return n, mean, x[2] + y[2] + F.when((x[0] > 0) & (y[0] > 0), d * d * x[0] * share).otherwise(0.0)
+        mean = F.when(x["n"] == 0, y["mean"]).when(y["n"] == 0, x["mean"]).otherwise(x["mean"] + d * share)
+        return moments(n, mean, x["q"] + y["q"] + F.when((x["n"] > 0) & (y["n"] > 0), d * d * x["n"] * share).otherwise(0.0))
 
+    present = F.col(value).isNotNull()
+    df = df.withColumn("_m0", moments(F.when(present, 1.0).otherwise(0.0), F.when(present, F.col(value).cast("double")).otherwise(0.0), F.lit(0.0)))
     top = max(windows).bit_length()
     for k in range(1, top):
-        df = df.withColumns({f"_l{c}": v for c, v in zip("naq", before(k - 1, 1 << (k - 1)), strict=True)})
-        both = merged(before(k - 1, 0), tuple(F.col(f"_l{c}") for c in "naq"))
-        df = df.withColumns({f"{c}{k}": v for c, v in zip(("_n", "_a", "_q"), both, strict=True)})
+        df = df.withColumn("_lag", before(k - 1, 1 << (k - 1))).withColumn(f"_m{k}", merged(F.col(f"_m{k - 1}"), F.col("_lag")))
     parts = {n: [k for k in range(top - 1, -1, -1) if n >> k & 1] for n in windows}
     offsets = {n: [(0 if include_current else 1) + sum(1 << j for j in ks[:i]) for i in range(len(ks))] for n, ks in parts.items()}
-    lagged = {f"_w{n}_{i}{c}": v for n, ks in parts.items() for i, k in enumerate(ks) for c, v in zip("naq", before(k, offsets[n][i]), strict=True)}
+    lagged = {f"_w{n}_{i}": before(k, offsets[n][i]) for n, ks in parts.items() for i, k in enumerate(ks)}
     df = df.withColumns(lagged)
     for i in range(1, max(map(len, parts.values()))):
-        step = {}
-        for n, ks in parts.items():
-            if i < len(ks):
-                both = merged(*(tuple(F.col(f"_w{n}_{j}{c}") for c in "naq") for j in (0, i)))
-                step |= {f"_w{n}_0{c}": v for c, v in zip("naq", both, strict=True)}
-        df = df.withColumns(step)
+        df = df.withColumns({f"_w{n}_0": merged(F.col(f"_w{n}_0"), F.col(f"_w{n}_{i}")) for n, ks in parts.items() if i < len(ks)})
     out = {}
     for n in windows:
         mean_name, std_name = names[n]
         need = (min_periods or {}).get(n, 1)
-        cnt, mean, q = (F.col(f"_w{n}_0{c}") for c in "naq")
+        cnt, mean, q = (F.col(f"_w{n}_0.{c}") for c in ("n", "mean", "q"))
         if mean_name:
             out[mean_name] = F.when(cnt >= max(need, 1), mean)
         if std_name:
             out[std_name] = F.when((cnt >= need) & (cnt >= 2), F.sqrt(q / F.nullif(cnt - 1, F.lit(0.0))))
-    temp = [f"{c}{k}" for k in range(top) for c in ("_n", "_a", "_q")] + [f"_l{c}" for c in "naq"] + list(lagged)
-    return df.withColumns(out).drop(*temp)
+    return df.withColumns(out).drop("_lag", *[f"_m{k}" for k in range(top)], *lagged)
