@@ -64,6 +64,16 @@ def test_rolling_moments_equal_pandas(series):
         np.testing.assert_allclose(got[f"s{n}"].astype(float), past.rolling(n, min_periods=k).std(), rtol=1e-7)
 
 
+def test_the_tables_reach_the_longest_windows(spark):
+    """The registered queries see rows in which long lags exist and the 14- and 30-day means differ."""
+    from wattloom.catalog import QUERIES
+
+    folder = "/root/testdata/sf0.01"
+    assert QUERIES["win_momentum"](spark, folder).filter("rmean_14d <> rmean_30d").count() > 20
+    assert QUERIES["pipe_features_hourly"](spark, folder).filter("demand_kwh_lag_24h is not null and temp_rmean_24h is not null").count() > 1000
+    assert {r.location_id for r in QUERIES["fn_price_premium"](spark, folder).select("location_id").distinct().collect()} == {"L0", "L1"}
+
+
 def test_momentum_leaks_only_on_request(series):
     df = series([1, 4, 9, 16, 25, 36, 49])
     safe = features.add_momentum(df, KEY, "v").orderBy("i").collect()

@@ -6,7 +6,7 @@ from wattloom.catalog import windows as win
 from wattloom.catalog.joins import PROFILE_SQL, both, sparse_weather
 from wattloom.catalog.registry import query
 from wattloom.catalog.views import LOCATION, located, weather_at
-from wattloom.catalog.scalars import HOL, TEMPORAL
+from wattloom.catalog.scalars import HI, HOL, TEMPORAL
 from wattloom.functions import calendar as cal
 from wattloom.operators import accuracy, load
 from wattloom.plans import evaluation, features, forecasts, quality, splits
@@ -106,9 +106,10 @@ def contract(steps):
 
 
 def nested(rows, steps):
-    """Each step as a select around the one before; a step replaces nothing, so its columns may use all earlier ones."""
+    """Each step as a select around the one before, so its columns may use all earlier ones; filled weather takes the place of the raw one."""
     for step in steps:
-        rows = f"(SELECT * EXCLUDE ({', '.join(c for c, _, _ in step if c in WX)}), {', '.join(f'{e} AS {c}' for c, _, e in step)} FROM {rows})" if any(c in WX for c, _, _ in step) else f"(SELECT *, {', '.join(f'{e} AS {c}' for c, _, e in step)} FROM {rows})"
+        old = [c for c, _, e in step if c in WX and e == both(c)]
+        rows = f"(SELECT *{f' EXCLUDE ({", ".join(old)})' if old else ''}, {', '.join(f'{e} AS {c}' for c, _, e in step)} FROM {rows})"
     return rows
 
 
@@ -140,13 +141,35 @@ def _(t):
     return features.extended_features(located(t.readings), derived_weather(t), features.fleet_aggregate(t.readings), KEY, min_hourly=2, place=PLACE)
 
 
-@query("pipe_features_hourly", ID + " hour:i season:s tod_multiplier:2 demand_kwh_lag_24h:4 demand_kwh_rmean_24:4 demand_kwh_rmax_168:4 price:2 price_above_mean:i daily_range_ratio:5 hourly_share:5 cdh:4 temp_rmean_24h:4 dni_ghi_ratio:5 soiling_index:5 cdh_x_business:4", f"""WITH p AS (SELECT *, (price > avg(price) OVER (PARTITION BY month))::INT AS price_above_mean FROM prices),
-    x AS (SELECT ts, location_id, greatest(temperature - 26.0, 0.0) AS cdh, avg(temperature) OVER (PARTITION BY location_id ORDER BY ts ROWS 23 PRECEDING) AS temp_rmean_24h, CASE WHEN ghi > 10 THEN dni / ghi ELSE 0 END AS dni_ghi_ratio,
-        (avg(pm2_5) OVER (PARTITION BY location_id ORDER BY ts ROWS 71 PRECEDING) / 100.0 + avg(aod) OVER (PARTITION BY location_id ORDER BY ts ROWS 23 PRECEDING) + dust / 200.0) / 3.0 AS soiling_index FROM weather),
-    r AS (SELECT *, lag(demand_kwh, 24) {W} AS demand_kwh_lag_24h, avg(demand_kwh) {incl(24)} AS demand_kwh_rmean_24, max(demand_kwh) {incl(168)} AS demand_kwh_rmax_168,
-        CASE WHEN max(demand_kwh) OVER d > 0 THEN (max(demand_kwh) OVER d - min(demand_kwh) OVER d) / max(demand_kwh) OVER d ELSE 0 END AS daily_range_ratio, CASE WHEN sum(demand_kwh) OVER d > 0 THEN demand_kwh / sum(demand_kwh) OVER d ELSE 0 END AS hourly_share
-        FROM ({TEMPORAL}) WINDOW d AS (PARTITION BY meter_id, date_trunc('day', ts)))
-    SELECT r.*, price, price_above_mean, cdh, temp_rmean_24h, dni_ghi_ratio, soiling_index, cdh * is_business_hour AS cdh_x_business FROM r LEFT JOIN p ON p.month = r.month AND p.hour = r.hour LEFT JOIN x ON x.ts = r.ts AND x.location_id = {LOCATION.format(m='r.')} WHERE demand_kwh_lag_24h IS NOT NULL""")
+HOUR_LAGS = (1, 2, 3, 6, 12, 24, 48, 168)
+TEMPORAL_COLS = " hour:i day_of_week:i day_of_month:i month:i week_of_year:i day_of_year:i hour_frac:4 is_weekend:i is_holiday:i season:s tod_multiplier:2 is_working_day:i is_peak_hour:i is_business_hour:i"
+# Column, decimals and SQL of what the hourly table takes from the weather of a location.
+HOURLY_WEATHER = [
+    [("wind_above_5ms", "i", "(wind_speed > 5)::INT"), ("cloud_fraction", 5, "cloud_cover / 100.0"), ("is_overcast", "i", "(cloud_cover > 80)::INT"), ("is_raining", "i", "(precipitation > 0.1)::INT"), ("is_heavy_rain", "i", "(precipitation > 5.0)::INT"),
+     ("cdh", 5, "greatest(temperature - 26.0, 0.0)"), ("cdh_squared", 4, "greatest(temperature - 26.0, 0.0) * greatest(temperature - 26.0, 0.0)"), ("hdh", 5, "greatest(18.0 - temperature, 0.0)"), ("cooling_deg", 5, "greatest(temperature - 25.0, 0.0)"), ("heating_deg", 5, "greatest(18.0 - temperature, 0.0)"),
+     ("cdd_21", 5, "greatest(temperature - 21.0, 0.0)"), ("hdd_21", 5, "greatest(21.0 - temperature, 0.0)"), ("is_extreme_heat", "i", "(temperature > 35)::INT"), ("rh_above_70", "i", "(humidity > 70)::INT"), ("heat_index", 4, HI), ("comfort_cdh", 4, f"greatest({HI} - 26.0, 0.0)"),
+     ("temp_delta_1h", 5, f"temperature - lag(temperature, 1) {win.LW}"), ("temp_delta_3h", 5, f"temperature - lag(temperature, 3) {win.LW}"), ("temp_rmean_6h", 5, f"avg(temperature) {win.lincl(6)}"), ("temp_rmean_24h", 5, f"avg(temperature) {win.lincl(24)}"), ("temp_rmax_24h", 5, f"max(temperature) {win.lincl(24)}"),
+     ("pressure_delta_3h", 5, f"pressure - lag(pressure, 3) {win.LW}"), ("ghi_rmean_3h", 5, f"avg(ghi) {win.lincl(3)}"), ("ghi_rstd_3h", 4, f"coalesce(stddev_samp(ghi) {win.lincl(3)}, 0.0)"), ("ghi_rmean_6h", 5, f"avg(ghi) {win.lincl(6)}"), ("ghi_lag_1h", 5, f"lag(ghi, 1) {win.LW}"), ("ghi_lag_24h", 5, f"lag(ghi, 24) {win.LW}"),
+     ("pm25_rmean_24h", 5, f"avg(pm2_5) {win.lincl(24)}"), ("pm25_rmean_72h", 5, f"avg(pm2_5) {win.lincl(72)}"), ("aod_rmean_24h", 5, f"avg(aod) {win.lincl(24)}"),
+     ("solar_producing", "i", "(ghi > 10)::INT"), ("solar_peak", "i", "(ghi > 500)::INT"), ("dni_ghi_ratio", 5, "CASE WHEN ghi > 10 THEN dni / ghi ELSE 0 END"), ("diffuse_fraction", 5, "least(greatest(CASE WHEN ghi > 10 THEN dhi / ghi ELSE 0 END, 0.0), 1.0)"),
+     ("clearsky_ratio", 5, "least(greatest(CASE WHEN clear_sky > 10 THEN ghi / clear_sky ELSE 0 END, 0.0), 1.5)"), ("cloud_ghi_interaction", 4, "cloud_cover / 100.0 * ghi"), ("aqi_poor", "i", "(pm2_5 > 35)::INT"), ("aqi_very_poor", "i", "(pm2_5 > 75)::INT"), ("aod_high", "i", "(aod > 0.4)::INT"), ("dust_event", "i", "(dust > 50)::INT")],
+    [("ghi_variability", 4, "CASE WHEN ghi_rmean_3h > 10 THEN ghi_rstd_3h / ghi_rmean_3h ELSE 0 END"), ("soiling_index", 5, "(pm25_rmean_72h / 100.0 + aod_rmean_24h + dust / 200.0) / 3.0")],
+]
+WEATHER_BASE = ["temperature", "humidity", "pressure", "cloud_cover", "precipitation", "wind_speed", "pm2_5", "aod", "dust", "ghi", "dni", "dhi", "clear_sky"]
+# Column, decimals and SQL of what it adds to a reading itself.
+HOURLY_LOAD = [[
+    *[(c, 5, e) for c, e in CYCLES], *[(f"demand_kwh_lag_{n}h", 5, f"lag(demand_kwh, {n}) {W}") for n in HOUR_LAGS],
+    *[(f"demand_kwh_{short}_{n}", 4 if short == "rstd" else 5, f"{what}(demand_kwh) {incl(n)}") for n in (3, 6, 12, 24, 48, 168) for short, what in (("rmean", "avg"), ("rstd", "stddev_samp"), ("rmin", "min"), ("rmax", "max"))],
+    ("daily_range_ratio", 5, "CASE WHEN max(demand_kwh) OVER (PARTITION BY meter_id, date_trunc('day', ts)) > 0 THEN (max(demand_kwh) OVER (PARTITION BY meter_id, date_trunc('day', ts)) - min(demand_kwh) OVER (PARTITION BY meter_id, date_trunc('day', ts))) / max(demand_kwh) OVER (PARTITION BY meter_id, date_trunc('day', ts)) ELSE 0 END"),
+    ("hourly_share", 5, "CASE WHEN sum(demand_kwh) OVER (PARTITION BY meter_id, date_trunc('day', ts)) > 0 THEN demand_kwh / sum(demand_kwh) OVER (PARTITION BY meter_id, date_trunc('day', ts)) ELSE 0 END"),
+    ("deviation_from_typical", 4, "CASE WHEN stddev_samp(demand_kwh) OVER (PARTITION BY meter_id, hour(ts)) > 0 THEN (demand_kwh - avg(demand_kwh) OVER (PARTITION BY meter_id, hour(ts))) / stddev_samp(demand_kwh) OVER (PARTITION BY meter_id, hour(ts)) ELSE 0 END")]]
+CROSS = [("cdh_x_business", "cdh * is_business_hour"), ("cdh_x_peak", "cdh * is_peak_hour"), ("cdh_x_weekend", "cdh * is_weekend"), ("ghi_x_business", "ghi * is_business_hour")]
+
+
+@query("pipe_features_hourly", ID + TEMPORAL_COLS + contract(HOURLY_LOAD) + " price:2 price_above_mean:i" + "".join(f" {c}:4" for c in WEATHER_BASE) + contract(HOURLY_WEATHER) + "".join(f" {c}:4" for c, _ in CROSS), f"""WITH p AS (SELECT *, (price > avg(price) OVER (PARTITION BY month))::INT AS price_above_mean FROM prices),
+    x AS (SELECT ts AS wts, location_id, * EXCLUDE (ts, location_id) FROM {nested('weather', HOURLY_WEATHER)}), r AS (SELECT * FROM {nested(f'({TEMPORAL})', HOURLY_LOAD)})
+    SELECT r.*, price, price_above_mean, x.* EXCLUDE (wts, location_id), {', '.join(f'{e} AS {c}' for c, e in CROSS)}
+    FROM r LEFT JOIN p ON p.month = r.month AND p.hour = r.hour LEFT JOIN x ON wts = r.ts AND x.location_id = {LOCATION.format(m='r.')} WHERE demand_kwh_lag_24h IS NOT NULL""")
 def _(t):
     return features.hourly_features(located(t.readings), t.weather, t.prices, KEY, longest_lag=24, place=PLACE)
 

@@ -65,9 +65,9 @@ def _(t):
 @query("win_momentum", ID + " diff_1:4 diff_4:4 rmean_14d:5 rmean_30d:5 trend_ratio:5", f"""SELECT *, rmean_14d / greatest(rmean_30d, 1.0) AS trend_ratio FROM (
     SELECT meter_id, ts, demand_kwh, lag(demand_kwh, 1) {W} - lag(demand_kwh, 2) {W} AS diff_1, lag(demand_kwh, 1) {W} - lag(demand_kwh, 5) {W} AS diff_4,
     CASE WHEN count(demand_kwh) {prev(672)} >= 48 THEN avg(demand_kwh) {prev(672)} END AS rmean_14d,
-    CASE WHEN count(demand_kwh) {prev(1440)} >= 48 THEN avg(demand_kwh) {prev(1440)} END AS rmean_30d FROM readings)""")
+    CASE WHEN count(demand_kwh) {prev(1440)} >= 48 THEN avg(demand_kwh) {prev(1440)} END AS rmean_30d FROM halves)""")
 def _(t):
-    return features.add_momentum(t.readings, KEY, "demand_kwh", diff_names=("diff_1", "diff_4"))
+    return features.add_momentum(t.halves, KEY, "demand_kwh", diff_names=("diff_1", "diff_4"))
 
 
 @query("win_rolling_median", ID + "".join(f" rmedian_{n}:5" for n in (6, 12, 48, 336)),
