@@ -130,3 +130,39 @@ def multistep_sql(sets: dict[str, list[str]], y: str) -> str:
     parts = ", ".join(f"""{ridge_ctes('tr', ['meter_id'], f, y, len(f), name=name)}, m_{name} AS (SELECT meter_id, avg(abs({y} - {linear(f)}) / {y} * 100.0) AS {name} FROM r JOIN {name} USING (meter_id) WHERE NOT train AND {y} > 0.5 GROUP BY 1)""" for name, f in sets.items())
     return f"""WITH RECURSIVE {TABLE}, r AS (SELECT *, row_number() OVER (PARTITION BY meter_id ORDER BY ts) <= floor(count(*) OVER (PARTITION BY meter_id) * 0.8) AS train FROM tbl), tr AS (SELECT * FROM r WHERE train), {parts}
     SELECT *, (mape_base - mape_weather) / nullif(mape_base, 0) * 100.0 AS gain_pct FROM {' JOIN '.join(f'm_{n}' + (' USING (meter_id)' if i else '') for i, n in enumerate(sets))}"""
+
+
+def _least_squares(name: str, src: str, k: int, weight: str, y: str, q: float) -> str:
+    """CTEs ending in ``name`` (meter_id, b): weighted least squares on 1, x1 .. xk with (2q - 1) X'1 added, by elimination."""
+    c = ["1.0"] + [f"x{i}" for i in range(1, k + 1)]
+    rows = ", ".join("[" + ", ".join(f"sum(_w * {a} * {b})" + (" + 1e-6 * sum(_w)" if i == j and i else "") for j, b in enumerate(c)) + f", sum(_w * {a} * _y) + ({2 * q - 1!r}) * sum({a})]" for i, a in enumerate(c))
+    n = k + 1
+    cell = "CASE WHEN i = step + 1 THEN m[step + 1][j] / m[step + 1][step + 1] ELSE m[i][j] - m[i][step + 1] * m[step + 1][j] / m[step + 1][step + 1] END"
+    return f"""{name}_e AS (SELECT meter_id, 0 AS step, [{rows}] AS m FROM (SELECT *, {weight} AS _w, {y} AS _y FROM {src}) GROUP BY meter_id
+        UNION ALL SELECT meter_id, step + 1, list_transform(range(1, {n + 1}), lambda i: list_transform(range(1, {n + 2}), lambda j: {cell})) FROM {name}_e WHERE step < {n}),
+    {name} AS (SELECT meter_id, list_transform(range(1, {n + 1}), lambda i: m[i][{n + 1}]) AS b FROM {name}_e WHERE step = {n})"""
+
+
+def heads_sql(features: list[str], y: str, cutoff: str, rounds: int = 6, eps: float = 1e-3) -> str:
+    """Ten and ninety percent heads learned up to the cutoff, over the rows of the training table after it."""
+    from statistics import NormalDist
+
+    k = len(features)
+    f = [f"coalesce(CAST({c} AS DOUBLE), 0.0)" for c in features]
+    line = lambda b: f"({b}[1] + " + " + ".join(f"{b}[{i + 1}] * x{i}" for i in range(1, k + 1)) + ")"
+    each = range(1, k + 1)
+    out = f"""WITH RECURSIVE {TABLE}, h AS (SELECT meter_id, CAST({y} AS DOUBLE) AS y, {', '.join(f'{e} AS f{i}' for i, e in enumerate(f, 1))} FROM tbl WHERE ts <= TIMESTAMP '{cutoff}'),
+    hs AS (SELECT meter_id, [{', '.join(f'avg(f{i})' for i in each)}] AS mean, [{', '.join(f'greatest(stddev_pop(f{i}), 1e-9)' for i in each)}] AS sd FROM h GROUP BY 1),
+    z AS MATERIALIZED (SELECT meter_id, y, {', '.join(f'(f{i} - mean[{i}]) / sd[{i}] AS x{i}' for i in each)} FROM h JOIN hs USING (meter_id)),
+    {_least_squares('mid', 'z', k, '1.0', 'y', 0.5)}, {_least_squares('far', '(SELECT z.*, b FROM z JOIN mid USING (meter_id))', k, '1.0', f"abs(y - {line('b')})", 0.5)}"""
+    for q in (0.1, 0.9):
+        n, move = f"h{round(q * 100)}", NormalDist().inv_cdf(q) * 1.2533141373155001
+        out += f""", {n}_0 AS (SELECT meter_id, list_transform(range(1, {k + 2}), lambda i: mid.b[i] + ({move!r}) * far.b[i]) AS b, greatest(far.b[1], 1e-9) AS w0 FROM mid JOIN far USING (meter_id))"""
+        for r in range(1, rounds + 1):
+            out += ", " + _least_squares(f"{n}_s{r}", f"(SELECT z.*, b, w0 FROM z JOIN {n}_{r - 1} USING (meter_id))", k, f"1.0 / (abs(y - {line('b')}) + w0 * {eps})", "y", q)
+            out += f", {n}_{r} AS MATERIALIZED (SELECT s.meter_id, s.b, w0 FROM {n}_s{r} s JOIN {n}_0 o ON o.meter_id = s.meter_id)"
+        out += f""", {n}_d AS (SELECT meter_id, quantile_cont(y - {line('b')}, {q}) AS d FROM z JOIN {n}_{rounds} USING (meter_id) GROUP BY 1),
+    {n} AS (SELECT meter_id, list_transform(range(1, {k + 1}), lambda i: b[i + 1] / sd[i]) AS slope, b[1] + d AS base, mean FROM {n}_{rounds} JOIN {n}_d USING (meter_id) JOIN hs USING (meter_id))"""
+    value = lambda n: f"greatest({n}.base + " + " + ".join(f"{n}.slope[{i}] * ({e} - {n}.mean[{i}])" for i, e in enumerate(f, 1)) + ", 0.0)"
+    return out + f""" SELECT t.meter_id, ts, {y}, least({value('h10')}, {value('h90')}) AS q10_kwh, greatest({value('h10')}, {value('h90')}) AS q90_kwh
+    FROM tbl t LEFT JOIN h10 ON h10.meter_id = t.meter_id LEFT JOIN h90 ON h90.meter_id = t.meter_id WHERE ts > TIMESTAMP '{cutoff}'"""

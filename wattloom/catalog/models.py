@@ -136,7 +136,7 @@ def _(t):
 HEAD_FEATURES = ["lag_1", "lag_24", "lag_168", "rmean_24", "hour_sin", "hour_cos", "temperature"]
 
 
-@query("fit_quantile_heads", "meter_id:s ts:t demand_kwh:4 q10_kwh:3 q90_kwh:3")
+@query("fit_quantile_heads", "meter_id:s ts:t demand_kwh:4 q10_kwh:2 q90_kwh:2", ms.heads_sql(HEAD_FEATURES, Y, CUTOFF))
 def _(t):
     """Ten and ninety percent heads learned up to the cutoff, over everything after it."""
     df = cut_lineage(table(t), "head-table")
