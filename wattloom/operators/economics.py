@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from wattloom import constants as K
 from wattloom.functions.labels import health
@@ -67,53 +70,60 @@ def month_spread(prices: DataFrame, n: int = 4) -> DataFrame:
     return out.withColumns({"spread": F.col("avg_discharge") - F.col("avg_charge"), "landed_spread": F.col("avg_discharge_landed") - F.col("avg_charge_landed")})
 
 
-def npv(flows: Column, rate: Column) -> Column:
-    discounted = F.transform(flows, lambda x, t: x / F.pow(1.0 + rate, t.cast("double")))
-    return F.aggregate(discounted, F.lit(0.0).cast("double"), lambda a, x: a + x)
+def present_values(flows: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """Value of each column of flows (one row a year) at the rate of that column."""
+    growth, factor, total = 1.0 + rate, np.ones_like(rate), np.zeros_like(rate)
+    for flow in flows:
+        total += flow / factor
+        factor *= growth
+    return total
+
+
+def bisect_rates(flows: np.ndarray, steps: int) -> np.ndarray:
+    """Rate in [-0.99, 1] at which each column of flows is worth nothing, to a hundredth; the last midpoint where none is met."""
+    out, at = np.zeros(flows.shape[1]), np.arange(flows.shape[1])
+    lo, hi = np.full(len(at), -0.99), np.full(len(at), 1.0)
+    at_lo = present_values(flows, lo)
+    for _ in range(steps):
+        mid = (lo + hi) / 2.0
+        value = present_values(flows, mid)
+        out[at] = mid
+        left = at_lo * value < 0
+        stuck = (mid == lo) | (mid == hi)  # no number lies between: the midpoint is either end from here on
+        lo, hi, at_lo = np.where(left, lo, mid), np.where(left, mid, hi), np.where(left, at_lo, value)
+        go = ~((np.abs(value) < 1e-2) | stuck)
+        if not go.all():
+            at, lo, hi, at_lo, flows = at[go], lo[go], hi[go], at_lo[go], flows[:, go]
+        if not len(at):
+            break
+    return out
 
 
 def irr(flows: Column, steps: int = 100) -> Column:
     """Internal rate of return by bisection in [-0.99, 1]; null without an initial outlay."""
-    lo, hi = F.lit(-0.99), F.lit(1.0)
-    start = F.struct(lo.alias("lo"), hi.alias("hi"), npv(flows, lo).alias("at_lo"), F.lit(None).cast("double").alias("root"), F.lit(0.0).alias("mid"))
 
-    def step(s: Column, _: Column) -> Column:
-        def judge(m: Column) -> Column:
-            found = F.abs(m["v"]) < 1e-2
-            left = s["at_lo"] * m["v"] < 0
-            nxt = F.struct(
-                F.when(left, s["lo"]).otherwise(m["x"]).alias("lo"), F.when(left, m["x"]).otherwise(s["hi"]).alias("hi"),
-                F.when(left, s["at_lo"]).otherwise(m["v"]).alias("at_lo"), F.when(found, m["x"]).alias("root"), m["x"].alias("mid"))
-            return nxt
+    @F.arrow_udf(T.DoubleType())
+    def rates(paths: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(paths), 0).to_numpy(zero_copy_only=False)
+        years = np.arange(sizes.max(initial=0))[:, None] < sizes  # shorter paths end in years without a flow
+        table = np.zeros(years.shape)
+        table.T[years.T] = pc.fill_null(pc.list_flatten(paths), 0.0).to_numpy(zero_copy_only=False)
+        with np.errstate(all="ignore"):
+            return pa.array(bisect_rates(table, steps))
 
-        mid = (s["lo"] + s["hi"]) / 2.0
-        probe = F.transform(F.array(F.struct(mid.alias("x"), npv(flows, mid).alias("v"))), judge)[0]
-        return F.when(s["root"].isNotNull(), s).otherwise(probe)
-
-    folded = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: F.coalesce(s["root"], s["mid"]))
-    return F.when(flows[0] < 0, folded)
+    return F.when(F.get(flows, F.lit(0)) < 0, rates(flows))
 
 
 def project_irr(df: DataFrame, capex: str, annual: str, years: int = 10, discount: float = 0.10, escalation_pct: float = 2.0, degradation_pct: float = 2.5) -> DataFrame:
     """Rate of return in percent, present value and simple payback of every project row."""
     ratio = (1.0 - degradation_pct / 100.0, 1.0 + escalation_pct / 100.0)
-
-    def year(y: Column) -> Column:
-        y = y.cast("double")
-        return F.col(annual) * F.pow(F.lit(ratio[0]), y) / F.pow(F.lit(ratio[1]), y)
-
-    flows = F.concat(F.array(-F.col(capex)), F.transform(F.sequence(F.lit(1), F.lit(years)), year))
-    df = df.withColumn("_f", flows)
-    start = F.struct(F.lit(0.0).alias("cum"), F.lit(-1).alias("y"), F.lit(None).cast("int").alias("hit"))
-
-    def add(s: Column, x: Column) -> Column:
-        cum, y = s["cum"] + x, s["y"] + 1
-        return F.struct(cum.alias("cum"), y.alias("y"), F.coalesce(s["hit"], F.when((cum >= 0) & (y > 0), y)).alias("hit"))
-
-    return df.withColumns({
-        "irr_pct": irr(F.col("_f")) * 100.0, "npv_inr": npv(F.col("_f"), F.lit(discount)),
-        "payback_years": F.aggregate("_f", start, add, lambda s: s["hit"].cast("double")),
-    }).drop("_f")
+    flows = [-F.col(capex), *[F.col(annual) * ratio[0] ** y / ratio[1] ** y for y in range(1, years + 1)]]
+    df = df.withColumn("_f", F.array(*flows))
+    value, cum, hits = F.lit(0.0), F.lit(0.0), []
+    for y in range(years + 1):
+        value, cum = value + F.col("_f")[y] / (1.0 + discount) ** y, cum + F.col("_f")[y]
+        hits += [F.when(cum >= 0, F.lit(float(y)))] if y else []
+    return df.withColumns({"irr_pct": irr(F.col("_f")) * 100.0, "npv_inr": value, "payback_years": F.coalesce(*hits)}).drop("_f")
 
 
 def irr_heatmap(sites: DataFrame, daily_net: str, capacities: list[float], durations: list[int], reference_mwh: float = 1.0, capex_per_kwh: float = 25000.0, years: int = 10) -> DataFrame:
