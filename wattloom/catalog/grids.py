@@ -97,7 +97,7 @@ def _(t):
     SELECT meter_id, feature, gain FROM k WHERE CASE WHEN k < 8 THEN r <= 10 ELSE hit END""")
 def _(t):
     g = t.readings.groupBy("meter_id", F.concat(F.lit("h"), F.hour("ts").cast("string")).alias("feature")).agg(
-        F.when(F.count("*") >= 3, F.greatest(F.corr("demand_kwh", F.unix_seconds("ts").cast("double")), F.lit(0.0))).otherwise(0.0).alias("gain"))
+        F.when(F.count("*") >= 3, F.greatest(ranking.correlation("demand_kwh", F.unix_seconds("ts").cast("double")), F.lit(0.0))).otherwise(0.0).alias("gain"))
     return ranking.select_features(g, KEY, keep_min=10, floor=8)
 
 

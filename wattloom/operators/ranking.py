@@ -23,6 +23,12 @@ def sort_meters(df: DataFrame) -> DataFrame:
     return df.withColumn("tier_rank", F.when(rank > 0, rank - 1).otherwise(9)).orderBy("tier_rank", "mape", "msn")
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Correlation of a group; not a number where either side does not vary (``F.corr`` stops the job there, even for groups that are not asked for)."""
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread != 0, F.covar_pop(x, y) / spread).otherwise(F.lit(float("nan")))
+
+
 def select_features(gains: DataFrame, keys: list[str], keep_min: int = 25, keep_frac: float = 0.55, floor: int = 20) -> DataFrame:
     """The strongest features per key with positive gain; the top ``keep_min`` where too few remain."""
     w = Window.partitionBy(*keys)
