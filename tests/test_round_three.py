@@ -65,3 +65,23 @@ def test_groups_that_do_not_vary_have_no_correlation(spark, tmp_path):
     folder = small_tables(spark, tmp_path, events=events)
     got = QUERIES["top_feature_select"](spark, folder).toPandas()
     assert len(got) == 8 and compare(got, duck(folder).execute(ORACLES["top_feature_select"]).df()) == ""
+
+
+def test_a_price_that_equals_the_mean_is_not_above_it(spark, tmp_path):
+    """Prices of a month whose sum in doubles depends on the order of the rows."""
+    prices = [2.1, 2.2, 2.3, 2.4, 2.5, 2.6, 2.7, 6.8, 7.4, 2.9, 3.39]
+    prices += [round(sum(prices) / len(prices), 2)]
+    for order in range(8):
+        rows = [(1, int(h), float(prices[h])) for h in np.random.default_rng(order).permutation(len(prices))]
+        df = spark.createDataFrame(rows, "month int, hour int, price double").coalesce(1)
+        got = {r.hour: r.up for r in df.select("hour", features.above_mean("price", ["month"]).alias("up")).collect()}
+        assert got == {h: int(round(p * 100) * len(prices) > sum(round(p * 100) for p in prices)) for h, p in enumerate(prices)}
+    assert got[len(prices) - 1] == 0
+
+
+def test_price_above_mean_on_a_month_with_a_tie(spark):
+    """At 0.1 the price of hour 15 of February is the mean of its month."""
+    folder = "/root/testdata/sf0.1"
+    got = QUERIES["win_price_above_mean"](spark, folder).toPandas()
+    assert got.set_index(["month", "hour"]).loc[(2, 15)].tolist() == [6.18, 0]
+    assert compare(got, duck(folder).execute(ORACLES["win_price_above_mean"]).df()) == ""

@@ -185,9 +185,9 @@ def _(t):
     return features.add_consumption_shape(t.readings, KEY, "demand_kwh")
 
 
-@query("win_price_above_mean", "month:i hour:i price:2 price_above_mean:i", "SELECT *, (price > avg(price) OVER (PARTITION BY month))::INT AS price_above_mean FROM prices")
+@query("win_price_above_mean", "month:i hour:i price:2 price_above_mean:i", "SELECT *, (CAST(price AS DECIMAL(18, 2)) * count(price) OVER (PARTITION BY month) > sum(CAST(price AS DECIMAL(18, 2))) OVER (PARTITION BY month))::INT AS price_above_mean FROM prices")
 def _(t):
-    return t.prices.withColumn("price_above_mean", (F.col("price") > F.avg("price").over(Window.partitionBy("month"))).cast("int"))
+    return t.prices.withColumn("price_above_mean", features.above_mean("price", ["month"]))
 
 
 @query("win_price_percentile", "month:i hour:i price:2 price_percentile:6", "SELECT *, (rank() OVER (PARTITION BY month ORDER BY price) - 1) / count(*) OVER (PARTITION BY month) AS price_percentile FROM prices")
