@@ -48,6 +48,30 @@ def test_rates_are_not_interpreted_row_by_row(spark, name):
     assert "ArrowEvalPython" in plan and "lambdafunction" not in plan
 
 
+def test_the_first_of_two_level_features_is_taken():
+    """Gains of multiples of one feature differ by rounding only."""
+    a = np.array([[1.01, 1.0, 0.2], [1.0, 1.01, 0.2], [0.2, 0.2, 1.01]])
+    for noise in (-1e-13, 0.0, 1e-13):
+        chosen, _ = models.select_and_solve(a, np.array([0.5, 0.5 + noise, 0.1]), np.ones(3, dtype=bool), 3, 0.0)
+        assert chosen[0] == 0
+    assert models.select_and_solve(a, np.array([0.5, 0.51, 0.1]), np.ones(3, dtype=bool), 1, 0.0)[0] == [1]
+
+
+def test_a_fit_keeps_its_digits_where_values_vary_little(spark):
+    """A feature far from 0 that moves by thousandths, of which the second is a multiple; in any order of rows."""
+    rng = np.random.default_rng(6)
+    x, e = 1e4 + rng.uniform(0, 1e-2, 400), rng.normal(0, 1, 400)
+    y = 5e4 + 3e3 * (x - x.mean()) + e
+    z = (x - x.mean()) / x.std()
+    slope = (z @ (y - y.mean()) / 400) / 1.01 / x.std()
+    for seed in range(3):
+        order = np.random.default_rng(seed).permutation(400)
+        df = spark.createDataFrame([("m", float(x[i]), float(2 * x[i]), float(y[i])) for i in order], "meter_id string, a double, b double, y double")
+        for got in (models.fit_ridge(df, ["meter_id"], ["a", "b"], "y", keep_min=1, keep_share=0.0).first(), training.fit(df, ["meter_id"], ["a", "b"], "y", keep_min=1, keep_share=0.0).first()):
+            assert got.features == ["a"] and got.coef[1] == pytest.approx(slope, rel=1e-9)
+            assert got.coef[0] == pytest.approx(y.mean() - slope * x.mean(), rel=1e-9)
+
+
 def small_tables(spark, folder, **tables):
     """The smallest tables with some of them replaced."""
     for path in sorted(pathlib.Path(SMALL).glob("*.parquet")):
