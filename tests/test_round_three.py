@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from check import compare, duck
 from wattloom.catalog import ORACLES, QUERIES
-from wattloom.operators import economics
+from wattloom.operators import economics, frames
 from wattloom.plans import features, models, training
 
 SMALL = "/root/testdata/sf0.001"
@@ -109,3 +109,12 @@ def test_price_above_mean_on_a_month_with_a_tie(spark):
     got = QUERIES["win_price_above_mean"](spark, folder).toPandas()
     assert got.set_index(["month", "hour"]).loc[(2, 15)].tolist() == [6.18, 0]
     assert compare(got, duck(folder).execute(ORACLES["win_price_above_mean"]).df()) == ""
+
+
+def test_rolling_moments_are_one_window(series):
+    """All widths in one pass, so that wide rows are not copied once per step."""
+    names = {6: ("m6", "s6"), 336: ("m336", None), 1440: ("m1440", "s1440")}
+    df = frames.with_rolling_moments(series([1.0, 2.0, 4.0]), ["meter_id"], "v", list(names), names, min_periods={1440: 2})
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+    rows = df.orderBy("i").collect()
+    assert [r.m6 for r in rows] == [None, 1.0, 1.5] and [r.s1440 for r in rows] == [None, None, pytest.approx(0.5**0.5)]
