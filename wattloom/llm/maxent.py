@@ -14,7 +14,6 @@ bounds a worker's memory; beyond that more features share a row.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,13 +47,32 @@ END = b"\n"  # no word holds white space
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD6E8FEB86659FD93)
 _HALF = np.uint64(32)
+_LOW = np.uint64(0xFFFFFFFF)
+_ONES = np.ones(CLASS, np.float32)
+#: Two weights as one number to add, and a row as one value to copy.
+_PAIR = np.complex64
+_ROW = np.dtype((np.void, 4 * CLASS))
 #: Seed of Spark's xxhash64.
 SEED = 42
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    """Words in ASCII lower case, split at ASCII white space."""
-    return (text or b"").lower().split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of texts, END last; the place of each token among them, and the number of tokens of each text.
+
+    Words are in ASCII lower case, split at ASCII white space; a null text has no word, and an end follows each text.
+    """
+    texts = pc.fill_null(texts.cast(pa.binary()).view(pa.string()), "")
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = split.flatten().dictionary_encode()
+    distinct, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    text = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+    none = pc.index(distinct, "").as_py()  # what white space at either side of a text leaves
+    if none >= 0:
+        text, codes = text[codes != none], codes[codes != none]
+    lengths = np.bincount(text, minlength=len(texts)) + 1
+    out = np.full(len(codes) + len(texts), len(distinct), np.int64)
+    out[np.arange(len(codes)) + text] = codes
+    return pa.concat_arrays([distinct.view(pa.binary()), pa.array([END], pa.binary())]), out, lengths
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -62,18 +80,22 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+        held: list[pa.Table] = []
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
+
         for batch in batches:
-            texts = pc.cast(batch.column(0), pa.binary()).to_pylist()
-            held[END] += len(texts)
-            for text in texts:
-                held.update(words_of(text))
-                if len(held) >= HELD:
-                    yield out()
-                    held.clear()
+            distinct, codes, _ = words_of(batch.column(0))
+            n = np.bincount(codes, minlength=len(distinct))
+            held.append(pa.table({"word": distinct, "n": pa.array(n, pa.int64())}).filter(pa.array(n > 0)))
+            if sum(map(len, held)) >= HELD:
+                held = [summed()]
+                if 2 * len(held[0]) >= HELD:
+                    yield from held[0].to_batches()
+                    held = []
         if held:
-            yield out()
+            yield from summed().to_batches()
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -148,6 +170,8 @@ class Model:
         at = dict(zip(frequent, counts, strict=True))
         mass = np.concatenate([np.array([at[w] for w in vocabulary], float), np.maximum(masses, 1.0)])
         self.first, self.node, self.child, self.bias = _tree(mass)
+        #: What a step adds to the hash of a history.
+        self.mark = (self.node.astype(np.uint64) + np.uint64(1)) * _Q
         #: Hashes that stand for leaves where only these are given.
         self.leaf_hash = np.concatenate([_hash64(vocabulary) if vocabulary else np.zeros(0, np.uint64), (np.arange(self.buckets).astype(np.uint64) + np.uint64(2)) * _Q])
         self.rows = min(ROWS_MOST, max(ROWS_LEAST, total // TOKENS_A_ROW)) // BLOCK * BLOCK
@@ -178,60 +202,84 @@ class Model:
         at = np.fromiter(map(memory.__getitem__, words), np.int64, len(words))
         return self.seen[0][at], self.seen[1][at], self.seen[2][at]
 
-    def features(self, hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Hashed history of each token, one row for each feature; histories do not cross texts."""
+    def histories(self, hashes: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+        """Tokens in chunks, with the hashed history of each in one row for each feature; histories do not cross texts."""
         start = np.repeat(np.cumsum(lengths) - lengths, lengths)
-        at = np.arange(len(hashes)) - start
-        back = [np.where(at >= k, np.concatenate([np.zeros(k, np.uint64), hashes])[: len(hashes)], np.uint64(1)) for k in (1, 2, 3)]
-        raw = [back[0], back[0] * _Q + back[1], back[1], back[0] * _Q + back[2]]
-        mixed = [(h ^ (h >> _HALF)) * _P + np.uint64(k << 60) for k, h in enumerate(raw, 1)]
-        return np.stack([h ^ (h >> _HALF) for h in mixed])
+        for lo in range(0, len(hashes), CHUNK):
+            hi = min(len(hashes), lo + CHUNK)
+            at = np.arange(lo, hi) - start[lo:hi]
+            back = []
+            for k in (1, 2, 3):
+                own = np.ones(hi - lo, np.uint64)
+                own[max(0, k - lo) :] = hashes[max(0, lo - k) : max(0, hi - k)]
+                own[at < k] = 1
+                back.append(own)
+            raw = [back[0], back[0] * _Q + back[1], back[1], back[0] * _Q + back[2]]
+            mixed = [(h ^ (h >> _HALF)) * _P + np.uint64(k << 60) for k, h in enumerate(raw, 1)]
+            yield slice(lo, hi), np.stack([h ^ (h >> _HALF) for h in mixed])
 
     def steps(self, ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """First step of each token, children taken, weight rows of each step by feature, and logits of its children."""
-        n = self.first[ids + 1] - self.first[ids]
-        first = np.cumsum(n) - n
-        token = np.repeat(np.arange(len(ids)), n)
-        at = np.arange(len(token)) - first[token] + self.first[ids][token]
-        node = self.node[at]
-        x = (h[:, token] ^ ((node.astype(np.uint64) + np.uint64(1)) * _Q)) * _P
-        rows = ((x >> _HALF) * np.uint64(self.rows) >> _HALF).astype(np.int64)
-        logits = self.bias[node]
+        begin = self.first.take(ids)
+        n = self.first.take(ids + 1) - begin
+        end = np.cumsum(n)
+        first = end - n
+        at = np.arange(end[-1]) + np.repeat(begin - first, n)
+        x = h.take(np.repeat(np.arange(len(ids)), n), axis=1)
+        x ^= self.mark.take(at)
+        x *= _P
+        x >>= _HALF
+        x *= np.uint64(self.rows)
+        x >>= _HALF
+        rows = x.view(np.int64)
+        logits = self.bias.take(self.node.take(at), axis=0)
+        picked = np.empty_like(logits)
         for r in rows:
-            logits += self.weights[r]
-        return first, self.child[at].astype(np.int64), rows, logits
+            self.weights.take(r, axis=0, out=picked, mode="clip")
+            logits += picked
+        return first, self.child.take(at).astype(np.int64), rows, logits
 
     def log10(self, ids: np.ndarray, lengths: np.ndarray, hashes: np.ndarray | None = None) -> np.ndarray:
         """log10 probability of each token; of a word outside the vocabulary that of its bucket."""
-        h = self.features(self.leaf_hash[ids] if hashes is None else hashes, lengths)
         out = np.zeros(len(ids))
-        for lo in range(0, len(ids), CHUNK):
-            first, child, _, logits = self.steps(ids[lo : lo + CHUNK], h[:, lo : lo + CHUNK])
-            logits -= logits.max(1, keepdims=True)
-            got = logits[np.arange(len(child)), child] - np.log(np.exp(logits).sum(1))
-            out[lo : lo + CHUNK] = np.add.reduceat(got, first, dtype=np.float64)
+        for own, h in self.histories(self.leaf_hash[ids] if hashes is None else hashes, lengths):
+            first, child, _, logits = self.steps(ids[own], h)
+            got = logits.reshape(-1).take(np.arange(len(child)) * CLASS + child)
+            # a weight is at most STEP a round, so sums of exponents stay far from the ends of a float
+            np.exp(logits, out=logits)
+            out[own] = np.add.reduceat(got - np.log(logits @ _ONES), first, dtype=np.float64)
         return out / np.log(10)
 
     def add_gradient(self, to: np.ndarray, ids: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> None:
         """Add the gradient of the log probability by the weights, summed over tokens."""
-        h, flat, columns = self.features(hashes, lengths), to.reshape(-1), np.arange(CLASS)
-        for lo in range(0, len(ids), CHUNK):
-            _, child, rows, p = self.steps(ids[lo : lo + CHUNK], h[:, lo : lo + CHUNK])
-            p -= p.max(1, keepdims=True)
+        for own, h in self.histories(hashes, lengths):
+            _, child, rows, p = self.steps(ids[own], h)
+            n = len(p)
             np.exp(p, out=p)
-            p /= -p.sum(1, keepdims=True)
-            p[np.arange(len(p)), child] += 1
-            for r in rows:
-                np.add.at(flat, (r[:, None] * CLASS + columns).ravel(), p.ravel())
+            p *= (-1 / (p @ _ONES))[:, None]
+            p.reshape(-1)[np.arange(n) * CLASS + child] += 1
+            # steps in order of their rows: what shares a row is added up first, so that a row is written once
+            order = np.sort((rows.view(np.uint64) << _HALF | np.arange(n, dtype=np.uint64)).ravel())
+            row, step = (order >> _HALF).view(np.int64), (order & _LOW).view(np.int64)
+            start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            size = np.diff(start, append=len(row))
+            g = p.take(step.take(start), axis=0)
+            if len(shared := np.flatnonzero(size > 1)):
+                size_of = size[shared]
+                own = p.view(_PAIR).take(step[np.repeat(size > 1, size)], axis=0)
+                g[shared] = np.add.reduceat(own, np.cumsum(size_of) - size_of, axis=0).view(np.float32)
+            row = row.take(start)
+            g += to.take(row, axis=0)
+            to.view(_ROW)[row] = g.view(_ROW)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"vocabulary": {}, "memory": {}, "seen": tuple(v[:0] for v in self.seen)}
 
 
-def _batch_ids(model: Model, texts: list[bytes | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    words = [words_of(t) + [END] for t in texts]
-    lengths = np.array([len(w) for w in words], np.int64)
-    return words, lengths, *model.look_up([w for own in words for w in own])
+def _batch_ids(model: Model, texts: list[bytes | None] | pa.Array) -> tuple[tuple[pa.Array, np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words and places of the tokens among them, tokens of each text; leaf, place in the counts and hash of each token."""
+    distinct, codes, lengths = words_of(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary()))
+    return (distinct, codes), lengths, *(v.take(codes) for v in model.look_up(distinct.to_pylist()))
 
 
 def train(docs: DataFrame, vocabulary: int | None = None, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
@@ -264,7 +312,7 @@ def train(docs: DataFrame, vocabulary: int | None = None, rounds: int = ROUNDS)
             own, tokens = sent.value, 0
             g = np.zeros_like(own.weights)
             for batch in batches:
-                _, lengths, ids, _, hashes = _batch_ids(own, pc.cast(batch.column(0), pa.binary()).to_pylist())
+                _, lengths, ids, _, hashes = _batch_ids(own, batch.column(0))
                 own.add_gradient(g, ids, lengths, hashes)
                 tokens += len(ids)
             for at in range(0, len(g) if tokens else 0, BLOCK):
@@ -304,7 +352,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
         names = ["row", "doc_id", "n_tokens", "n_known", "logs", "model_log", "word", "times"]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64())
         for batch in batches:
-            words, lengths, ids, place, hashes = _batch_ids(own, pc.cast(batch.column(1), pa.binary()).to_pylist())
+            (distinct, codes), lengths, ids, place, hashes = _batch_ids(own, batch.column(1))
             first = np.cumsum(lengths) - lengths
             total = lambda v: np.add.reduceat(v, first)
             logs, known = own.logs[place], place < len(own.keys)
@@ -316,15 +364,11 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
             row += n
             main = [rows, batch.column(0), lengths, total(known.astype(np.int64)), total(logs), total(model_log), None, None]
             yield pa.RecordBatch.from_arrays([pa.nulls(n, k) if v is None else pa.array(v, k) if isinstance(v, np.ndarray) else v for v, k in zip(main, kinds, strict=True)], names)
-            left: tuple[list, list, list] = ([], [], [])
-            for i in np.flatnonzero(total((~known).astype(np.int64))):
-                unknown = ~known[first[i] : first[i] + lengths[i]]
-                for w, times in Counter(words[i][k] for k in np.flatnonzero(unknown)).items():
-                    for values, value in zip(left, (rows[i], w, times), strict=True):
-                        values.append(value)
-            if left[0]:
-                m = len(left[0])
-                side = [pa.array(left[0], pa.int64()), *(pa.nulls(m, k) for k in kinds[1:6]), pa.array(left[1], pa.binary()), pa.array(left[2], pa.int64())]
+            if not known.all():
+                text = np.repeat(np.arange(n), lengths)[~known]
+                pair, times = np.unique(text * len(distinct) + codes[~known], return_counts=True)
+                m = len(pair)
+                side = [pa.array(rows[pair // len(distinct)], pa.int64()), *(pa.nulls(m, k) for k in kinds[1:6]), distinct.take(pa.array(pair % len(distinct))), pa.array(times, pa.int64())]
                 yield pa.RecordBatch.from_arrays(side, names)
 
     parts = docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, logs double, model_log double, word binary, times long")
