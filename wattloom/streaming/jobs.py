@@ -6,11 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wattloom.operators import ami
 from wattloom.session import scratch_path
 
+#: States over which the keys of ``frozen_runs_any_order`` are dealt; a stream keeps the number it began with.
+RUN_GROUPS = 512
+
 
 def read_events(spark: SparkSession, folder: str, pattern: str = "events.parquet", files_per_trigger: int | None = None) -> DataFrame:
     """Event files as a stream with an event-time ``ts`` that watermarks accept."""
@@ -121,37 +125,58 @@ def frozen_runs(events: DataFrame, key: str, value: str, min_run: int = 3, ts: s
     return slim.groupBy(key).applyInPandasWithState(update, out, "last double, run long", "append", "NoTimeout")
 
 
-def frozen_runs_any_order(events: DataFrame, key: str, value: str, delay: str, min_run: int = 3, ts: str = "ts") -> DataFrame:
+def _packed(rows: pd.DataFrame) -> bytes:
+    table, out = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_all().to_pandas()
+
+
+def frozen_runs_any_order(events: DataFrame, key: str, value: str, delay: str, min_run: int = 3, ts: str = "ts", groups: int = RUN_GROUPS) -> DataFrame:
     """``frozen_runs`` for rows that arrive in any order within ``delay``.
 
-    A row waits in the state of its key until the watermark has passed it; then it extends or ends the run before it.  A timer
-    at the oldest waiting row wakes keys without new rows.  The state of a key is its open run and the rows of ``delay``.
-    Rows of one time are ordered by value.
+    A row waits in the state until the watermark has passed it; then it extends or ends the run before it.  Keys are dealt by
+    hash over ``groups`` states, so that calls do not grow with the keys; a null key has a state of its own.  A timer at the
+    oldest waiting row wakes a state without new rows.  A state holds its keys' open runs and the rows of ``delay``, both as
+    Arrow tables.  Rows of one time are ordered by value.
     """
     kind = events.schema[key].dataType.simpleString()
     out = f"{key} {kind}, {ts} timestamp, {value} double, run_length bigint, is_frozen boolean"
 
     def update(group, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, run, times, values = state.get if state.exists else (None, 0, [], [])
-        for rows in [] if state.hasTimedOut else chunks:
-            times = [*times, *rows[ts].astype("datetime64[us]").astype("int64").tolist()]
-            values = [*values, *rows[value].tolist()]
-        passed = state.getCurrentWatermarkMs() * 1000
-        waiting = sorted(zip(times, values))
-        ready = [r for r in waiting if r[0] < passed]
-        lengths = []
-        for _, v in ready:
-            run = run + 1 if v == last else 0
-            last = v
-            lengths.append(run)
-        waiting = waiting[len(ready) :]
-        state.update((last, run, [r[0] for r in waiting], [r[1] for r in waiting]))
-        if waiting:
-            state.setTimeoutTimestamp(max(waiting[0][0] // 1000, passed // 1000) + 1)
-        if not ready:
-            return
-        rows = pd.DataFrame({key: [group[0]] * len(ready), ts: pd.to_datetime([r[0] for r in ready], unit="us"), value: [r[1] for r in ready], "run_length": lengths})
-        yield rows.assign(is_frozen=rows["run_length"] >= min_run)
+        held = [_unpacked(bytes(b)) for b in state.get] if state.exists else []
+        came = [] if state.hasTimedOut else [pd.DataFrame({"k": c[key], "t": c[ts].astype("datetime64[us]").astype("int64"), "v": c[value].astype("float64")}) for c in chunks]
+        rows = pd.concat([*held[1:], *came], ignore_index=True)
+        keys = pd.concat([held[0]["k"], rows["k"]], ignore_index=True) if held else rows["k"]
+        code, names = pd.factorize(keys, use_na_sentinel=False)
+        n_open = len(keys) - len(rows)
+        last, run = np.full(len(names), np.nan), np.full(len(names), -1, np.int64)
+        if n_open:
+            last[code[:n_open]], run[code[:n_open]] = held[0]["v"], held[0]["run"]
+        code, passed = code[n_open:], state.getCurrentWatermarkMs() * 1000
+        early = np.flatnonzero(rows["t"].to_numpy() < passed)
+        early = early[np.lexsort((rows["v"].to_numpy()[early], rows["t"].to_numpy()[early], code[early]))]
+        ready, c = rows.iloc[early], code[early]
+        v, at = ready["v"].to_numpy(), np.arange(len(early))
+        first = np.concatenate([[True], c[1:] != c[:-1]])[: len(c)]
+        same = v == np.where(first, last[c], np.concatenate([[np.nan], v[:-1]])[: len(v)])
+        start = np.maximum.accumulate(np.where(first | ~same, at, 0))
+        lengths = at - start + np.where(first & same, run[c] + 1, 0)[start]
+        ends = np.flatnonzero(np.concatenate([c[1:] != c[:-1], [True]])[: len(c)])
+        last[c[ends]], run[c[ends]] = v[ends], lengths[ends]
+        on = run >= 0
+        opened = pd.DataFrame({"k": names[on], "v": last[on], "run": run[on]})
+        waiting = rows[rows["t"] >= passed]
+        state.update((_packed(opened), _packed(waiting)))
+        if len(waiting):
+            state.setTimeoutTimestamp(max(int(waiting["t"].min()) // 1000, passed // 1000) + 1)
+        if len(early):
+            yield pd.DataFrame({key: ready["k"].to_numpy(), ts: pd.to_datetime(ready["t"].to_numpy(), unit="us"), value: v, "run_length": lengths, "is_frozen": lengths >= min_run})
 
     slim = events.select(key, ts, F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull() | F.col(key).isNull()).withWatermark(ts, delay)
-    return slim.groupBy(key).applyInPandasWithState(update, out, "last double, run long, times array<long>, vals array<double>", "append", "EventTimeTimeout")
+    dealt = slim.withColumn("_group", F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(key), F.lit(groups))))
+    return dealt.groupBy("_group").applyInPandasWithState(update, out, "open binary, waiting binary", "append", "EventTimeTimeout")
