@@ -144,8 +144,8 @@ def _parts(docs: DataFrame, tokenizer: str, end_id: int, file_tokens: int) -> Da
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["part", "seq", "docs", "lengths", "width", "ids"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = words.text(text or "") + end
+            for doc, ids in zip(batch.column(0).to_pylist(), words.texts(batch.column(1)), strict=True):
+                ids += end
                 held.append((doc, ids))
                 size += len(ids) // 4
                 if size >= file_tokens:

@@ -6,10 +6,13 @@ Texts where that does not hold (added tokens, other white space next to ASCII wh
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from wattloom.llm.support import take_memory
 
@@ -18,6 +21,7 @@ WORDS_KEPT = 400_000
 
 _ENCODERS: dict[tuple[str, str], "Words"] = {}
 _OTHER_SPACE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+_OTHER_SPACE_RE2 = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _BYTE_WORDS = re.compile(rb" ?\S+|\s+(?!\S)|\s")
 _MARKS = (b"\xcc", b"\xcd")
 
@@ -26,6 +30,7 @@ class Words(dict):
     """UTF-8 word -> little-endian unsigned 32-bit ids."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallel part
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -88,11 +93,85 @@ class DroppedSpace(Words):
 class ByteLevel(Words):
     """Byte-level vocabulary, where a word holds the one space before it."""
 
+    def __init__(self, path: str):
+        super().__init__(path)
+        vocabulary = self.tokenizer.get_vocab()
+        #: Bytes of each token: one for each character of its name.
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.width[list(vocabulary.values())] = [len(t) for t in vocabulary]
+
     def text(self, text: str) -> bytes:
         if _OTHER_SPACE.search(text) or any(a in text for a in self.added):
             return self.direct(text)
         return self.joined(_BYTE_WORDS.findall(text.encode("utf-8")))
 
+    def learn(self, words: list[bytes]) -> None:
+        """Remember words that begin with a space, encoded as one text; the bytes of the tokens tell where each ends."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b"".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        ends, read = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))), np.cumsum(self.width[ids])
+        at = np.searchsorted(read, ends)
+        if len(read) and read[-1] == ends[-1] and (read[at] == ends).all():
+            raw, stops = ids.tobytes(), (4 * (at + 1)).tolist()
+            self.update(zip(words, (raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)), strict=True))
+
+    def units(self, words: list[bytes]) -> list[bytes]:
+        """Ids of different words that begin with a space and hold no other white space."""
+        if len(self) >= WORDS_KEPT:
+            self.older = dict(self)
+            self.clear()
+        found = list(map(self.get, words))
+        left = [i for i, ids in enumerate(found) if ids is None]
+        stop = [words[i][-1:] in (b",", b".") and words[i][-2:-1].isalpha() for i in left]
+        stems = {words[i][:-1] if cut else words[i] for i, cut in zip(left, stop, strict=True)}
+        if new := [w for w in stems if 1 < len(w) <= 64 and w not in self and w not in self.older]:
+            self.learn(new)
+        for i, cut in zip(left, stop, strict=True):
+            found[i] = self[words[i][:-1]] + self[words[i][-1:]] if cut else self[words[i]]
+        return found
+
+    def texts(self, column: pa.Array) -> list[bytes]:
+        """Ids of each text of a batch, null as empty; a word after a single space is looked up once for the batch.
+
+        Where white space follows white space, a piece depends on more than one word: these texts are split one by one.
+        """
+        strings = pc.fill_null(column.cast(pa.string()), "")
+        split = pc.split_pattern(strings, " ")
+        coded = split.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        n_words = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.cumsum(n_words) - n_words
+        every = np.arange(len(strings))
+        uneven = pc.match_substring_regex(coded.dictionary, r"^$|^[\t-\r]|[\t-\r]$").to_numpy(zero_copy_only=False)
+        one_by_one = np.bincount(np.repeat(every, n_words)[uneven[codes]], minlength=len(strings)) > 0
+        one_by_one |= pc.match_substring_regex(strings, _OTHER_SPACE_RE2).to_numpy(zero_copy_only=False)
+        for added in self.added:
+            one_by_one |= pc.match_substring(strings, added).to_numpy(zero_copy_only=False)
+        words = coded.dictionary.view(pa.binary()).to_pylist()
+        lines = pc.match_substring_regex(coded.dictionary, r"[\t-\r]").to_numpy(zero_copy_only=False)
+        found = [b""] * len(words)
+        needed = np.zeros(len(words), bool)
+        after = ~np.repeat(one_by_one, n_words)
+        after[first] = False
+        needed[codes[after]] = True
+        own = np.flatnonzero(needed & ~lines).tolist()
+        for i, ids in zip(own, self.units([b" " + words[i] for i in own]), strict=True):
+            found[i] = ids
+        get = self.__getitem__
+        for i in np.flatnonzero(needed & lines).tolist():
+            found[i] = b"".join(map(get, _BYTE_WORDS.findall(b" " + words[i])))
+        # the first word of a text has no space before it; a text that is taken by itself is one word
+        codes[first] = len(found) + every
+        whole = one_by_one.tolist()
+        found += [self.text(strings[i].as_py()) if whole[i] else b"".join(map(get, _BYTE_WORDS.findall(words[c]))) for i, c in enumerate(coded.indices.to_numpy(zero_copy_only=False)[first].tolist())]
+        ids, size = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        n = np.where(np.repeat(one_by_one, n_words), 0, size[codes])
+        n[first] = size[codes[first]]
+        at = np.arange(n.sum())
+        at += np.repeat((np.cumsum(size) - size)[codes] - (np.cumsum(n) - n), n)
+        out = ids[at].tobytes()
+        stops = (4 * np.cumsum(np.add.reduceat(n, first))).tolist() if len(first) else []
+        return [out[a:b] for a, b in zip([0, *stops[:-1]], stops)]
+
 
 def encoder(path: str, kind: str) -> Words:
     """The worker's encoder of a vocabulary file; kind is ``dropped`` or ``bytes``."""
