@@ -1,6 +1,7 @@
 """Byte-level ids of a batch are those of the library, text by text."""
 
 import random
+import tracemalloc
 
 import public_tokenizers
 import pyarrow as pa
@@ -44,3 +45,21 @@ def test_memory_is_bounded(path, monkeypatch):
         want = [e.ids for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
         assert [list(memoryview(b).cast("I")) for b in own.texts(pa.array(texts))] == want
         assert len(own) + len(own.older) < 300
+
+
+def words_of_letters(n):
+    return ["w" + "".join(chr(97 + j // 26**k % 26) for k in range(4)) + "q" for j in range(n)]
+
+
+def test_remembered_words_take_few_bytes(path):
+    """60,000 words remembered: under 100 bytes a word (as Python objects they took more than 200)."""
+    own = tokens.ByteLevel(path)
+    texts = pa.array([" ".join(["the", *words_of_letters(60_000)[i::60]]) for i in range(60)])
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    try:
+        own.texts(texts)
+        took = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    finally:
+        tracemalloc.stop()
+    assert len(own) >= 60_000 and took < 100 * 60_000

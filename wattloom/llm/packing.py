@@ -35,8 +35,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = words.text(text or "") + end
+            for doc, ids in zip(batch.column(0).to_pylist(), words.texts(batch.column(1)), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     for values, value in zip(out, (doc, piece, at // 4, len(part) // 4, part), strict=True):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from wattloom.llm.support import OneFile, cut, map_rows, new_folder, open_store, prepare
+from wattloom.llm.support import OneFile, cut, give_back, map_rows, new_folder, open_store, prepare
 from wattloom.llm.tokens import encoder
 
 MAGIC = b"RANS0001"
@@ -153,6 +153,8 @@ def _parts(docs: DataFrame, tokenizer: str, end_id: int, file_tokens: int) -> Da
                     held, size, seq = [], 0, seq + 1
         if held:
             yield flush()
+        held.clear()
+        give_back()
 
     ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return ordered.mapInArrow(run, "part int, seq int, docs array<long>, lengths array<long>, width int, ids binary")
@@ -275,6 +277,7 @@ def read_ids(files: DataFrame, folder: str) -> DataFrame:
                             ["doc_id", "start", "n_tokens", "ids"],
                         )
                         start, doc = start + int(ends[-1]), doc + own_docs
+        give_back()
 
     return starts.repartition(spread).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 

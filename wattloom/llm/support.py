@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,11 +30,20 @@ _IN_USE: dict[str, Callable[[], None]] = {}
 
 def take_memory(owner: str, clear: Callable[[], None]) -> None:
     """Keep what one operator remembers between tasks: a worker that serves another one first drops what it held before."""
-    for other in [o for o in _IN_USE if o != owner]:
-        _IN_USE.pop(other)()
+    if others := [o for o in _IN_USE if o != owner]:
+        for other in others:
+            _IN_USE.pop(other)()
+        give_back()
     _IN_USE[owner] = clear
 
 
+def give_back() -> None:
+    """Return free memory to the system: workers live on between tasks, and executors count what they hold."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -47,6 +57,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
         for batch in batches:
             if (out := step(batch)) is not None and out.num_rows:
                 yield out
+        give_back()
 
     return df.mapInArrow(run, schema)
 
