@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wattloom.llm.support import cut, prepare, take_memory
+from wattloom.llm.support import cut, give_back, prepare, take_memory
 
 #: Words and n-grams of a smaller share of their language are unknown to the model.
 LEAST_WORD = 1e-5
@@ -51,6 +51,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_memory("language-counts", give_back)  # workers come from other operators with what these remember
         held: dict[str, Counter] = {}
 
         def flush() -> pa.RecordBatch:
@@ -69,6 +70,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                     yield flush()
         if held:
             yield flush()
+        give_back()
 
     counted = docs.filter("text is not null and lang is not null").select("text", "lang").mapInArrow(run, "lang string, word string, n long")
     return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -78,6 +80,7 @@ def count_grams(words: DataFrame) -> DataFrame:
     """(lang, gram, n) over the counted words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_memory("language-counts", give_back)
         held: Counter = Counter()
         for batch in batches:
             for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -88,6 +91,8 @@ def count_grams(words: DataFrame) -> DataFrame:
                     held.clear()
         if held:
             yield _counts(["lang", "gram", "n"], held)
+        held.clear()
+        give_back()
 
     return words.select("lang", "word", "n").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
