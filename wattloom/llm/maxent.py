@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from wattloom.llm.langid import remainder
-from wattloom.llm.support import cut, map_rows, prepare
+from wattloom.llm.support import cut, give_back, prepare
 
 #: Children of a node of the tree.
 CLASS = 16
@@ -302,6 +302,8 @@ def train(docs: DataFrame, vocabulary: int | None = None, rounds: int = ROUNDS)
         np.subtract.at(masses, own, np.array([n[rank[w]] for w in chosen], float))
         np.subtract.at(sizes, own, 1.0)
     model = Model(chosen, words, n, total, distinct, masses, sizes)
+    del frequent, words, n, rank, chosen
+    give_back()
     squares = np.ones_like(model.weights)  # gradients are counts of tokens: what is seen once moves less
     # one task for each core: what leaves a task is as large as the weights, however many texts it read
     texts = docs.select("text").coalesce(max(1, spark.sparkContext.defaultParallelism))
@@ -326,12 +328,14 @@ def train(docs: DataFrame, vocabulary: int | None = None, rounds: int = ROUNDS)
             return pa.table({"at": rows["at"][:1], "g": pa.array([g.astype(np.float32).tobytes()], pa.binary())})
 
         kind = "at int, g binary"
-        summed = texts.mapInArrow(gradients, kind).groupBy("at").applyInArrow(add_up, kind).collect()
-        sent.unpersist()
-        for at, b in summed:
+        # through a table, so that the driver holds the weights and one part of the sums, never all blocks of two rounds
+        summed = cut(texts.mapInArrow(gradients, kind).groupBy("at").applyInArrow(add_up, kind), "lm-gradients")
+        sent.destroy()
+        for at, b in summed.toLocalIterator():
             g, s = np.frombuffer(b, np.float32).reshape(BLOCK, CLASS), squares[at : at + BLOCK]
             s += g * g
             model.weights[at : at + BLOCK] += np.float32(STEP) * g / np.sqrt(s)
+        give_back()
     return model, counts
 
 
