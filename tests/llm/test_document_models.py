@@ -49,3 +49,25 @@ def test_tree_is_a_distribution_over_leaves():
         first, node, child, bias = maxent._tree(mass)
         logs = np.add.reduceat(bias[node, child].astype(float), first[:-1])
         assert np.allclose(np.exp(logs), mass / mass.sum(), rtol=1e-3)
+
+
+def test_each_text_gives_its_gradient_once_in_a_fit(spark):
+    """Rounds take disjoint parts of all texts; copies of a text under other ids fall to several rounds."""
+    rnd = random.Random(6)
+    rows = [(i, " ".join(f"w{rnd.randrange(300)}" for _ in range(rnd.randint(0, 12)))) for i in range(1500)] + [(i, None if i % 2 else "w1 w2 w3") for i in range(1500, 1700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    model, _ = maxent.train(docs, rounds=0)
+    parts, squares, tokens = {}, np.ones_like(model.weights), 0
+    for r in docs.withColumn("part", F.expr("pmod(xxhash64(doc_id, text), 4)")).collect():
+        parts.setdefault(r.part, []).append(r.text and r.text.encode())
+    assert sorted(parts) == [0, 1, 2, 3] and sum(map(len, parts.values())) == 1700
+    assert all(b"w1 w2 w3" in p for p in parts.values())
+    for part in range(4):
+        g = np.zeros_like(model.weights)
+        _, lengths, ids, _, hashes = maxent._batch_ids(model, parts[part])
+        model.add_gradient(g, ids, lengths, hashes)
+        squares += g * g
+        model.weights += np.float32(maxent.STEP) * g / np.sqrt(squares)
+        tokens += int(lengths.sum())
+    assert tokens == model.total
+    assert np.allclose(maxent.train(docs, rounds=4)[0].weights, model.weights, atol=1e-4)

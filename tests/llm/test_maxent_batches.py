@@ -63,3 +63,16 @@ def test_gradients_and_probabilities_are_those_of_single_tokens(monkeypatch):
         model.add_gradient(g, ids, lengths, hashes)
         assert np.allclose(g, want, atol=1e-3)
         assert np.allclose(model.log10(ids, lengths, hashes), logs, atol=1e-4)
+
+
+def test_looking_words_up_leaves_nothing_in_the_model():
+    """Leaf, place and hash of words, frequent or not, each by itself; a worker's model does not grow with the words it meets."""
+    model = model_of([b"a b c a b a", b"e f g h i j k l m n o p q r s t u v w x y z", b""])
+    before = {k: len(v) for k, v in vars(model).items() if hasattr(v, "__len__")}
+    words = [w for i in range(3000) for w in (b"a", maxent.END, b"new%d" % i)]
+    leaf, place, h = model.look_up(words)
+    assert {k: len(v) for k, v in vars(model).items() if hasattr(v, "__len__")} == before
+    frequent = {int(k): i for i, k in enumerate(model.keys)}
+    for w, own, at, key in zip(words, leaf.tolist(), place.tolist(), h.tolist(), strict=True):
+        assert key == int(maxent._hash64([w])[0]) and at == frequent.get(key, len(model.keys))
+        assert own == (model.vocabulary[w] if w in model.vocabulary else model.rare + int(maxent._buckets([w], model.buckets)[0]))

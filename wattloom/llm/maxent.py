@@ -4,7 +4,8 @@ Words are predicted down a tree of classes: a softmax over the children of each
 hashed features of the history pick (the last word, the last two, and two features that skip words; a history is made of the
 hashes of its own words, frequent or not).  The leaves are the frequent words, the end, and hash buckets of the other words,
 within which a word has its smoothed relative frequency.  The tree is the 16-ary Huffman tree of the counts.  Weights start
-from the corpus frequencies and follow gradients that Spark sums over all training texts in each round: a task adds up its
+from the corpus frequencies and follow gradients that Spark sums in rounds: the training texts are dealt to the rounds by hash,
+so that each of them gives its gradient once in a fit, at the weights that the rounds before have left.  A task adds up its
 texts, then blocks of rows are added up by key.
 
 Words above a least relative frequency (at most 1 / LEAST of them) are looked up by the task that reads a text; what is left
@@ -103,7 +104,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 def _hash64(words: list[bytes]) -> np.ndarray:
     import xxhash
 
-    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def _buckets(words: list[bytes], buckets: int) -> np.ndarray:
@@ -176,31 +177,20 @@ class Model:
         self.leaf_hash = np.concatenate([_hash64(vocabulary) if vocabulary else np.zeros(0, np.uint64), (np.arange(self.buckets).astype(np.uint64) + np.uint64(2)) * _Q])
         self.rows = min(ROWS_MOST, max(ROWS_LEAST, total // TOKENS_A_ROW)) // BLOCK * BLOCK
         self.weights = np.zeros((self.rows, CLASS), np.float32)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.memory: dict[bytes, int] = {}
-        self.seen = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
     def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Leaf, place in the counts and hash of each word; a word that is not frequent has the last place."""
-        if len(self.memory) > HELD:
-            self._forget()
-        memory = self.memory
-        new = list(set(words).difference(memory))
-        if new:
-            h = _hash64(new)
-            place = np.searchsorted(self.keys, h)
-            near = np.minimum(place, max(0, len(self.keys) - 1))
-            known = self.keys[near] == h if len(self.keys) else np.zeros(len(h), bool)
-            place = np.where(known, near, len(self.keys))
-            leaf = self.leaf_at[place]
-            out = np.flatnonzero(leaf < 0)
-            leaf[out] = self.rare + _buckets([new[i] for i in out], self.buckets)
-            memory.update(zip(new, range(len(memory), len(memory) + len(new)), strict=True))
-            self.seen = tuple(np.concatenate(v) for v in zip(self.seen, (leaf, place, h), strict=True))
-        at = np.fromiter(map(memory.__getitem__, words), np.int64, len(words))
-        return self.seen[0][at], self.seen[1][at], self.seen[2][at]
+        h = _hash64(words)
+        order = np.argsort(h)  # sorted words are found in the cache
+        place = np.empty(len(h), np.int64)
+        place[order] = np.searchsorted(self.keys, h[order])
+        if len(self.keys):
+            near = np.minimum(place, len(self.keys) - 1)
+            place = np.where(self.keys[near] == h, near, len(self.keys))
+        leaf = self.leaf_at[place]
+        out = np.flatnonzero(leaf < 0)
+        leaf[out] = self.rare + _buckets([words[i] for i in out.tolist()], self.buckets)
+        return leaf, place, h
 
     def histories(self, hashes: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
         """Tokens in chunks, with the hashed history of each in one row for each feature; histories do not cross texts."""
@@ -273,17 +263,20 @@ class Model:
             to.view(_ROW)[row] = g.view(_ROW)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"vocabulary": {}, "memory": {}, "seen": tuple(v[:0] for v in self.seen)}
+        return self.__dict__ | {"vocabulary": {}}
 
 
 def _batch_ids(model: Model, texts: list[bytes | None] | pa.Array) -> tuple[tuple[pa.Array, np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words and places of the tokens among them, tokens of each text; leaf, place in the counts and hash of each token."""
     distinct, codes, lengths = words_of(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary()))
-    return (distinct, codes), lengths, *(v.take(codes) for v in model.look_up(distinct.to_pylist()))
+    return (distinct, codes), lengths, *(v.take(codes) for v in model.look_up(distinct.to_numpy(zero_copy_only=False).tolist()))
 
 
 def train(docs: DataFrame, vocabulary: int | None = None, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
-    """The model and the written table (word, n) of all counts; ``vocabulary`` bounds the words with leaves of their own."""
+    """The model and the written table (word, n) of all counts; ``vocabulary`` bounds the words with leaves of their own.
+
+    Each round takes the texts whose hash falls to it; over the rounds every text is taken once.
+    """
     spark = docs.sparkSession
     counts = cut(count_tokens(docs), "lm-counts")
     total, distinct = (int(v or 0) for v in counts.agg(F.sum("n"), F.count("*")).first())
@@ -306,8 +299,11 @@ def train(docs: DataFrame, vocabulary: int | None = None, rounds: int = ROUNDS)
     give_back()
     squares = np.ones_like(model.weights)  # gradients are counts of tokens: what is seen once moves less
     # one task for each core: what leaves a task is as large as the weights, however many texts it read
-    texts = docs.select("text").coalesce(max(1, spark.sparkContext.defaultParallelism))
-    for _ in range(rounds if total else 0):
+    cores = max(1, spark.sparkContext.defaultParallelism)
+    # by all columns: copies of a text under other ids fall to other rounds
+    dealt = F.pmod(F.xxhash64(*docs.columns), F.lit(max(1, rounds)))
+    for at_round in range(rounds if total else 0):
+        texts = docs.filter(dealt == at_round).select("text").coalesce(cores)
         sent = spark.sparkContext.broadcast(model)
 
         def gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
