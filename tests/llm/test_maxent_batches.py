@@ -76,3 +76,20 @@ def test_looking_words_up_leaves_nothing_in_the_model():
     for w, own, at, key in zip(words, leaf.tolist(), place.tolist(), h.tolist(), strict=True):
         assert key == int(maxent._hash64([w])[0]) and at == frequent.get(key, len(model.keys))
         assert own == (model.vocabulary[w] if w in model.vocabulary else model.rare + int(maxent._buckets([w], model.buckets)[0]))
+
+
+def test_gradient_of_blank_weights_reads_none():
+    """The first round takes its probabilities from the tree; rows that hundreds of steps share add up as one by one."""
+    model = model_of([b"a b c a b a " * 300, b"c b a"])
+    texts = [b"a b " * 400, b"b", None]
+    _, lengths, ids, _, hashes = maxent._batch_ids(model, texts)
+    model.weights[:] = 0
+    want, got = np.zeros_like(model.weights), np.zeros_like(model.weights)
+    for own, h in model.histories(hashes, lengths):
+        _, child, rows, logits = model.steps(ids[own], h)
+        p = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
+        for r in rows:
+            np.add.at(want, r, np.eye(maxent.CLASS, dtype=np.float32)[child] - p)
+    model.weights[:] = np.nan
+    model.add_gradient(got, ids, lengths, hashes, blank=True)
+    assert np.allclose(got, want, atol=1e-2) and np.abs(want).max() > 100

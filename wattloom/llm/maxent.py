@@ -151,6 +151,12 @@ def _tree(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return first, node[by].astype(np.int32), child[by].astype(np.int8), share.astype(np.float32)
 
 
+def _add_rows(to: np.ndarray, row: np.ndarray, g: np.ndarray) -> None:
+    """Add to rows of which each is named once; ``g`` is written over."""
+    g += to.take(row, axis=0)
+    to.view(_ROW)[row] = g.view(_ROW)
+
+
 class Model:
     """Vocabulary, counts of frequent words, tree and weights; bounded by the parameters above.
 
@@ -208,8 +214,11 @@ class Model:
             mixed = [(h ^ (h >> _HALF)) * _P + np.uint64(k << 60) for k, h in enumerate(raw, 1)]
             yield slice(lo, hi), np.stack([h ^ (h >> _HALF) for h in mixed])
 
-    def steps(self, ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """First step of each token, children taken, weight rows of each step by feature, and logits of its children."""
+    def steps(self, ids: np.ndarray, h: np.ndarray, blank: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First step of each token, children taken, weight rows of each step by feature, and logits of its children.
+
+        ``blank``: all weights are zero, and none is read.
+        """
         begin = self.first.take(ids)
         n = self.first.take(ids + 1) - begin
         end = np.cumsum(n)
@@ -224,7 +233,7 @@ class Model:
         rows = x.view(np.int64)
         logits = self.bias.take(self.node.take(at), axis=0)
         picked = np.empty_like(logits)
-        for r in rows:
+        for r in () if blank else rows:
             self.weights.take(r, axis=0, out=picked, mode="clip")
             logits += picked
         return first, self.child.take(at).astype(np.int64), rows, logits
@@ -240,27 +249,28 @@ class Model:
             out[own] = np.add.reduceat(got - np.log(logits @ _ONES), first, dtype=np.float64)
         return out / np.log(10)
 
-    def add_gradient(self, to: np.ndarray, ids: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> None:
+    def add_gradient(self, to: np.ndarray, ids: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, blank: bool = False) -> None:
         """Add the gradient of the log probability by the weights, summed over tokens."""
+        last = np.empty(self.rows, np.int32)
         for own, h in self.histories(hashes, lengths):
-            _, child, rows, p = self.steps(ids[own], h)
+            _, child, rows, p = self.steps(ids[own], h, blank)
             n = len(p)
             np.exp(p, out=p)
             p *= (-1 / (p @ _ONES))[:, None]
             p.reshape(-1)[np.arange(n) * CLASS + child] += 1
-            # steps in order of their rows: what shares a row is added up first, so that a row is written once
-            order = np.sort((rows.view(np.uint64) << _HALF | np.arange(n, dtype=np.uint64)).ravel())
-            row, step = (order >> _HALF).view(np.int64), (order & _LOW).view(np.int64)
-            start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            size = np.diff(start, append=len(row))
-            g = p.take(step.take(start), axis=0)
-            if len(shared := np.flatnonzero(size > 1)):
-                size_of = size[shared]
-                own = p.view(_PAIR).take(step[np.repeat(size > 1, size)], axis=0)
-                g[shared] = np.add.reduceat(own, np.cumsum(size_of) - size_of, axis=0).view(np.float32)
-            row = row.take(start)
-            g += to.take(row, axis=0)
-            to.view(_ROW)[row] = g.view(_ROW)
+            # one entry of each row is written as it is; the others of a row are added up first, so that a row is written twice at most
+            row, step = rows.ravel(), np.tile(np.arange(n), len(rows))
+            entry = np.arange(len(row), dtype=np.int32)
+            last[row] = entry
+            alone = last.take(row) == entry
+            once = np.flatnonzero(alone)
+            _add_rows(to, row.take(once), p.take(step.take(once), axis=0))
+            if len(rest := np.flatnonzero(~alone)):
+                order = np.sort(row.take(rest).view(np.uint64) << _HALF | step.take(rest).view(np.uint64))
+                row, step = (order >> _HALF).view(np.int64), (order & _LOW).view(np.int64)
+                start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                g = np.add.reduceat(p.view(_PAIR).take(step, axis=0), start, axis=0)
+                _add_rows(to, row.take(start), g.view(np.float32))
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"vocabulary": {}}
@@ -304,14 +314,14 @@ def train(docs: DataFrame, vocabulary: int | None = None, rounds: int = ROUNDS)
     dealt = F.pmod(F.xxhash64(*docs.columns), F.lit(max(1, rounds)))
     for at_round in range(rounds if total else 0):
         texts = docs.filter(dealt == at_round).select("text").coalesce(cores)
-        sent = spark.sparkContext.broadcast(model)
+        sent, blank = spark.sparkContext.broadcast(model), not model.weights.any()
 
         def gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, tokens = sent.value, 0
             g = np.zeros_like(own.weights)
             for batch in batches:
                 _, lengths, ids, _, hashes = _batch_ids(own, batch.column(0))
-                own.add_gradient(g, ids, lengths, hashes)
+                own.add_gradient(g, ids, lengths, hashes, blank)
                 tokens += len(ids)
             for at in range(0, len(g) if tokens else 0, BLOCK):
                 if (part := g[at : at + BLOCK]).any():
@@ -374,7 +384,8 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     parts = docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, logs double, model_log double, word binary, times long")
     parts = cut(parts, "lm-parts")
     # words that are not frequent: their counts come by a join, and an absent word adds log10(0 + 1) = 0 and no known token
-    rare = parts.filter("word is not null").select("row", "word", "times").join(counts.filter(F.col("n") < max(2.0, model.total * LEAST)), "word")
+    # a partition of the counts has each of its words once and is small: it is hashed, and the words of the texts are not sorted
+    rare = parts.filter("word is not null").select("row", "word", "times").join(counts.filter(F.col("n") < max(2.0, model.total * LEAST)).hint("shuffle_hash"), "word")
     rare = rare.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.col("times").alias("n_known"), (F.col("times") * F.log10(F.col("n") + 1.0)).alias("logs"), (F.col("times") * F.log10(F.col("n") + 1.0)).alias("model_log"))
     sums = parts.filter("word is null").drop("word", "times").unionByName(rare).groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "logs", "model_log")))
     scale = float(np.log10(model.total + model.distinct + 1))
