@@ -91,13 +91,20 @@ def _(t):
     return ranking.top(t.registry.select("msn", "mape"), [F.desc("mape"), F.col("msn")], 10)
 
 
-@query("top_feature_select", "meter_id:s feature:s gain:4", """WITH g AS (SELECT meter_id, 'h' || hour(ts) AS feature, CASE WHEN count(*) >= 3 THEN greatest(corr(demand_kwh, epoch(ts)), 0) ELSE 0 END AS gain FROM readings GROUP BY 1, 2),
+@query("top_feature_select", "meter_id:s feature:s gain:4", """WITH p AS (SELECT meter_id, 'h' || hour(ts) AS feature, CASE WHEN demand_kwh IS NOT NULL THEN CAST(epoch(ts) / 3600 AS HUGEINT) END AS x,
+    CASE WHEN ts IS NOT NULL THEN floor(demand_kwh * 1e4 + 0.5) END AS v FROM readings),
+    w AS (SELECT *, CASE WHEN abs(v) <= 1e15 THEN CAST(v AS HUGEINT) END AS y FROM p),
+    m AS (SELECT meter_id, feature, count(*) AS n, count(v) - count(y) AS far, count(x) * sum(x * y) - sum(x) * sum(y) AS c,
+    sqrt(CAST(count(x) * sum(x * x) - sum(x) * sum(x) AS DOUBLE) * CAST(count(x) * sum(y * y) - sum(y) * sum(y) AS DOUBLE)) AS s FROM w GROUP BY 1, 2),
+    g AS (SELECT meter_id, feature, CASE WHEN n >= 3 THEN greatest(CASE WHEN far > 0 OR s = 0 THEN CAST('nan' AS DOUBLE) WHEN s > 0 THEN floor(CAST(c AS DOUBLE) / s * 1e12 + 0.5) / 1e12 END, 0) ELSE 0 END AS gain FROM m),
     r AS (SELECT *, row_number() OVER (PARTITION BY meter_id ORDER BY gain DESC, feature) AS r, count(*) OVER (PARTITION BY meter_id) AS n FROM g),
     h AS (SELECT *, r <= greatest(10, floor(n * 0.55)) AND gain > 0 AS hit FROM r), k AS (SELECT *, sum(hit::INT) OVER (PARTITION BY meter_id) AS k FROM h)
     SELECT meter_id, feature, gain FROM k WHERE CASE WHEN k < 8 THEN r <= 10 ELSE hit END""")
 def _(t):
+    # Hours and ten-thousandths are whole numbers, so that the correlations are exact.
+    gain = ranking.correlation(F.floor(F.unix_seconds("ts") / 3600), F.floor(F.col("demand_kwh") * 1e4 + 0.5))
     g = t.readings.groupBy("meter_id", F.concat(F.lit("h"), F.hour("ts").cast("string")).alias("feature")).agg(
-        F.when(F.count("*") >= 3, F.greatest(ranking.correlation("demand_kwh", F.unix_seconds("ts").cast("double")), F.lit(0.0))).otherwise(0.0).alias("gain"))
+        F.when(F.count("*") >= 3, F.greatest(gain, F.lit(0.0))).otherwise(0.0).alias("gain"))
     return ranking.select_features(g, KEY, keep_min=10, floor=8)
 
 

@@ -23,16 +23,28 @@ def sort_meters(df: DataFrame) -> DataFrame:
     return df.withColumn("tier_rank", F.when(rank > 0, rank - 1).otherwise(9)).orderBy("tier_rank", "mape", "msn")
 
 
-def correlation(x: str | Column, y: str | Column) -> Column:
-    """Correlation of a group; not a number where either side does not vary (``F.corr`` stops the job there, even for groups that are not asked for)."""
-    spread = F.stddev_pop(x) * F.stddev_pop(y)
-    return F.when(spread != 0, F.covar_pop(x, y) / spread).otherwise(F.lit(float("nan")))
+def correlation(x: Column, y: Column) -> Column:
+    """Correlation of two columns of whole numbers in a group, to 12 digits.
+
+    Sums are exact, so no order of rows turns a covariance of zero, level groups or values that do not vary into noise.
+    Not a number where either side does not vary or a pair has a value beyond 10**15; null without pairs.
+    """
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    fits = [c.between(-(10**15), 10**15) for c in (x, y)]
+    far = F.count(F.when(~(fits[0] & fits[1]), 1))
+    x, y = (F.when(fit, c).cast("decimal(16,0)") for fit, c in zip(fits, (x, y)))
+
+    def moment(a: Column, b: Column) -> Column:
+        return (F.count(x) * F.sum(a * b) - F.sum(a) * F.sum(b)).cast("double")
+
+    spread = F.sqrt(moment(x, x) * moment(y, y))
+    return F.when((far > 0) | (spread == 0), F.lit(float("nan"))).when(spread > 0, F.floor(moment(x, y) / spread * 1e12 + 0.5) / 1e12)
 
 
 def select_features(gains: DataFrame, keys: list[str], keep_min: int = 25, keep_frac: float = 0.55, floor: int = 20) -> DataFrame:
     """The strongest features per key with positive gain; the top ``keep_min`` where too few remain."""
     w = Window.partitionBy(*keys)
-    df = gains.withColumns({"_r": F.row_number().over(w.orderBy(F.desc("gain"), "feature")), "_n": F.count("*").over(w)})
+    df = gains.withColumns({"_r": F.row_number().over(w.orderBy(F.desc("gain"), F.asc_nulls_last("feature"))), "_n": F.count("*").over(w)})
     hit = (F.col("_r") <= F.greatest(F.lit(keep_min), F.floor(F.col("_n") * keep_frac))) & (F.col("gain") > 0)
     df = df.withColumn("_hit", hit).withColumn("_k", F.sum(F.col("_hit").cast("int")).over(w))
     return df.filter(F.when(F.col("_k") < floor, F.col("_r") <= keep_min).otherwise(F.col("_hit"))).drop("_r", "_n", "_hit", "_k")
